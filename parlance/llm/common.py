@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,30 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def ranked(df: DataFrame, by: list[str], within: str | None = None, out: str = "rank") -> DataFrame:
+    """Exact ranks from 0 in the order of ``by`` (over all rows, or inside each value of ``within``).
+
+    Rows are dealt out by range on ``within`` and ``by``, so no task gets one whole group; each task's
+    part is numbered alone and moved up by the rows of the tasks before it. ``by`` must make rows
+    distinct, or else ties are numbered in any order.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [within] if within else []
+    part, tie = fresh(df, "_part"), fresh(df, "_tie")
+    rows = df.repartitionByRange(n, *keys, *by).withColumn(part, F.spark_partition_id()).withColumn(tie, F.monotonically_increasing_id())
+    rows = staged(rows, "ranges")
+    here = Window.partitionBy(part, *keys).orderBy(*by, tie)
+    # one row per task and group that it holds: at most the tasks plus the groups
+    counts = rows.groupBy(part, *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = staged(counts.select(part, *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
+    rows = rows.withColumn(out, F.row_number().over(here) - 1)
+    counts = counts.withColumnRenamed(part, "_in")
+    same = rows[part] == counts["_in"]
+    if within:
+        counts = counts.withColumnRenamed(within, "_within")
+        same = same & rows[within].eqNullSafe(counts["_within"])
+    return rows.join(counts, same).select(*df.columns, (F.col("_before") + F.col(out)).alias(out))

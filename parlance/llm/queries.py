@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pii
+from . import exact_dedup, langid, packing, pii, quality, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,66 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op1_quality_importance")
+def op1_quality_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def _op7_sql() -> str:
+    fits = lambda r: (lambda h, p: f"((host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '/{p}'))")(*r.partition("/")[::2])
+    longest = sorted(RULES, key=lambda x: (-len(x[1]), x[1]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in longest) + " END"
+    c = url_filter
+
+    def level(rows: str, keys: str, s: str, t: str) -> str:
+        on = lambda a, b, extra="": " AND ".join(f"{a}.{k} = {b}.{k}" for k in (keys + extra).split(", "))
+        return f"""
+        c{t} AS (SELECT {keys}, {s}, sum(n) n, sum(labels) labels, sum(blocked) blocked FROM {rows} GROUP BY ALL),
+        p{t} AS (SELECT {keys}, count(*) children, sum(n) pn, sum(labels) pl, sum(blocked) pb FROM c{t} GROUP BY ALL),
+        j{t} AS (SELECT c.*, children, pn, pb / nullif(pl, 0) AS share, blocked / nullif(labels, 0) AS own,
+                 regexp_matches({s}, '^[0-9]') OR (children >= {c.MANY} AND pn <= {c.PAGES_PER_CHILD} * children) AS variable
+                 FROM c{t} c JOIN p{t} p ON {on("c", "p")}),
+        n{t} AS (SELECT {keys}, {s}, CASE WHEN {s} = '' THEN ''
+                 WHEN coalesce(abs(own - share) > {c.Z} * sqrt(share * (1 - share) / nullif(labels, 0)), false)
+                 THEN CASE WHEN variable THEN '*' ELSE {s} END WHEN variable THEN '*' ELSE '~' END AS {t} FROM j{t}),
+        r{t} AS (SELECT r.*, {t} FROM {rows} r JOIN n{t} m ON {on("r", "m", ", " + s)}),"""
+
+    part = lambda i: f"coalesce(parts[{i}], '')"
+    digit = lambda x: f"CASE WHEN regexp_matches({x}, '^[0-9]') THEN '0' ELSE {x} END"
+    return f"""
+    WITH a AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{c.UPPER}', '{c.LOWER}') AS host,
+               coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    b AS (SELECT *, {rule} AS rule, {ruled} AS ruled, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM a),
+    d AS (SELECT *, {digit(part(1))} AS s0, {digit(part(2))} AS s1, CASE WHEN len(parts) > 2 THEN '**' ELSE '' END AS s2 FROM b),
+    k AS (SELECT host, s0, s1, s2, count(*) n, count(ruled) labels, count(*) FILTER (WHERE ruled = 'block') blocked FROM d GROUP BY ALL),
+    {level("k", "host", "s0", "t0")} {level("rt0", "host, t0", "s1", "t1")}
+    g AS (SELECT (coalesce(sum(blocked), 0) + 1) / (coalesce(sum(labels), 0) + 2) AS g FROM k),
+    h AS (SELECT host, (sum(blocked) + {c.SMOOTH} * any_value(g)) / (sum(labels) + {c.SMOOTH}) AS h FROM k, g GROUP BY host),
+    l AS (SELECT host, t0, t1, s2, (sum(blocked) + {c.SMOOTH} * any_value(h)) / (sum(labels) + {c.SMOOTH}) AS purity
+          FROM rt1 JOIN h USING (host) GROUP BY host, t0, t1, s2)
+    SELECT page_id, d.host AS host, path, rule, coalesce(ruled, CASE WHEN purity >= {c.PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+           regexp_replace('' || CASE WHEN r.t0 = '' THEN '' ELSE '/' || r.t0 END || CASE WHEN r.t1 = '' THEN '' ELSE '/' || r.t1 END
+                          || CASE WHEN d.s2 = '' THEN '' ELSE '/' || d.s2 END, '^$', '/') AS template
+    FROM d JOIN rt1 r ON d.host = r.host AND d.s0 = r.s0 AND d.s1 = r.s1 AND d.s2 = r.s2 JOIN l ON l.host = r.host AND l.t0 = r.t0 AND l.t1 = r.t1 AND l.s2 = r.s2
+    """
+
+
+@query("op7_url_filter", _op7_sql())
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
