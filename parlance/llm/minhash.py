@@ -9,9 +9,10 @@ in time that depends on the shingles plus k log k, not on their product. Ranks a
 bound at which all coordinates are hit; the rare document with an empty coordinate goes on further.
 
 Documents whose signatures agree in all rows of a band share a bucket. Texts that are equal are
-collapsed first. Every member of a bucket is verified against the bucket's smallest node, which is
-linear in the bucket's size; then only members of one bucket that are still in different components
-are verified against each other, and of those only pairs that the triangle inequality of the Jaccard
+collapsed first. Members of a bucket are verified against the bucket's smallest node, which is linear
+in the bucket's size: first in ``FIRST_BANDS`` bands, then in all bands where the two are still in
+different components. At last members of one bucket that are still in different components are
+verified against each other, but of those only pairs that the triangle inequality of the Jaccard
 distance leaves open given their distances to the smallest node. So a bucket of thousands of near
 copies isn't expanded to pairs, and no pair is capped away.
 
@@ -42,6 +43,8 @@ from .quality import _POWERS, _classes, _mix
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 50, 6
+#: Bands whose stars are verified before the others, so the others skip what these have joined.
+FIRST_BANDS = 5
 _CDF = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))  # of a Poisson number with mean 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,6 +172,12 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", (F.col("s") / (F.col("n") - F.col("s"))).alias("similarity"))
 
 
+def _with_component(rows: DataFrame, comp: DataFrame, node: str, out: str) -> DataFrame:
+    """The component of a node; a node without links is its own."""
+    named = comp.select(F.col("node").alias("_node"), F.col("component").alias(out))
+    return rows.join(named, F.col(node) == F.col("_node"), "left").drop("_node").withColumn(out, F.coalesce(out, node))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """A row per document: doc_id, digest, class_id (the smallest doc_id of its class), kept."""
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -178,32 +187,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     # one node per distinct text
     nodes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-    members = nodes.select("node", F.explode("keys").alias("key"))
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     leaders = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     leaders = staged(leaders.select("key", "leader"), "leaders")
     members = staged(members.join(leaders, "key"), "members")
-    pairs = staged(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     # texts only of nodes that share a bucket
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    met = met.join(nodes.select("node", "rep", F.col("digest").alias("d")), "node")
+    met = members.select("node").distinct().join(nodes.select("node", "rep", F.col("digest").alias("d")), "node")
     found = docs.join(met, (docs["doc_id"] == met["rep"]) & (docs["digest"] == met["d"])).select("node", "text").dropDuplicates(["node"])
     sets = staged(_shingle_sets(found, words, weights), "sets")
-    starred = staged(_verify(pairs, sets), "starred")
-    linked = starred.where(F.col("similarity") >= similarity)
-    comp = staged(components(linked), "components")
+
+    def verified(pairs: DataFrame, what: str) -> DataFrame:
+        return staged(_verify(staged(pairs.distinct(), "pairs"), sets), what)
+
+    star = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"), "band")
+    near = F.col("similarity") >= similarity
+    known = verified(star.where(F.col("band") < FIRST_BANDS).select("a", "b"), "first")
+    comp = staged(components(known.where(near)), "components")
+    apart = _with_component(_with_component(star.where(F.col("band") >= FIRST_BANDS), comp, "a", "ca"), comp, "b", "cb")
+    known = known.unionByName(verified(apart.where("ca <> cb").select("a", "b"), "second"))
+    comp = staged(components(known.where(near)), "components")
     # members of one bucket in different components, which their common leader leaves open
-    open_ = members.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = open_.where("node <> leader").join(staged(mixed, "mixed"), "key")
-    known = starred.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    open_ = staged(open_.join(known, ["leader", "node"]), "open")
+    open_ = _with_component(members, comp, "node", "component")
+    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
+    open_ = staged(open_.where("node <> leader").join(staged(mixed.select("key"), "mixed"), "key"), "open")
+    open_pairs = open_.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    known = known.unionByName(verified(open_pairs.join(known, ["a", "b"], "left_anti"), "third"))
+    far = known.groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg((1 - F.max("similarity")).alias("far"))
+    open_ = staged(open_.join(far, ["leader", "node"]), "open")
     other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"))
     reach = F.abs(F.col("far") - F.col("fb")) <= 1 - similarity + 1e-9
     rest = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & reach)
-    rest = staged(rest.select(F.col("node").alias("a"), "b").distinct(), "rest")
-    more = staged(_verify(rest, sets).where(F.col("similarity") >= similarity), "more")
+    more = verified(rest.select(F.col("node").alias("a"), "b"), "more").where(near)
     if not more.isEmpty():
-        comp = staged(components(linked.unionByName(more)), "components")
+        comp = staged(components(known.where(near).unionByName(more)), "components")
     classes = nodes.select("node", "rep", "digest").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = staged(classes.groupBy("component").agg(F.min("rep").alias("class_id")), "classes")
     classes = staged(classes.join(least, "component").select("digest", "class_id"), "named")
