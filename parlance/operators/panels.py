@@ -100,11 +100,11 @@ def lorenz(counts: DataFrame, keys: list[str], value: str, tie: str) -> DataFram
 
 def gini(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """1 - 2 x area under the Lorenz curve, in closed form over counts of equal values: no window over all rows."""
-    same = counts.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = same.select(*keys, value, "n", (before * F.col("n") + F.col("n") * (F.col("n") + 1) / 2).alias("ranks"))
-    weighted, total, n = F.sum(F.col("ranks") * F.col(value)), F.sum(F.col("n") * F.col(value)), F.sum("n")
+    same = counts.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_v")
+    before = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = same.select("*", (before * F.col("_n") + F.col("_n") * (F.col("_n") + 1) / 2).alias("_ranks"))
+    weighted, total, n = F.sum(F.col("_ranks") * F.col("_v")), F.sum(F.col("_n") * F.col("_v")), F.sum("_n")
     return ranks.groupBy(*keys).agg((2 * weighted / (n * F.nullif(total, F.lit(0))) - (n + 1) / n).alias("gini"))
 
 

@@ -10,13 +10,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``, with its SQL twin where SQL can express it."""
+def query(name: str, sql: str | None = None, dates: str = ""):
+    """Register a query under ``name``, with its SQL twin where SQL can express it.
+
+    ``dates`` lists date columns of the result, which both sides return as yyyy-MM-dd strings.
+    """
+    days = dates.split()
 
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({d: df[d].cast("string") for d in days}) if days else df
+
+        QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            texts = ", ".join(f"strftime({d}, '%Y-%m-%d') AS {d}" for d in days)
+            ORACLES[name] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if days else sql
         return f
 
     return add
+
+
+from . import panel_queries  # noqa: E402,F401
