@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 G = "graph"
 
 
@@ -139,10 +141,12 @@ def reciprocity(edges: DataFrame, keys: list[str], weight: str) -> DataFrame:
 
 def pagerank(edges: DataFrame, weight: str, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """Weighted PageRank with the mass of dangling nodes spread evenly; lineage is cut by reliable checkpoints."""
+    edges = cut(edges.select("source", "target", F.col(weight).alias(weight)))
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     n = nodes.count()
     out = edges.groupBy("source").agg(F.sum(weight).alias("_out"))
-    steps = edges.join(out, "source").select("source", "target", (F.col(weight) / F.col("_out")).alias("p")).persist()
+    steps = edges.join(out, "source").select("source", "target", (F.col(weight) / F.col("_out")).alias("p"))
+    nodes, out, steps = cut(nodes), cut(out), cut(steps)
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for i in range(rounds):
         sent = rank.join(steps, F.col("node") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") * F.col("p")).alias("_in"))
@@ -150,7 +154,7 @@ def pagerank(edges: DataFrame, weight: str, rounds: int = 20, damping: float = 0
         new = nodes.join(sent, F.col("node") == F.col("target"), "left").crossJoin(F.broadcast(lost))
         rank = new.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
         if (i + 1) % every == 0:
-            rank = rank.checkpoint()
+            rank = cut(rank)
     return rank
 
 
@@ -161,7 +165,8 @@ def shortest_paths(edges: DataFrame, keys: list[str], rounds: int = 6) -> DataFr
     for _ in range(rounds):
         step = d.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("distance").alias("more"))
         longer = d.join(step, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b"), (F.col("distance") + F.col("more")).alias("distance"))
-        d = d.unionByName(longer).groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance")).checkpoint()
+        d = d.unionByName(longer).groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))
+        d = cut(d)
     return d
 
 
