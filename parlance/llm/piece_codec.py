@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,7 @@ class Codec:
         self.least = min(self.score) - 10
         self.valid: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.broken: set[str] = set()
 
     def merge(self, chars: list[str]) -> list[str]:
         """Pieces after merging the neighbours with the best score again and again; for short strings."""
@@ -139,6 +141,9 @@ class Codec:
                 ids.append(self.ids_of(last[end]))
                 end -= len(last[end])
             out[word] = [i for piece in reversed(ids) for i in piece]
+            # decoding joins what words decode to, so a text comes back if each of its words does
+            if self.text_of(out[word]) != word.replace(MARK, " "):
+                self.broken.add(word)
             before = word
         return out
 
@@ -151,22 +156,35 @@ class Codec:
                 size += len(texts[end] or "")
                 end += 1
             split = [_WORD.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts[start:end]]
-            new = {w for ws in split for w in ws} - self.known.keys()
+            words = set(chain.from_iterable(split))
+            new = words - self.known.keys()
             if len(self.known) + len(new) > REMEMBERED:
-                self.known = {w: self.known[w] for w in {w for ws in split for w in ws} & self.known.keys()}
+                self.known = {w: self.known[w] for w in words & self.known.keys()}
             self.known |= self.encode_words(new)
-            known = self.known
+            ids_of = self.known.__getitem__
             for t, ws in zip(texts[start:end], split):
-                out.append(None if t is None else np.array([i for w in ws for i in known[w]], dtype=np.int32))
+                out.append(None if t is None else np.fromiter(chain.from_iterable(map(ids_of, ws)), dtype=np.int32))
             start = end
         return out
 
+    def returns(self, texts: list[str | None]) -> list[bool | None]:
+        """Whether decoding the ids of each text gives the text (the mark counts as a space)."""
+        if not self.broken:
+            return [None if t is None else True for t in texts]
+        return [None if t is None else self.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, self.encode(texts))]
+
     def decode(self, ids: np.ndarray | None) -> str | None:
         if ids is None:
             return None
+        text = self.text_of(ids.tolist())
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+    def text_of(self, ids: list[int]) -> str:
         parts, value, pieces = [], self.value, self.pieces
+        if value.keys().isdisjoint(ids):
+            return "".join([pieces[i] for i in ids]).replace(MARK, " ")
         pending = bytearray()
-        for i in ids.tolist():
+        for i in ids:
             if i in value:
                 pending.append(value[i])
                 continue
@@ -175,8 +193,7 @@ class Codec:
                 pending.clear()
             parts.append(pieces[i])
         parts.append(pending.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        return "".join(parts).replace(MARK, " ")
 
 
 def codec(name: str = "piece_bpe_32k.model") -> Codec:
@@ -195,7 +212,7 @@ def encode(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
         for b in batches:
             texts = b["text"].to_pylist()
             ids = c.encode(texts)
-            same = [None if t is None else c.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids)]
+            same = c.returns(texts)
             n = [None if i is None else len(i) for i in ids]
             arrays = [b["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_ids", "ids", "same"])
