@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,3 +179,102 @@ def closeness(paths: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     rows = nodes.join(n, keys).join(reach, [*keys, "node"], "left")
     value = (F.col("_r") / F.col("_d")) * (F.col("_r") / F.nullif(F.col("_n") - 1, F.lit(0)))
     return rows.select(*keys, "node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
+
+
+def bloc_distance(m: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """1 - cosine of the mean concept vectors of both blocs; a cell that isn't there counts as 0, a zero vector gives null."""
+    n = m.groupBy(*keys, "bloc").agg(F.countDistinct("party").alias("_n"))
+    mean = m.groupBy(*keys, "bloc", "concept").agg(F.sum(value).alias("_v")).join(n, [*keys, "bloc"])
+    at = lambda b: F.sum(F.when(F.col("bloc") == b, F.col("_v") / F.col("_n")).otherwise(0.0))
+    j = mean.groupBy(*keys, "concept").agg(at("government").alias("g"), at("opposition").alias("o"))
+    norm = F.sqrt(F.sum(F.col("g") * F.col("g"))) * F.sqrt(F.sum(F.col("o") * F.col("o")))
+    return j.groupBy(*keys).agg((1 - F.sum(F.col("g") * F.col("o")) / F.nullif(norm, F.lit(0.0))).alias("distance"))
+
+
+def _per_graph(edges: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
+    """A function of one small graph (party or concept networks of a period) in its own task."""
+    kinds = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out = f(g)
+        for k, v in zip(keys, key):
+            out[k] = v
+        return out
+
+    return edges.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+
+
+def betweenness(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Normalised weighted betweenness on distances, all shortest paths counted."""
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(set(g["a"]) | set(g["b"]))
+        n, at = len(nodes), {v: i for i, v in enumerate(nodes)}
+        d = np.full((n, n), np.inf)
+        a, b = g["a"].map(at).to_numpy(), g["b"].map(at).to_numpy()
+        d[a, b] = d[b, a] = g["distance"]
+        arc = d.copy()
+        np.fill_diagonal(d, 0)
+        for k in range(n):
+            d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :])
+        paths = np.eye(n)
+        for s in range(n):
+            for v in np.argsort(d[s], kind="stable"):
+                if v != s and np.isfinite(d[s, v]):
+                    before = np.isclose(d[s] + arc[:, v], d[s, v], rtol=1e-12)
+                    paths[s, v] = paths[s, before].sum()
+        total = np.zeros(n)
+        for v in range(n):
+            on = np.isclose(d[:, v : v + 1] + d[v : v + 1, :], d, rtol=1e-12) & np.isfinite(d)
+            share = np.where(on & (paths > 0), paths[:, v : v + 1] * paths[v : v + 1, :] / np.where(paths > 0, paths, 1), 0)
+            share[v, :] = share[:, v] = 0
+            np.fill_diagonal(share, 0)
+            total[v] = share.sum() / 2
+        return pd.DataFrame({"node": nodes, "betweenness": total / max((n - 1) * (n - 2) / 2, 1)})
+
+    return _per_graph(edges, keys, of, "node string, betweenness double")
+
+
+def eigenvector(edges: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+    """Weighted eigenvector centrality by power iteration of A + I, unit norm, largest entry positive."""
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(set(g["a"]) | set(g["b"]))
+        at = {v: i for i, v in enumerate(nodes)}
+        m = np.eye(len(nodes))
+        a, b = g["a"].map(at).to_numpy(), g["b"].map(at).to_numpy()
+        m[a, b] += g["w"]
+        m[b, a] += g["w"]
+        x = np.ones(len(nodes)) / np.sqrt(len(nodes))
+        for _ in range(rounds):
+            x = m @ x
+            x /= np.linalg.norm(x)
+        return pd.DataFrame({"node": nodes, "centrality": x * np.sign(x[np.argmax(np.abs(x))])})
+
+    return _per_graph(edges, keys, of, "node string, centrality double")
+
+
+def backbone(pairs: DataFrame, keys: list[str], ratio: float) -> DataFrame:
+    """Maximum spanning forest and the strongest other edges, up to max(n - 1, ceil(E x ratio)); graphs of two nodes stay as they are."""
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        g = g[g["w"] > 0].sort_values(["w", "a", "b"], ascending=[False, True, True])
+        root = {v: v for v in set(g["a"]) | set(g["b"])}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        tree = []
+        for a, b in zip(g["a"], g["b"]):
+            ra, rb = find(a), find(b)
+            tree.append(ra != rb)
+            root[ra] = rb
+        tree = np.array(tree, dtype=bool)
+        limit = max(len(root) - 1, int(np.ceil(len(g) * ratio)))
+        extra = (~tree) & (np.cumsum(~tree) <= limit - tree.sum())
+        kept = g[tree | extra] if len(root) > 2 else g
+        return kept[["a", "b", "w"]].copy()
+
+    return _per_graph(pairs, keys, of, "a string, b string, w double")

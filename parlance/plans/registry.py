@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None, dates: str = ""):
     return add
 
 
-from . import panel_queries, source_queries, study_queries, text_queries  # noqa: E402,F401
+from . import more_queries, panel_queries, source_queries, study_queries, text_queries  # noqa: E402,F401
