@@ -32,14 +32,27 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; rows with a null are dropped. No edges: an empty table.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
-        mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark == seen or not mark[0]:
-            break
-        seen, last = mark, now
+    while _unsettled(now):
+        last = now
         now = staged(_star(_star(now, True), False), "edges")
         unstage(last)
-    return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two roots, or is a root and has one itself; else the edges are stars around the smallest nodes."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("has"), F.lit(0).alias("is"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("has"), F.lit(1).alias("is")))
+    return not ends.groupBy("n").agg(F.sum("has").alias("has"), F.max("is").alias("is")).where("has > 1 or has > 0 and is > 0").isEmpty()
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after more ``links`` (a, b, with their components ca and cb): only the components that meet are worked on."""
+    joint = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joint = staged(joint.select(F.col("node").alias("component"), F.col("component").alias("into")), "joint")
+    old = comp.join(joint, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    # single nodes that a link has reached for the first time
+    new = joint.select(F.col("component").alias("node"), F.col("into").alias("component")).join(comp.select("node"), "node", "left_anti")
+    return old.unionByName(new)

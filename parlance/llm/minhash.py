@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, staged
-from .components import components
+from .components import components, merged
 from .exact_dedup import sha256
 from .langid import chunks
 from .quality import _POWERS, _classes, _mix
@@ -204,22 +204,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     known = verified(star.where(F.col("band") < FIRST_BANDS).select("a", "b"), "first")
     comp = staged(components(known.where(near)), "components")
     apart = _with_component(_with_component(star.where(F.col("band") >= FIRST_BANDS), comp, "a", "ca"), comp, "b", "cb")
-    known = known.unionByName(verified(apart.where("ca <> cb").select("a", "b"), "second"))
-    comp = staged(components(known.where(near)), "components")
+    second = verified(apart.where("ca <> cb").select("a", "b"), "second")
+    known = known.unionByName(second)
+
+    def with_links(comp: DataFrame, links: DataFrame) -> DataFrame:
+        links = staged(_with_component(_with_component(links, comp, "a", "ca"), comp, "b", "cb"), "links")
+        return comp if links.isEmpty() else staged(merged(comp, links), "components")
+
+    comp = with_links(comp, second.where(near))
     # members of one bucket in different components, which their common leader leaves open
     open_ = _with_component(members, comp, "node", "component")
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
     open_ = staged(open_.where("node <> leader").join(staged(mixed.select("key"), "mixed"), "key"), "open")
     open_pairs = open_.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    known = known.unionByName(verified(open_pairs.join(known, ["a", "b"], "left_anti"), "third"))
+    third = verified(open_pairs.join(known, ["a", "b"], "left_anti"), "third")
+    known = known.unionByName(third)
     far = known.groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg((1 - F.max("similarity")).alias("far"))
     open_ = staged(open_.join(far, ["leader", "node"]), "open")
     other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"))
     reach = F.abs(F.col("far") - F.col("fb")) <= 1 - similarity + 1e-9
     rest = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & reach)
     more = verified(rest.select(F.col("node").alias("a"), "b"), "more").where(near)
-    if not more.isEmpty():
-        comp = staged(components(known.where(near).unionByName(more)), "components")
+    comp = with_links(comp, third.where(near).unionByName(more))
     classes = nodes.select("node", "rep", "digest").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = staged(classes.groupBy("component").agg(F.min("rep").alias("class_id")), "classes")
     classes = staged(classes.join(least, "component").select("digest", "class_id"), "named")
