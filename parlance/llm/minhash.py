@@ -11,7 +11,8 @@ bound at which all coordinates are hit; the rare document with an empty coordina
 Documents whose signatures agree in all rows of a band share a bucket. Texts that are equal are
 collapsed first. Members of a bucket are verified against the bucket's smallest node, which is linear
 in the bucket's size: first in ``FIRST_BANDS`` bands, then in all bands where the two are still in
-different components. At last members of one bucket that are still in different components are
+different components, then against up to ``PIVOT_ROUNDS`` pivots drawn by a hash, again only where
+the components differ. At last members of one bucket that are still in different components are
 verified against each other, but of those only pairs that the triangle inequality of the Jaccard
 distance leaves open given their distances to the smallest node. So a bucket of thousands of near
 copies isn't expanded to pairs, and no pair is capped away.
@@ -45,6 +46,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 50, 6
 #: Bands whose stars are verified before the others, so the others skip what these have joined.
 FIRST_BANDS = 5
+#: Rounds in which each bucket with several components gets one more node that all others are verified against.
+PIVOT_ROUNDS = 3
 _CDF = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))  # of a Poisson number with mean 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,10 +215,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         return comp if links.isEmpty() else staged(merged(comp, links), "components")
 
     comp = with_links(comp, second.where(near))
-    # members of one bucket in different components, which their common leader leaves open
-    open_ = _with_component(members, comp, "node", "component")
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-    open_ = staged(open_.where("node <> leader").join(staged(mixed.select("key"), "mixed"), "key"), "open")
+    # buckets that still hold several components
+    for turn in range(PIVOT_ROUNDS + 1):
+        open_ = _with_component(members, comp, "node", "component")
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("p")
+        mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), pivot).where("lo < hi and n > 2")
+        mixed = staged(mixed.select("key", F.col("p.node").alias("pivot"), F.col("p.component").alias("pc")), "mixed")
+        open_ = staged(open_.join(mixed, "key"), "open")
+        if turn == PIVOT_ROUNDS or mixed.isEmpty():
+            break
+        new = open_.where("component <> pc").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+        new = verified(new.join(known, ["a", "b"], "left_anti"), "pivots")
+        known, comp = known.unionByName(new), with_links(comp, new.where(near))
+        members = open_.select("node", "band", "key", "leader")
+    # what is left: members of one bucket in different components, which their common leader leaves open
+    open_ = open_.where("node <> leader")
     open_pairs = open_.select(F.col("leader").alias("a"), F.col("node").alias("b"))
     third = verified(open_pairs.join(known, ["a", "b"], "left_anti"), "third")
     known = known.unionByName(third)
