@@ -13,8 +13,9 @@ collapsed first. Members of a bucket are verified against the bucket's smallest
 in the bucket's size: first in ``FIRST_BANDS`` bands, then in all bands where the two are still in
 different components, then against up to ``PIVOT_ROUNDS`` pivots drawn by a hash, again only where
 the components differ. At last members of one bucket that are still in different components are
-verified against each other, but of those only pairs that the triangle inequality of the Jaccard
-distance leaves open given their distances to the smallest node. So a bucket of thousands of near
+verified against each other inside one join, but of those only pairs that the triangle inequality of
+the Jaccard distance leaves open given their distances to the smallest node. In a bucket of many
+documents that are alike but under the threshold this last step is quadratic in the bucket. So a bucket of thousands of near
 copies isn't expanded to pairs, and no pair is capped away.
 
 With 50 bands of 6 rows a pair of similarity 0.8 misses all bands with probability 2.5e-7.
@@ -234,12 +235,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     third = verified(open_pairs.join(known, ["a", "b"], "left_anti"), "third")
     known = known.unionByName(third)
     far = known.groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg((1 - F.max("similarity")).alias("far"))
-    open_ = staged(open_.join(far, ["leader", "node"]), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("far").alias("fb"))
-    reach = F.abs(F.col("far") - F.col("fb")) <= 1 - similarity + 1e-9
-    rest = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")) & reach)
-    more = verified(rest.select(F.col("node").alias("a"), "b"), "more").where(near)
-    comp = with_links(comp, third.where(near).unionByName(more))
+    open_ = open_.join(far, ["leader", "node"]).join(sets, "node").join(nodes.select("node", "keys"), "node")
+    open_ = staged(open_.select("key", "band", "node", "component", "far", "set", "keys"), "open")
+    other = open_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "far", "set", "keys")])
+    # verified in the join itself, so only links leave it; a pair is looked at in the first band that it shares
+    reach = F.abs(F.col("far") - F.col("far_b")) <= 1 - similarity + 1e-9
+    earlier = F.arrays_overlap(F.slice("keys", F.lit(1), F.col("band")), F.slice("keys_b", F.lit(1), F.col("band")))
+    shared, both = F.size(F.array_intersect("set", "set_b")), F.size("set") + F.size("set_b")
+    linked = (open_["key"] == other["key"]) & (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & reach & ~earlier
+    more = open_.join(other, linked & (shared / (both - shared) >= similarity))
+    more = staged(more.select(F.col("node").alias("a"), F.col("node_b").alias("b")), "more")
+    comp = with_links(comp, third.where(near).select("a", "b").unionByName(more))
     classes = nodes.select("node", "rep", "digest").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = staged(classes.groupBy("component").agg(F.min("rep").alias("class_id")), "classes")
     classes = staged(classes.join(least, "component").select("digest", "class_id"), "named")
