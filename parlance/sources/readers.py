@@ -11,16 +11,37 @@ def csv_pruned(spark: SparkSession, path: str, schema: str, columns: list[str])
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).select(*columns)
 
 
-def csv_flexible(spark: SparkSession, path: str, seps: str = ",|;\t", encodings: tuple[str, ...] = ("UTF-8", "windows-1254", "ISO-8859-1")) -> DataFrame:
-    """Unknown delimiter and encoding: the first line decides the delimiter, the first encoding without a replacement sign is taken."""
-    for encoding in encodings:
-        head = spark.read.option("encoding", encoding).text(path).first()
-        line = (head.value if head else "").lstrip("﻿")
-        if "�" not in line:
-            break
-    sep = max(seps, key=line.count)
-    df = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+#: Bytes that windows-1254 reads otherwise than ISO-8859-1, their signs there, and the bytes that it leaves undefined.
+_BYTES = [(chr(b), bytes([b]).decode("cp1254", "ignore")) for b in range(128, 256)]
+_LATIN, _TURKISH = ("".join(x) for x in zip(*[(a, c) for a, c in _BYTES if c and a != c]))
+_UNDEFINED = "[" + "".join(a for a, c in _BYTES if not c) + "]"
+
+
+def _encoding(lines: DataFrame) -> str:
+    """The first of UTF-8, windows-1254 and ISO-8859-1 that can decode every line."""
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return "UTF-8"
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return "windows-1254" if lines.where(latin.rlike(_UNDEFINED)).isEmpty() else "ISO-8859-1"
+
+
+def csv_flexible(spark: SparkSession, path: str, seps: str = ",|;\t") -> DataFrame:
+    """Unknown delimiter and encoding: the first line decides the delimiter, all lines decide the encoding.
+
+    Spark doesn't read windows-1254, so such a file is read as ISO-8859-1 and its signs are exchanged.
+    """
+    lines = spark.read.text(path)
+    encoding = _encoding(lines)
+    head = lines.first()
+    sep = max(seps, key=(head.value if head else "").lstrip("\ufeff").count)
+    turkish = encoding == "windows-1254"
+    df = spark.read.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1" if turkish else encoding).csv(path)
+    names = [c.lstrip("\ufeff") for c in df.columns]
+    if not turkish:
+        return df.toDF(*names)
+    df = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    table = str.maketrans(_LATIN, _TURKISH)
+    return df.select(*[F.translate(c, _LATIN, _TURKISH).alias(n.translate(table)) for c, n in zip(df.columns, names)])
 
 
 def text_corpus(spark: SparkSession, path: str) -> DataFrame:
