@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import fuzzy_name, normalize_name_key
 
+from .lineage import cut
+
 
 def numbered_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -59,9 +61,27 @@ def first_date(text: Column, pattern: str = r"\d{1,2}\s*\.\s*\d{1,2}\s*\.\s*\d{4
 
 
 def forward_fill(rows: DataFrame, order: str, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Blank cells take the last value above."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(F.nullif(F.trim(c), F.lit("")), True).over(w) for c in columns})
+    """Blank cells take the last value above.
+
+    Rows are dealt out by range, so no task gets a whole table or group. Each part is filled alone;
+    the cells that are then still blank take the last value of the parts before it.
+    """
+    keys = keys or []
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *keys, order).withColumns({"_part": F.spark_partition_id(), "_tie": F.monotonically_increasing_id()})
+    dealt = cut(dealt)
+    w = Window.partitionBy("_part", *keys).orderBy(order, "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    filled = dealt.withColumns({c: F.last(F.nullif(F.trim(c), F.lit("")), True).over(w) for c in columns})
+    # one row per part and group that it holds: at most the parts plus the groups
+    value = {c: F.nullif(F.trim(c), F.lit("")) for c in columns}
+    last = dealt.groupBy("_part", *keys).agg(*[F.max_by(value[c], F.when(value[c].isNotNull(), F.struct(order, "_tie"))).alias(c) for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select(F.col("_part").alias("_in"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.last(c, True).over(before).alias(f"_v{i}") for i, c in enumerate(columns)])
+    same = filled["_part"] == last["_in"]
+    for i, k in enumerate(keys):
+        same = same & filled[k].eqNullSafe(last[f"_k{i}"])
+    out = filled.join(last, same, "left")
+    return out.select(*[F.coalesce(c, f"_v{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def roster_index(roster: DataFrame, term: str, name: str, order: str) -> DataFrame:

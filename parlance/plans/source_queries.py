@@ -15,6 +15,10 @@ from .registry import query
 from .sqlkit import r6, rounded
 
 
+#: Rows of events from which the documents of ``scan_json_chart`` are made together.
+CHART_ROWS = 1000
+
+
 def _path(spark) -> str:
     return f"{shared_dir(spark)}/parlance-{uuid.uuid4().hex}"
 
@@ -41,7 +45,11 @@ def scan_text_corpus(spark, sf):
 @query("scan_json_chart", "SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events WHERE value > 20")
 def scan_json_chart(spark, sf):
     e = X.table(spark, sf, "events").withColumn("k", F.from_json("props", "k bigint").k)
-    chart = e.groupBy("user_id").agg(F.to_json(F.struct(F.collect_list("k").alias("timestamp"), F.collect_list("value").alias("open"), F.collect_list(F.when(F.col("value") > 20, F.col("value")).otherwise(F.lit(float("nan")))).alias("close"))).alias("json"))
+    # a document holds the events of a user in one block of rows, so none outgrows the block
+    close = F.when(F.col("value") > 20, F.col("value")).otherwise(F.lit(float("nan")))
+    e = e.select("user_id", "k", "value", close.alias("close"), F.floor(F.monotonically_increasing_id() / CHART_ROWS).alias("block"))
+    chart = e.groupBy("user_id", "block").agg(F.collect_list(F.struct("k", "value", "close")).alias("r"))
+    chart = chart.select("user_id", F.to_json(F.struct(F.col("r.k").alias("timestamp"), F.col("r.value").alias("open"), F.col("r.close").alias("close"))).alias("json"))
     rows = chart.select("user_id", F.inline(readers.chart_rows(F.regexp_replace("json", '"NaN"', "null"))))
     return rows.where("close is not null").select("user_id", F.col("timestamp").alias("k"), F.col("close").alias("value"))
 
