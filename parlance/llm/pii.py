@@ -30,7 +30,8 @@ from .common import fresh
 THRESHOLD = 0.6
 #: Characters before a match in which context words count.
 CONTEXT = 48
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: Zeros in front, then one to three digits; the atomic group isn't tried again, so long runs of zeros stay linear.
+_BYTE = r"(?>0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?|(?<=0)(?![0-9])))"
 
 
 def _digits(v: Column) -> Column:

@@ -83,3 +83,11 @@ def test_exact_duplicates(spark):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
     left = exact_dedup.deduplicate(docs)
     assert left.columns == docs.columns and sorted((r.doc_id or 0) for r in left.collect()) == [0, 3, 4, 8, 9]
+
+
+def test_pii_takes_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "127.0.0.1 192.168.0.1", "00.000.0.0255", "0.0.0.256 0.0.0.0256", "1.2.3." + "0" * 4000, "8.8.8.8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.digests(pii.find_spans(docs)).collect()}
+    assert [got[i].n_ip for i in range(len(texts))] == [sum(x.startswith("ip:") for x in brute(t)) for t in texts] == [1, 1, 2, 1, 0, 1, 1]
+    assert pii.redact(docs.where("doc_id = 0")).first().text == "[IP]"
