@@ -122,4 +122,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_fuzzy_line_dedup")
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
+    return line_dedup.groups(table(spark, sf_dir, "documents"), whole=True).drop("row")
