@@ -73,3 +73,16 @@ def test_pruned_graph_reaches_all_near_nodes():
     np.fill_diagonal(s, False)
     found = sum(len(embed_dedup.range_search(x, [np.array(a, int) for a in adjacency], q, start, 0.95, embed_dedup.BEAM)) for q in range(len(x)))
     assert found >= 0.97 * s.sum()
+
+
+def test_a_large_component_is_counted_by_its_core(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CORE", 20)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 30)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=24)
+    vs = [(base + rng.normal(size=24) * s).tolist() for s in [0.05] * 70 + [0.2] * 40]
+    rows = list(enumerate(vs)) + [(500, vs[3]), (501, vs[80])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, node int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    assert got == {i: w for (i, _), w in brute(rows).items()}
