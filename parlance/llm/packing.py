@@ -18,6 +18,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -37,8 +38,9 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 def byte_bpe(name: str = "byte_bpe_50k", eos_text: str = "<|endoftext|>") -> Callable[[list[str]], Iterator[np.ndarray]]:
     """Encoder of a public byte-level BPE vocabulary; runs in tasks. The ids are those of its .json file.
 
-    The ranks file holds the same vocabulary and is several times faster; a text that holds the
-    string of the special token goes through the .json tokenizer itself.
+    The ranks file holds the same vocabulary and is several times faster; a text that holds the string of
+    the special token, or a run of ``RUN`` characters of one kind (on which the fast way runs out of
+    stack or takes quadratic time), goes through the .json tokenizer itself.
     """
 
     def encode(texts: list[str]) -> Iterator[np.ndarray]:
@@ -53,13 +55,17 @@ def byte_bpe(name: str = "byte_bpe_50k", eos_text: str = "<|endoftext|>") -> Cal
             kept = _LOADED[name] = fast, Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         fast, slow = kept
         for t in texts:
-            ids = slow.encode(t, add_special_tokens=False).ids if eos_text in t else fast.encode_ordinary(t)
+            odd = eos_text in t or len(t) >= RUN and _LONG_RUN.search(t)
+            ids = slow.encode(t, add_special_tokens=False).ids if odd else fast.encode_ordinary(t)
             yield np.array(ids, dtype="<u4")
 
     return encode
 
 
 _LOADED: dict = {}
+#: Characters of one kind in a row from which on a text takes the slow way.
+RUN = 20_000
+_LONG_RUN = re.compile(rf"\s{{{RUN}}}|[^\W\d_]{{{RUN}}}|\d{{{RUN}}}|(?:[^\w\s]|_){{{RUN}}}")
 
 
 def pieces(docs: DataFrame, encode=None, seq_len: int = 2048, end_id: int = 0) -> DataFrame:

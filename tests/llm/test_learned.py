@@ -33,6 +33,13 @@ def test_pieces_have_the_tokenizers_ids(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "7", "-", "é", " \n"])
+def test_two_million_characters_of_one_kind(unit):
+    text = "so " + unit * (2_000_000 // len(unit)) + " end"
+    (ids,) = packing.byte_bpe()([text])
+    assert ids.tolist() == hf_ids([text])[0][:-1]
+
+
 def gapless(rows, seq_len=2048):
     by = {}
     for r in rows:
