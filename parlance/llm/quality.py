@@ -1,11 +1,12 @@
 """Quality by importance: the ratio of hashed n-gram generative models for target and raw text.
 
 The raw model counts the hashed word and word-pair features of every document, the target model those
-of labelled good documents. A document's log weight is the sum over its features of log p(target) -
-log p(raw). The verdict compares the weight per feature with a threshold that separates labelled good
-from labelled bad documents; what stays is then importance-sampled without replacement by Gumbel
-top-k: the k largest of (weight per feature x ``temperature`` + Gumbel noise) that a hash of the
-document's id draws.
+of labelled good documents. A document's log importance weight is the sum over its features of
+log p(target) - log p(raw). The verdict compares the weight per feature with a threshold that separates
+labelled good from labelled bad documents; a rejected document has the importance 0, a log weight of
+minus infinity. The rest is importance-sampled without replacement by Gumbel top-k: the k largest of
+log weight / ``temperature`` + Gumbel noise, which a hash of the document's id and row draws. With a
+share of 1, k is the number of accepted documents: the top k are these and need no order (``keep_good``).
 
 The labels used are at most ``MAX_LABELS`` rows in the order of a hash of doc_id, so the side that is
 sent to tasks is bounded; raw counts cover all documents. A model has 2**BITS entries.
@@ -14,7 +15,7 @@ Defined results
     null or blank text: no feature, weight 0 and rejected, never sampled. null doc_id: kept as null.
     No usable label of a kind: every document with a feature is kept (the threshold is minus infinity).
     Conflicting labels of one document: the lowest quality counts. Repeated rows: one result each,
-    with the same verdict. Ties of the noisy weight: in any order. Empty table: empty result.
+    with the same verdict and a draw of its own. Ties of the noisy weight: by doc_id. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ranked
+from .common import fresh, ranked, staged
 from .langid import chunks
 
 BITS = 16
@@ -37,7 +38,7 @@ SMOOTH = 1.0
 SHRINK = 8
 #: Share of the kept documents that Gumbel top-k samples.
 SAMPLE = 0.5
-TEMPERATURE = 20.0
+TEMPERATURE = 1.0
 SEED = 17
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _TABLES: dict = {}
@@ -144,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tup
     some = F.broadcast(some.withColumn("_half", F.pmod(F.xxhash64("_doc", F.lit(SEED)), F.lit(2))))
     rows = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("_doc"), "left")
     model = _model(_counts(rows.withColumn("_good", F.when(F.col("_half") == 0, F.col("_good"))), "_good"))
-    held = _weights(rows.where("_half = 1"), ["_good"], model).where("n_features > 0").toArrow()  # max_labels rows at most
+    held = _weights(rows.where("_half = 1"), ["_doc", "_good"], model).where("n_features > 0")
+    # repeated rows of one document count once, so max_labels rows at most
+    held = held.groupBy("_doc").agg(F.min("_good").alias("_good"), F.avg("n_features").alias("n_features"), F.avg("log_weight").alias("log_weight")).toArrow()
     score = held["log_weight"].to_numpy() / (held["n_features"].to_numpy() + SHRINK)
     return model, threshold(score, held["_good"].to_numpy() == 1)
 
@@ -156,15 +159,21 @@ def score(docs: DataFrame, model: np.ndarray, cut: float, keep: list[str]) -> Da
     return rows.select("*", weight.alias("weight")).withColumn("kept", (F.col("n_features") > 0) & (F.col("weight") >= cut))
 
 
+def gumbel_top_k(rows: DataFrame, share: float = SAMPLE, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+    """``rows`` (doc_id, log_weight, kept, ..) with sampled: the k largest noisy log weights of what is kept, k = ceil(share x kept)."""
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    noisy = F.when(F.col("kept"), F.col("log_weight") / temperature - F.log(-F.log(u))).otherwise(F.lit(float("-inf")))
+    # scored and drawn once: the ranks read the rows several times
+    scored = staged(rows.withColumn("_key", -noisy), "scored")
+    placed = ranked(scored, ["_key", "doc_id"])
+    k = scored.where("kept").agg(F.ceil(F.count("*") * share).alias("_k"))
+    out = placed.crossJoin(F.broadcast(k))  # a table of one row
+    return out.select(*rows.columns, (F.col("kept") & (F.col("rank") < F.col("_k"))).alias("sampled"))
+
+
 def resample(docs: DataFrame, labels: DataFrame, share: float = SAMPLE, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """doc_id, n_features, log_weight, weight, kept and sampled: whether Gumbel top-k over the kept documents takes it."""
-    rows = score(docs, *fit(docs, labels), ["doc_id"])
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = rows.withColumn("_last", (~F.col("kept")).cast("int")).withColumn("_key", -(F.col("weight") * temperature - F.log(-F.log(u))))
-    rows = ranked(rows, ["_last", "_key", "doc_id"])
-    k = rows.where("kept").agg(F.ceil(F.count("*") * share).alias("_k"))
-    out = rows.crossJoin(F.broadcast(k))  # a table of one row
-    return out.select("doc_id", "n_features", "log_weight", "weight", "kept", (F.col("kept") & (F.col("rank") < F.col("_k"))).alias("sampled"))
+    return gumbel_top_k(score(docs, *fit(docs, labels), ["doc_id"]), share, temperature, seed)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -145,6 +145,41 @@ def test_quality_separates_and_samples(spark):
     assert quality.resample(docs, labels.limit(0)).where("kept").count() == docs.count() - 2
 
 
+def test_quality_equals_brute_force(spark):
+    """Weights, threshold and verdicts recomputed document by document."""
+    rng = np.random.default_rng(3)
+    good = [" ".join(rng.choice(["calm", "river", "stone", "and", "the"], 12)) for _ in range(60)]
+    bad = [" ".join(rng.choice(["buy", "now", "cheap", "and", "the"], 12)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(200, None), (201, good[0]), (201, good[0])]
+    labels = [(i, int(i < 60)) for i in range(120)] + [(None, 1), (5, None), (201, 1)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, weight double")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    half = {r.doc_id: r.h for r in marks.where("doc_id is not null and quality is not null").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED)), F.lit(2)).alias("h")).collect()}
+    label = {i: q for i, q in labels if i is not None and q is not None}
+    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, t in rows:
+        for b in quality.features([t or ""])[1]:
+            raw[b] += 1
+            target[b] += label.get(i) == 1 and half[i] == 0
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    weight = lambda t: sum(ratio[b] for b in quality.features([t or ""])[1])
+    per = lambda t: weight(t) / (len(quality.features([t or ""])[1]) + quality.SHRINK)
+    held = [(per(t), label[i] == 1) for i, t in dict(rows).items() if i in label and half[i] == 1 and t]
+    cut = max(np.sort([s for s, _ in held]), key=lambda c: np.mean([s >= c for s, g in held if g]) + np.mean([s < c for s, g in held if not g]))
+    got = quality.resample(docs, marks).collect()
+    for r, (i, t) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0])):
+        assert r.doc_id == i and abs(r.log_weight - weight(t)) < 1e-6 and r.kept == (bool(t) and per(t) >= cut)
+
+
+def test_gumbel_top_k_draws_by_importance(spark):
+    rows = [(i % 7, float(np.log(3)) if i % 2 else 0.0, i % 10 != 9) for i in range(20000)]
+    df = spark.createDataFrame(rows, "doc_id long, log_weight double, kept boolean")
+    got = quality.gumbel_top_k(df, 0.02).toPandas()
+    some = got[got.sampled]
+    # 8000 accepted rows of weight 3 and 10000 of weight 1: 24 of 34 draws
+    assert len(some) == 360 and some.kept.all() and 0.62 < (some.log_weight > 0).mean() < 0.79
+
+
 def brute_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(str.maketrans(url_filter.UPPER, url_filter.LOWER)), m[2]) if m else ("", "")
