@@ -86,18 +86,45 @@ def pattern_hits(text: Column, patterns: list[str]) -> Column:
     return total
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, wherever the body uses it, lambdas included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column, block: int = 128) -> Column:
+    """Running sums of an array of integers, in blocks: a single pass would copy its result at each element."""
+    number = lambda x: x.cast("bigint")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+
+    def sums(a: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("s"), F.array().cast("array<bigint>").alias("a"))
+        return F.aggregate(a, zero, lambda acc, x: F.struct((acc.s + x).alias("s"), F.concat(acc.a, F.array(acc.s + x)).alias("a")), lambda acc: acc.a)
+
+    def joined(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, total), F.lit(0).cast("bigint"))
+        return F.flatten(F.zip_with(blocks, ends, lambda a, end: sums(a, end - total(a))))
+
+    firsts = lambda a: F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(block))
+    cut = lambda a: F.transform(firsts(a), lambda i: F.slice(a, i, F.lit(block)))
+    return let(F.transform(numbers, number), lambda a: let(cut(a), joined))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, match) of non-overlapping matches, starts in characters from 0."""
-    hits, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    steps = F.transform(hits, lambda m, i: F.length(F.get(parts, i)) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0))
-    zero = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("a"))
-    starts = F.aggregate(steps, zero, lambda acc, x: F.struct((acc.s + x).alias("s"), F.concat(acc.a, F.array(acc.s + x)).alias("a")), lambda acc: acc.a)
-    return F.zip_with(hits, starts, lambda m, s: F.struct(s.alias("start"), m.alias("match")))
+    """Array of (start, match) of non-overlapping matches, starts in characters from 0; linear in the matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(hits: Column) -> Column:
+        before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        ends = running_sums(F.zip_with(before, hits, lambda x, m: F.length(x) + F.length(m)))
+        return F.zip_with(hits, ends, lambda m, end: F.struct((end - F.length(m)).cast("int").alias("start"), m.alias("match")))
+
+    return let(found, placed)
 
 
 def windows(text: Column, pattern: str, radius: int) -> Column:
     """The text around every match, cut at both ends of the text; overlapping windows all stay."""
-    return F.transform(matches(text, pattern), lambda m: F.substring(text, F.greatest(m.start - radius, F.lit(0)) + 1, F.least(m.start, F.lit(radius)) + F.length(m.match) + radius))
+    around = lambda t: lambda m: F.substring(t, F.greatest(m.start - radius, F.lit(0)) + 1, F.least(m.start, F.lit(radius)) + F.length(m.match) + radius)
+    return let(text, lambda t: F.transform(matches(t, pattern), around(t)))
 
 
 def parse_local_date(raw: Column) -> Column:

@@ -80,7 +80,7 @@ def sides(positions: DataFrame, keys: list[str], entity: str, position: str) ->
     p = F.coalesce(F.col(position), F.lit(0.0))
     rows = positions.withColumn("_p", p)
     rows = rows.withColumns({"_lo": F.min("_p").over(w), "_hi": F.max("_p").over(w), "_m": F.median("_p").over(w)})
-    cut = F.when((F.col("_lo") >= 0) | (F.col("_hi") < 0), F.col("_m")).otherwise(0.0)
+    cut = F.when((F.col("_lo") >= 0) | (F.col("_hi") <= 0), F.col("_m")).otherwise(0.0)
     rows = rows.withColumn("_s", F.when(F.col("_p") >= cut, 1).otherwise(-1))
     rows = rows.withColumns({"_one": F.abs(F.avg("_s").over(w)) == 1, "_r": F.row_number().over(w.orderBy("_p", entity)), "_n": F.count("*").over(w)})
     side = F.when(F.col("_one"), F.when(F.col("_r") <= F.col("_n") / 2, -1).otherwise(1)).otherwise(F.col("_s"))
@@ -115,18 +115,24 @@ def signed_knn(pairs: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
 
 
 def gatekeepers(pairs: DataFrame, membership: DataFrame, keys: list[str], entity: str) -> DataFrame:
-    """Reach to both poles, balance, score ln(1 + 25 reach) x balance (x 1.15 if neutral), and pressure of negative ties."""
+    """Reach of each node to both poles over ties of either sign, balance of the two, and the gatekeeper score.
+
+    score = ln(1 + 25 reach) x balance (x 1.15 for a node of no pole); cross pressure is the same over
+    negative ties alone, without the bonus. ``membership`` has side 1, -1 or 0.
+    """
     ends = pairs.select(*keys, "a", "b", "w").unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     to = membership.select(*keys, F.col(entity).alias("b"), F.col("side").alias("pole"))
     rows = ends.join(to, [*keys, "b"])
-    reach = lambda pole, sign: F.sum(F.when((F.col("pole") == pole) & (F.signum("w") == sign), F.abs("w")).otherwise(0.0))
-    r = rows.groupBy(*keys, F.col("a").alias(entity)).agg(reach(1, 1).alias("to_plus"), reach(-1, 1).alias("to_minus"), reach(1, -1).alias("no_plus"), reach(-1, -1).alias("no_minus"))
-    r = r.join(membership, [*keys, entity])
+    tie = lambda pole, sign: F.sum(F.when((F.col("pole") == pole) & (F.signum("w") == sign), F.abs("w")).otherwise(0.0))
+    r = rows.groupBy(*keys, F.col("a").alias(entity)).agg(tie(1, 1).alias("pos_to_plus"), tie(-1, 1).alias("pos_to_minus"), tie(1, -1).alias("neg_to_plus"), tie(-1, -1).alias("neg_to_minus"))
+    r = r.withColumns({"reach_plus": F.col("pos_to_plus") + F.col("neg_to_plus"), "reach_minus": F.col("pos_to_minus") + F.col("neg_to_minus")})
     even = lambda a, b: F.least(a, b) / (F.col(a) + F.col(b) + 1e-9)
+    weight = lambda a, b: F.log1p(25 * (F.col(a) + F.col(b)))
     bonus = F.when(F.col("side") == 0, 1.15).otherwise(1.0)
-    score = F.log1p(25 * (F.col("to_plus") + F.col("to_minus"))) * even("to_plus", "to_minus") * bonus
-    cross = F.log1p(25 * (F.col("no_plus") + F.col("no_minus"))) * even("no_plus", "no_minus")
-    return r.select(*keys, entity, "side", even("to_plus", "to_minus").alias("balance"), score.alias("gatekeeper_score"), cross.alias("cross_pressure"))
+    score = weight("reach_plus", "reach_minus") * even("reach_plus", "reach_minus") * bonus
+    cross = weight("neg_to_plus", "neg_to_minus") * even("neg_to_plus", "neg_to_minus")
+    out = r.join(membership, [*keys, entity])
+    return out.select(*keys, entity, "side", even("reach_plus", "reach_minus").alias("balance"), score.alias("gatekeeper_score"), cross.alias("cross_pressure"))
 
 
 def directed_edges(d: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -258,8 +264,9 @@ def backbone(pairs: DataFrame, keys: list[str], ratio: float) -> DataFrame:
     """Maximum spanning forest and the strongest other edges, up to max(n - 1, ceil(E x ratio)); graphs of two nodes stay as they are."""
 
     def of(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["w"] > 0].sort_values(["w", "a", "b"], ascending=[False, True, True])
+        # nodes without a positive tie count too
         root = {v: v for v in set(g["a"]) | set(g["b"])}
+        g = g[g["w"] > 0].sort_values(["w", "a", "b"], ascending=[False, True, True])
 
         def find(v):
             while root[v] != v:

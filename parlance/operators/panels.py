@@ -49,11 +49,11 @@ def sums_by(m: DataFrame, keys: list[str]) -> DataFrame:
     return m.groupBy(*keys).agg(F.sum("mention_count").alias("mentions"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def active_speakers(m: DataFrame, least: int = 8, quantile: float = 0.4) -> DataFrame:
-    """Speakers with at least max(least, quantile of the speakers' totals) mentions."""
-    total = m.groupBy("speaker").agg(F.sum("mention_count").alias("mentions"))
+def active_speakers(m: DataFrame, least: int = 8, quantile: float = 0.4, keys: tuple[str, ...] = ("speaker", "party")) -> DataFrame:
+    """Speakers (per party) with at least max(least, quantile of the totals) mentions; rows with a null key are dropped."""
+    total = m.dropna(subset=list(keys)).groupBy(*keys).agg(F.sum("mention_count").alias("mentions"))
     cut = total.agg(F.greatest(F.lit(float(least)), F.percentile("mentions", F.lit(quantile))).alias("cut"))
-    return total.join(F.broadcast(cut), F.col("mentions") >= F.col("cut")).select("speaker", "mentions")
+    return total.join(F.broadcast(cut), F.col("mentions") >= F.col("cut")).select(*keys, "mentions")
 
 
 def party_summary(m: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -63,8 +63,8 @@ def feature_matrix_speaker(spark, sf):
     return rounded(P.feature_matrix(f, ["speaker"], X.CONCEPTS))
 
 
-@query("active_speakers", X.with_m("""t AS (SELECT speaker, sum(mention_count)::BIGINT AS mentions FROM m GROUP BY 1)
-  SELECT speaker, mentions FROM t WHERE mentions >= (SELECT greatest(8.0, quantile_cont(mentions, 0.4)) FROM t)"""))
+@query("active_speakers", X.with_m("""t AS (SELECT speaker, party, sum(mention_count)::BIGINT AS mentions FROM m GROUP BY ALL)
+  SELECT speaker, party, mentions FROM t WHERE mentions >= (SELECT greatest(8.0, quantile_cont(mentions, 0.4)) FROM t)"""))
 def active_speakers(spark, sf):
     return P.active_speakers(X.mentions(spark, sf))
 

@@ -304,16 +304,21 @@ def signed_knn_graph(spark, sf):
 
 _SIDE = "sd AS (SELECT DISTINCT year, party, CASE WHEN ascii(substr(party, length(party), 1)) % 3 = 0 THEN 1 WHEN ascii(substr(party, length(party), 1)) % 3 = 1 THEN -1 ELSE 0 END AS side FROM lo)"
 _GATE = f"""{_SIDE}, ee AS (SELECT year, a, b, w FROM kn UNION ALL SELECT year, b, a, w FROM kn),
-  rr AS (SELECT e.year, e.a AS party, sum(CASE WHEN side = 1 AND w > 0 THEN w ELSE 0 END) AS pp, sum(CASE WHEN side = -1 AND w > 0 THEN w ELSE 0 END) AS pm, sum(CASE WHEN side = 1 AND w < 0 THEN -w ELSE 0 END) AS np, sum(CASE WHEN side = -1 AND w < 0 THEN -w ELSE 0 END) AS nm FROM ee e JOIN sd ON e.year = sd.year AND e.b = sd.party GROUP BY ALL)"""
+  rr AS (SELECT e.year, e.a AS party, sum(CASE WHEN side = 1 THEN abs(w) ELSE 0 END) AS rp, sum(CASE WHEN side = -1 THEN abs(w) ELSE 0 END) AS rm, sum(CASE WHEN side = 1 AND w < 0 THEN -w ELSE 0 END) AS np, sum(CASE WHEN side = -1 AND w < 0 THEN -w ELSE 0 END) AS nm FROM ee e JOIN sd ON e.year = sd.year AND e.b = sd.party GROUP BY ALL),
+  gk AS (SELECT year, party, side, least(rp, rm) / (rp + rm + 1e-9) AS balance, ln(1 + 25 * (rp + rm)) * (least(rp, rm) / (rp + rm + 1e-9)) * CASE WHEN side = 0 THEN 1.15 ELSE 1 END AS gatekeeper_score, ln(1 + 25 * (np + nm)) * (least(np, nm) / (np + nm + 1e-9)) AS cross_pressure FROM rr JOIN sd USING (year, party))"""
 
 
-@query("gatekeeper_scores", X.with_m(f"{_LONG}, {_ZL}, {_COS('z', 'zs')}, {_KNN}, {_GATE} SELECT year, party, side, {r6('least(pp, pm) / (pp + pm + 1e-9)')} AS balance, {r6('ln(1 + 25 * (pp + pm)) * (least(pp, pm) / (pp + pm + 1e-9)) * CASE WHEN side = 0 THEN 1.15 ELSE 1 END')} AS gatekeeper_score, {r6('ln(1 + 25 * (np + nm)) * (least(np, nm) / (np + nm + 1e-9))')} AS cross_pressure FROM rr JOIN sd USING (year, party)", nation=True))
-def gatekeeper_scores(spark, sf):
+def _gatekeepers(spark, sf):
     lo = _long(spark, sf, True)
     knn = graphs.signed_knn(graphs.signed_affinity(lo, ["year"], "party", "value"), ["year"])
     third = F.ascii(F.right("party", F.lit(1))) % 3
     side = lo.select("year", "party").distinct().withColumn("side", F.when(third == 0, 1).when(third == 1, -1).otherwise(0))
-    return rounded(graphs.gatekeepers(knn, side, ["year"], "party"))
+    return graphs.gatekeepers(knn, side, ["year"], "party")
+
+
+@query("gatekeeper_scores", X.with_m(f"{_LONG}, {_ZL}, {_COS('z', 'zs')}, {_KNN}, {_GATE} SELECT year, party, side, {r6('balance')} AS balance, {r6('gatekeeper_score')} AS gatekeeper_score, {r6('cross_pressure')} AS cross_pressure FROM gk", nation=True))
+def gatekeeper_scores(spark, sf):
+    return rounded(_gatekeepers(spark, sf))
 
 
 @query("directed_edges", f"WITH {X.DIRECTED_SQL} SELECT source, target, count(DISTINCT speech_id) AS speeches, {r6('sum(total)')} AS total, {r6('sum(positive)')} AS positive, {r6('sum(negative)')} AS negative FROM directed GROUP BY ALL")
@@ -353,13 +358,15 @@ def pagerank(spark, sf):
 
 
 # axis
-_W = f"mz AS (SELECT party, concept, avg(z) AS z FROM zs GROUP BY ALL), {X.ANCHORS_SQL}, w0 AS (SELECT concept, CASE WHEN stddev_pop(z) = 0 THEN 0 ELSE corr(z, anchor) END AS w FROM mz JOIN anchors USING (party) GROUP BY concept), ww AS (SELECT concept, w / sqrt(sum(w * w) OVER ()) AS w FROM w0)"
-_P = "ps AS (SELECT year, party, sum(z * w) AS position FROM zs JOIN ww USING (concept) GROUP BY ALL)"
-_AXIS = f"{_LONG}, {_ZL}, {_W}, {_P}"
+_ZA = "za AS (SELECT *, coalesce((value - avg(value) OVER w) / CASE WHEN coalesce(stddev_samp(value) OVER w, 0) = 0 THEN 1 ELSE stddev_samp(value) OVER w END, 0) AS z FROM lo WINDOW w AS (PARTITION BY concept))"
+_W = f"mz AS (SELECT party, concept, avg(z) AS z FROM za GROUP BY ALL), {X.ANCHORS_SQL}, w0 AS (SELECT concept, CASE WHEN stddev_pop(z) = 0 THEN 0 ELSE corr(z, anchor) END AS w FROM mz JOIN anchors USING (party) GROUP BY concept), ww AS (SELECT concept, w / sqrt(sum(w * w) OVER ()) AS w FROM w0)"
+_P = "ps AS (SELECT year, party, sum(z * w) AS position FROM za JOIN ww USING (concept) GROUP BY ALL)"
+_AXIS = f"{_LONG}, {_ZA}, {_W}, {_P}"
 
 
 def _z(spark, sf):
-    return graphs.zscores(_long(spark, sf), ["year"])
+    """Standardised over all rows (year, party), as the axis is one for all years."""
+    return graphs.zscores(_long(spark, sf), [])
 
 
 def _positions(spark, sf):
@@ -403,13 +410,13 @@ def drift_summary(spark, sf):
     return rounded(axis.drift(_positions(spark, sf), "year"))
 
 
-@query("axis_loo", X.with_m(f"""{_AXIS}, fp AS (SELECT party, sum(z * w) AS f FROM zs JOIN ww USING (concept) GROUP BY 1), wl AS (SELECT l.party AS left_out, concept, corr(z, k.anchor) AS w FROM mz JOIN anchors k USING (party) JOIN anchors l ON l.party <> mz.party GROUP BY ALL),
-  wn AS (SELECT left_out, concept, w / sqrt(sum(w * w) OVER (PARTITION BY left_out)) AS w FROM wl), pl AS (SELECT left_out, party, sum(z * w) AS p FROM zs JOIN wn USING (concept) GROUP BY ALL) SELECT left_out, {r6('corr(p, f)')} AS r FROM pl JOIN fp USING (party) GROUP BY left_out"""))
+@query("axis_loo", X.with_m(f"""{_AXIS}, fp AS (SELECT party, sum(z * w) AS f FROM za JOIN ww USING (concept) GROUP BY 1), wl AS (SELECT l.party AS left_out, concept, corr(z, k.anchor) AS w FROM mz JOIN anchors k USING (party) JOIN anchors l ON l.party <> mz.party GROUP BY ALL),
+  wn AS (SELECT left_out, concept, w / sqrt(sum(w * w) OVER (PARTITION BY left_out)) AS w FROM wl), pl AS (SELECT left_out, party, sum(z * w) AS p FROM za JOIN wn USING (concept) GROUP BY ALL) SELECT left_out, {r6('corr(p, f)')} AS r FROM pl JOIN fp USING (party) GROUP BY left_out"""))
 def axis_loo(spark, sf):
     return rounded(axis.leave_one_out(_z(spark, sf), X.anchors(spark)))
 
 
-@query("side_partition", X.with_m(f"{_AXIS}, q AS (SELECT *, min(position) OVER w AS lo, max(position) OVER w AS hi, median(position) OVER w AS md FROM ps WINDOW w AS (PARTITION BY year)) SELECT year, party, CASE WHEN position >= CASE WHEN lo >= 0 OR hi < 0 THEN md ELSE 0 END THEN 1 ELSE -1 END AS side FROM q"))
+@query("side_partition", X.with_m(f"{_AXIS}, q AS (SELECT *, min(position) OVER w AS lo, max(position) OVER w AS hi, median(position) OVER w AS md FROM ps WINDOW w AS (PARTITION BY year)) SELECT year, party, CASE WHEN position >= CASE WHEN lo >= 0 OR hi <= 0 THEN md ELSE 0 END THEN 1 ELSE -1 END AS side FROM q"))
 def side_partition(spark, sf):
     return graphs.sides(_positions(spark, sf), ["year"], "party", "position")
 
@@ -417,8 +424,8 @@ def side_partition(spark, sf):
 _MOD = lambda s: f"""SELECT e.year, coalesce(sum(CASE WHEN x.side = y.side THEN greatest({s} * w, 0) ELSE 0 END) / nullif(sum(greatest({s} * w, 0)), 0), 0) - coalesce((SELECT sum(ks * ks) FROM (SELECT sum(greatest({s} * f.w, 0)) AS ks FROM en f JOIN si z ON z.year = f.year AND z.party = f.a WHERE f.year = e.year GROUP BY z.side)) / nullif(pow(sum(greatest({s} * w, 0)), 2), 0), 0) AS q FROM en e JOIN si x ON x.year = e.year AND x.party = e.a JOIN si y ON y.year = e.year AND y.party = e.b GROUP BY e.year"""
 
 
-@query("signed_modularity", X.with_m(f"""{_AXIS}, {_COS('z', 'zs')}, en AS (SELECT year, a, b, w FROM pr UNION ALL SELECT year, b, a, w FROM pr), q0 AS (SELECT *, min(position) OVER w AS lo, max(position) OVER w AS hi, median(position) OVER w AS md FROM ps WINDOW w AS (PARTITION BY year)),
-  si AS (SELECT year, party, CASE WHEN position >= CASE WHEN lo >= 0 OR hi < 0 THEN md ELSE 0 END THEN 1 ELSE -1 END AS side FROM q0), qp AS ({_MOD('1')}), qm AS ({_MOD('-1')}) SELECT year, {r6('qp.q - qm.q')} AS modularity FROM qp JOIN qm USING (year)"""))
+@query("signed_modularity", X.with_m(f"""{_AXIS}, {_ZL}, {_COS('z', 'zs')}, en AS (SELECT year, a, b, w FROM pr UNION ALL SELECT year, b, a, w FROM pr), q0 AS (SELECT *, min(position) OVER w AS lo, max(position) OVER w AS hi, median(position) OVER w AS md FROM ps WINDOW w AS (PARTITION BY year)),
+  si AS (SELECT year, party, CASE WHEN position >= CASE WHEN lo >= 0 OR hi <= 0 THEN md ELSE 0 END THEN 1 ELSE -1 END AS side FROM q0), qp AS ({_MOD('1')}), qm AS ({_MOD('-1')}) SELECT year, {r6('qp.q - qm.q')} AS modularity FROM qp JOIN qm USING (year)"""))
 def signed_modularity(spark, sf):
     pairs = graphs.signed_affinity(_long(spark, sf), ["year"], "party", "value")
     side = graphs.sides(_positions(spark, sf), ["year"], "party", "position")
