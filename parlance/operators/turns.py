@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import speakers as S
 from parlance.functions.text import fuzzy_name, normalize_name_key
 
 from .lineage import cut
@@ -14,20 +15,21 @@ def numbered_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def merge_split_lines(lines: DataFrame, key: str, name: Column, rest: Column) -> DataFrame:
-    """A name line followed by a line that starts its speech is one line; the second is consumed.
+def merge_split_lines(lines: DataFrame, key: str, name: Column | None = None) -> DataFrame:
+    """A name line followed by a line that starts with - or : becomes ``name - speech``; the second is consumed.
 
-    In a run of lines that are both, a line is consumed only if the one before wasn't.
+    Lines are stripped. In a run of lines that are both, a line is consumed only if the one before wasn't.
     """
+    rows = lines.withColumn("line", S.strip(F.col("line")))
     w = Window.partitionBy(key).orderBy("pos")
-    rows = lines.withColumns({"_name": name, "_rest": rest})
+    rows = rows.withColumns({"_name": S.looks_like_speaker(F.col("line")) if name is None else name, "_rest": F.col("line").rlike(S.CONTINUES)})
     link = rows.withColumn("_link", F.coalesce(F.lag("_name").over(w) & F.col("_rest"), F.lit(False)))
     # position inside the run of linked lines: odd ones are consumed
     link = link.withColumn("_run", F.sum((~F.col("_link")).cast("int")).over(w))
     link = link.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_run").orderBy("pos")) - 1)
-    taken = F.col("_k") % 2 == 1
-    rows = link.withColumns({"_taken": taken, "_next": F.when(F.lead(taken).over(w), F.lead("line").over(w))})
-    out = rows.where("not _taken").withColumn("line", F.when(F.col("_next").isNull(), F.col("line")).otherwise(F.concat_ws(" ", "line", "_next")))
+    link = link.withColumn("_taken", F.col("_k") % 2 == 1)
+    link = link.withColumn("_next", F.when(F.lead("_taken").over(w), S.strip(F.regexp_extract(F.lead("line").over(w), S.CONTINUES, 1))))
+    out = link.where("not _taken").withColumn("line", F.when(F.col("_next").isNull(), F.col("line")).otherwise(S.strip(F.concat("line", F.lit(" - "), "_next"))))
     return out.select(*lines.columns)
 
 
@@ -91,19 +93,67 @@ def roster_index(roster: DataFrame, term: str, name: str, order: str) -> DataFra
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+# Names that are settled by hand (party, name), and the role of the presiding officer.
+OVERRIDES = {
+    "izzet celik": ("Adalet ve Kalkınma Partisi", "İZZET ÇETİN"),
+    "reyhan balandi": ("Adalet ve Kalkınma Partisi", "REYHAN BALANDI"),
+    "cicek": ("Adalet ve Kalkınma Partisi", "CEMİL ÇİÇEK"),
+    "sidika aydogan": ("Cumhuriyet Halk Partisi", "SIDIKA AYDOĞAN"),
+    "feridun fikrat baloglu": ("Cumhuriyet Halk Partisi", "FERİDUN FİKRET BALOĞLU"),
+    "fevzi berdibek": ("Adalet ve Kalkınma Partisi", "FEVZİ BERDİBEK"),
+    "idris naim sahih": ("Adalet ve Kalkınma Partisi", "İDRİS NAİM ŞAHİN"),
+    "baskan": ("MECLİS BAŞKANLIĞI", "BAŞKAN"),
+    "basan": ("MECLİS BAŞKANLIĞI", "BAŞKAN"),
+}
+PRESIDING = ("MECLİS BAŞKANLIĞI", "BAŞKAN")
+ROLES = ["MECLİS BAŞKANLIĞI", "KOMİSYON SÖZCÜSÜ", "Bilinmeyen", "BAKANLAR KURULU"]
+#: Letters by which a contained roster name is looked up; shorter names are never contained ones.
+_GRAM = 6
+
+
 def resolve_speakers(names: DataFrame, roster: DataFrame, name: str = "speaker", term: str = "term") -> DataFrame:
-    """Each distinct (speaker, term): exact in term, contained or fuzzy in term (first in the roster), exact anywhere, else unknown.
+    """(speaker, term, party, clean_name, stage) of each distinct (speaker, term).
 
-    The fuzzy stage joins only on shared words, so it isn't a product of names and roster.
+    The first stage that holds: override, presiding officer, exact in the term, a roster name of the term
+    that is contained or fuzzy (the first in the roster), exact in any term, party from the prefix, unknown.
+    ``roster`` is a roster index (term, name_key, row, party, clean_name). The contained stage joins on
+    six letters, the fuzzy one on shared words, so neither is a product of names and roster; Spark
+    chooses the join by the roster's size. null speaker: the empty name.
     """
     q = names.select(name, term).distinct().withColumn("name_key", normalize_name_key(F.col(name)))
-    exact = roster.select(term, "name_key", F.col("party").alias("p1"))
-    q = q.join(F.broadcast(exact), [term, "name_key"], "left")
+    fixed = F.create_map(*[F.lit(x) for k, v in OVERRIDES.items() for x in (k, v[0])]), F.create_map(*[F.lit(x) for k, v in OVERRIDES.items() for x in (k, v[1])])
+    chair = F.contains("name_key", F.lit("baskan")) & ~F.contains("name_key", F.lit("basbakan"))
+    known = lambda k: F.coalesce(fixed[k][F.col("name_key")], F.when(chair, PRESIDING[k]))
+    q = q.withColumns({"p0": known(0), "n0": known(1)})
+    q = q.join(roster.select(term, "name_key", F.col("party").alias("p1"), F.col("clean_name").alias("n1")), [term, "name_key"], "left")
+    other = roster.select(term, F.col("name_key").alias("_k"), F.col("party").alias("_p"), F.col("clean_name").alias("_c"), F.col("row").alias("_row"))
+    open_ = q.where("p0 is null and p1 is null").select(name, term, "name_key")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name_key") - _GRAM + 1, F.lit(1))), lambda i: F.substring("name_key", i, F.lit(_GRAM))))
+    held = open_.withColumn("_g", F.explode(grams)).join(other.where(F.length("_k") >= _GRAM).withColumn("_g", F.left("_k", F.lit(_GRAM))), [term, "_g"]).where(F.contains("name_key", F.col("_k")))
     words = lambda df, c: df.withColumn("_w", F.explode(F.array_distinct(F.split(c, " "))))
-    other = roster.select(term, F.col("name_key").alias("_k"), "party", F.col("row").alias("_row"))
-    near = words(q.where("p1 is null"), F.col("name_key")).join(words(other, F.col("_k")), [term, "_w"])
-    held = (F.length("name_key") > 5) & (F.contains(F.col("_k"), F.col("name_key")) | F.contains(F.col("name_key"), F.col("_k")))
-    near = near.where(held | fuzzy_name(F.col("name_key"), F.col("_k"))).groupBy(name, term).agg(F.min_by("party", "_row").alias("p2"))
-    anywhere = roster.groupBy("name_key").agg(F.max_by("party", "row").alias("p3"))
-    out = q.join(near, [name, term], "left").join(F.broadcast(anywhere), "name_key", "left")
-    return out.select(name, term, F.coalesce("p1", "p2", "p3", F.lit("Bilinmeyen")).alias("party"))
+    fuzzy = words(open_, F.col("name_key")).join(words(other, F.col("_k")), [term, "_w"]).where(fuzzy_name(F.col("name_key"), F.col("_k")))
+    pick = [name, term, "_p", "_c", "_row"]
+    near = held.select(pick).unionByName(fuzzy.select(pick)).groupBy(name, term).agg(F.min_by(F.struct("_p", "_c"), "_row").alias("_n"))
+    near = near.select(name, term, F.col("_n._p").alias("p2"), F.col("_n._c").alias("n2"))
+    anywhere = roster.groupBy("name_key").agg(F.max_by(F.struct("party", "clean_name"), "row").alias("_a"))
+    anywhere = anywhere.select("name_key", F.col("_a.party").alias("p3"), F.col("_a.clean_name").alias("n3"))
+    out = q.join(near, [name, term], "left").join(anywhere, "name_key", "left")
+    prefix = S.party_from_prefix(F.col(name))
+    stage = F.when(F.col("p0").isNotNull(), "fixed").when(F.col("p1").isNotNull(), "exact").when(F.col("p2").isNotNull(), "near").when(F.col("p3").isNotNull(), "anywhere").when(prefix.isNotNull(), "prefix").otherwise("unknown")
+    upper = S.strip(F.upper(F.coalesce(F.col(name), F.lit(""))))
+    return out.select(name, term, F.coalesce("p0", "p1", "p2", "p3", prefix, F.lit("Bilinmeyen")).alias("party"), F.coalesce("n0", "n1", "n2", "n3", upper).alias("clean_name"), stage.alias("stage"))
+
+
+def reresolve(rows: DataFrame, roster: DataFrame, name: str = "speaker", term: str = "term", party: str = "party") -> DataFrame:
+    """``rows`` with new_party and new_speaker from the cascade above.
+
+    Blank names and words that no name has keep what they have (unknown if blank); a role label stays
+    where the cascade finds nothing.
+    """
+    found = resolve_speakers(rows, roster, name, term).select(F.col(name).alias("_s"), F.col(term).alias("_t"), F.col("party").alias("_p"), "clean_name")
+    out = rows.join(found, rows[name].eqNullSafe(F.col("_s")) & rows[term].eqNullSafe(F.col("_t")), "left")
+    speaker, now = S.strip(F.coalesce(F.col(name), F.lit(""))), S.strip(F.coalesce(F.col(party), F.lit("")))
+    skip = (speaker == "") | F.upper(speaker).isin(S.NOT_NAMES)
+    new = F.when(skip, F.when(now == "", "Bilinmeyen").otherwise(now)).when(now.isin(ROLES) & (F.col("_p") == "Bilinmeyen"), now).otherwise(F.col("_p"))
+    clean = F.when(skip, speaker).otherwise(F.coalesce(F.nullif("clean_name", F.lit("")), speaker))
+    return out.select(*[rows[c] for c in rows.columns], new.alias("new_party"), clean.alias("new_speaker"))

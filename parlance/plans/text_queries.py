@@ -205,11 +205,6 @@ def speaker_confidence(spark, sf):
     return rounded(rows.select("doc_id", F.md5(F.col("line").cast("binary")).alias("line"), "n", T.speaker_confidence(F.col("line")).alias("confidence")))
 
 
-@query("line_is_garbage", rf"WITH {_LINES} SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^\s*$|^[0-9]+$|@|!!')) AS garbage, count(*) AS n FROM ln GROUP BY doc_id")
-def line_is_garbage(spark, sf):
-    return _lines(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("line").rlike(r"^\s*$|^[0-9]+$|@|!!")).alias("garbage"), F.count("*").alias("n"))
-
-
 @query("fuzzy_name_match", "WITH w AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_brand), ' ')) AS ws FROM part) SELECT p_partkey, len(list_intersect(ws, ['red', 'widget', 'brand#1'])) >= 2 AND (len(list_intersect(ws, ['red', 'widget', 'brand#1'])) IN (3, len(ws))) AS fuzzy FROM w")
 def fuzzy_name_match(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", T.fuzzy_name(F.lower(F.concat_ws(" ", "p_name", "p_brand")), F.lit("red widget brand#1")).alias("fuzzy"))
