@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import stage_windows
@@ -52,3 +52,47 @@ def rate_ratio(rows: DataFrame, keys: list[str], count: str, exposure: str, stag
     s = s.select("*", ok.alias("ok"), ratio.alias("ratio"))
     se = F.when(F.col("ok"), F.sqrt(1 / F.col("c1") + 1 / F.col("c2")))
     return s.select("*", F.log("ratio").alias("log_ratio"), se.alias("se"), (F.log("ratio") / se).alias("z"))
+
+
+def registry(events: DataFrame, windows: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Per event its effective month, the months of each stage as one string, and the size of the eligible pool without it."""
+    text = lambda s: F.array_join(F.array_sort(F.collect_list(F.when(F.col("stage") == s, F.date_format("month", "yyyy-MM")))), ",")
+    months = windows.groupBy("event").agg(*[text(s).alias(f"{s}_months") for s in ("pre", "shock", "post")])
+    pool = events.join(eligible.withColumnRenamed("month", "_m"), F.col("_m") != F.col("event_month"), "left").groupBy("event").agg(F.count("_m").alias("eligible_pool"))
+    return events.join(months, "event").join(pool, "event")
+
+
+def null_zscores(rows: DataFrame, observed: str = "observed", mean: str = "null_mean", std: str = "null_std") -> DataFrame:
+    """``rows`` with z, null without a spread of the null."""
+    return rows.withColumn("z", (F.col(observed) - F.col(mean)) / F.nullif(F.col(std), F.lit(0.0)))
+
+
+def null_summary(rows: DataFrame, keys: list[str], p: str = "null_p", at: float = 0.10) -> DataFrame:
+    """Mean and least p, share of p at or under ``at``, mean and largest absolute z."""
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("events"), F.avg(p).alias("mean_p"), F.min(p).alias("min_p"), F.avg((F.col(p) <= at).cast("double")).alias("share_low_p"), F.avg(F.abs("z")).alias("mean_abs_z"), F.max(F.abs("z")).alias("max_abs_z")
+    )
+
+
+def stage_rows(windows: DataFrame, rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Sums of the rows of each stage of each event, all events in one plan keyed by (event, stage)."""
+    return windows.select("event", "stage", "month").join(rows, "month").groupBy("event", "stage", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def stage_wide(rows: DataFrame, values: list[str], deltas: list[str], keys: tuple[str, ...] = ("event",)) -> DataFrame:
+    """Values by stage side by side, with deltas of shock and post to pre for some of them."""
+    at = lambda v, s: F.max(F.when(F.col("stage") == s, F.col(v)))
+    out = rows.groupBy(*keys).agg(*[at(v, s).alias(f"{v}_{s}") for v in values for s in ("pre", "shock", "post")])
+    return out.select("*", *[(F.col(f"{v}_{s}") - F.col(f"{v}_pre")).alias(f"{v}_delta_{s}") for v in deltas for s in ("shock", "post")])
+
+
+def trading_days(days: DataFrame, anchors: DataFrame, close: str, span: int = 15) -> DataFrame:
+    """(event, date, relative, cumulative return in percent) over the trading days around each event's anchor day.
+
+    Days are rows with a close, numbered once; an event then takes the numbers around its anchor's.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy("date")  # a panel of days
+    rows = days.where(F.col(close).isNotNull()).select("date", F.col(close).alias("_c")).withColumn("_n", F.row_number().over(w))
+    at = anchors.select("event", F.col("anchor").alias("date")).join(rows, "date").select("event", F.col("_n").alias("_a"), F.col("_c").alias("_ac"))
+    out = rows.join(F.broadcast(at), F.col("_n").between(F.col("_a") - span, F.col("_a") + span))
+    return out.select("event", "date", (F.col("_n") - F.col("_a")).alias("relative"), ((F.col("_c") / F.nullif(F.col("_ac"), F.lit(0.0)) - 1) * 100).alias("cumulative_return"))

@@ -285,3 +285,24 @@ def backbone(pairs: DataFrame, keys: list[str], ratio: float) -> DataFrame:
         return kept[["a", "b", "w"]].copy()
 
     return _per_graph(pairs, keys, of, "a string, b string, w double")
+
+
+def gatekeeper_groups(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and median gatekeeper score, mean cross pressure and number of nodes of each group."""
+    return scores.groupBy(*keys).agg(F.avg("gatekeeper_score").alias("mean_score"), F.median("gatekeeper_score").alias("median_score"), F.avg("cross_pressure").alias("mean_cross_pressure"), F.count("*").alias("speakers"))
+
+
+def top_broker(scores: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """The node with the highest gatekeeper score of each graph, ties by name."""
+    return scores.groupBy(*keys).agg(F.max_by(entity, F.struct(F.round("gatekeeper_score", 9), entity)).alias("broker"))
+
+
+def turnover(rows: DataFrame, period: str) -> DataFrame:
+    """Per period (an integer) with a period before it: whether the top broker changed and stays, and the change of the concentration.
+
+    ``rows``: period, broker, hhi.
+    """
+    before = rows.select((F.col(period) + 1).alias(period), F.col("broker").alias("broker_before"), F.col("hhi").alias("_h"))
+    after = rows.select((F.col(period) - 1).alias(period), F.col("broker").alias("_next"))
+    j = rows.join(before, period).join(after, period, "left")
+    return j.select(period, "broker", "broker_before", (F.col("broker") != F.col("broker_before")).alias("turnover"), (F.col("_next") == F.col("broker")).alias("persists"), (F.col("hhi") - F.col("_h")).alias("hhi_delta"))

@@ -47,3 +47,51 @@ def series_catalog(panel: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Per column: non-null observations, first and last key; columns without any are left out."""
     long = panel.select(F.col(key).cast("string").alias("_k"), *[F.col(c).cast("double") for c in columns]).unpivot("_k", columns, "series", "v").where("v is not null")
     return long.groupBy("series").agg(F.count("*").alias("observations"), F.min("_k").alias("first_key"), F.max("_k").alias("last_key"))
+
+
+def mid(a: Column, b: Column) -> Column:
+    """Mean of two quotes, or the one that is there."""
+    return F.coalesce((a + b) / 2, a, b)
+
+
+def policy_rates(older: DataFrame, recent: DataFrame) -> DataFrame:
+    """(date, rate) from ``older`` (raw: a month and a value in one string) and ``recent`` (month, value with a decimal comma).
+
+    Rows without a month are dropped; of one date the recent source wins, else the last in order.
+    """
+    form = r"(\d{4}-\d{2})\s+([-+]?\d+(?:\.\d+)?)"
+    day = lambda m: F.try_to_date(F.concat(m, F.lit("-01")), "yyyy-MM-dd")
+    a = older.select(day(F.regexp_extract("raw", form, 1)).alias("date"), F.regexp_extract("raw", form, 2).try_cast("double").alias("rate"), F.lit(0).alias("source"))
+    b = recent.where(F.col("month").rlike(r"^\d{4}-\d{2}$"))
+    b = b.select(day(F.col("month")).alias("date"), F.replace("value", F.lit(","), F.lit(".")).try_cast("double").alias("rate"), F.lit(1).alias("source"))
+    every = a.unionByName(b).where("date is not null")
+    return every.groupBy("date").agg(F.max(F.struct("source", "rate")).alias("t")).select("date", "t.rate")
+
+
+def assemble_index(long: DataFrame, spine: DataFrame, picks: dict[str, tuple[str, str]], fallback: dict[str, str], yearly: tuple[str, str]) -> DataFrame:
+    """Series of a long matrix (date, series_label, metric_label, value) side by side on a month spine.
+
+    ``picks``: column -> (text of its series label, text of its metric label, or empty); ``fallback``:
+    column -> the column that fills its gaps (and is dropped); ``yearly``: (column, index) whose change
+    over twelve months in percent fills the column's gaps.
+    """
+    at = lambda s, m: F.max(F.when(F.contains("series_label", F.lit(s)) & F.contains("metric_label", F.lit(m)), F.col("value")))
+    wide = long.groupBy("date").agg(*[at(s, m).alias(c) for c, (s, m) in picks.items()])
+    rows = spine.join(wide, "date", "left")
+    for c, other in fallback.items():
+        rows = rows.withColumn(c, F.coalesce(c, other)).drop(other)
+    column, index = yearly
+    before = F.lag(index, 12).over(Window.partitionBy(F.lit(0)).orderBy("date"))  # a spine of months
+    return rows.withColumn(column, F.coalesce(column, (F.col(index) / F.nullif(before, F.lit(0.0)) - 1) * 100))
+
+
+def labor_annual(rows: DataFrame, employment: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """Per year the labor force, unemployed and rate of each category side by side, and the employment rate.
+
+    ``rows``: year, category, force and unemployed (text with thousands dots), rate.
+    """
+    number = lambda c: F.replace(c, F.lit("."), F.lit("")).try_cast("double")
+    clean = rows.select(F.col("year").try_cast("int").alias("year"), "category", number("force").alias("force"), number("unemployed").alias("unemployed"), F.col("rate").try_cast("double").alias("rate")).where("year is not null")
+    at = lambda c, v: F.max(F.when(F.col("category") == c, F.col(v)))
+    wide = clean.groupBy("year").agg(*[at(c, v).alias(f"{v}_{slug}") for c, slug in categories.items() for v in ("force", "unemployed", "rate")])
+    return wide.join(employment, "year", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import distributions as D
+
 
 def ols(rows: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """Simple regression with intercept: slope, intercept, R2 and adjusted R2."""
@@ -61,6 +63,19 @@ def rank_sum(rows: DataFrame, keys: list[str], group: str, one: str, value: str)
     return s.select(*keys, "n1", "n2", (F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
 
 
+def mean_tests(rows: DataFrame, keys: list[str], group: str, one: str, other: str, value: str) -> DataFrame:
+    """Per key: sizes, means, difference, Welch t with its p, Hedges g, Mann-Whitney U of ``one`` with its p."""
+    some = rows.where(F.col(value).isNotNull())
+    t = two_sample(some, keys, group, one, other, value).drop("student_t")
+    v = some.groupBy(*keys).agg(*[F.var_samp(F.when(F.col(group) == g, F.col(value))).alias(n) for g, n in ((one, "_v1"), (other, "_v2"))])
+    same = some.groupBy(*keys, value).agg(F.count("*").alias("_t")).groupBy(*keys).agg(F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).cast("double").alias("_ties"))
+    j = t.join(v, keys).join(same, keys).join(rank_sum(some, keys, group, one, value).select(*keys, "u"), keys)
+    a, b = F.col("_v1") / F.col("n1"), F.col("_v2") / F.col("n2")
+    df = (a + b) * (a + b) / F.nullif(a * a / (F.col("n1") - 1) + b * b / (F.col("n2") - 1), F.lit(0.0))
+    double = lambda c: F.col(c).cast("double")
+    return j.select(*t.columns, "u", D.t_p("welch_t", df).alias("welch_p"), D.rank_sum_p(double("u"), double("n1"), double("n2"), double("_ties")).alias("u_p"))
+
+
 def confusion(rows: DataFrame, truth: str, prediction: str) -> DataFrame:
     c = rows.groupBy(F.col(truth).alias("truth"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth")))
