@@ -34,6 +34,17 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_tail(df / (df + t * t), df / 2, 0.5)
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The value that Student's t stays under with probability p > 0.5, by bisection."""
+    low, high = 0.0, 1.0
+    while t_two_sided(high, df) / 2 > 1 - p:
+        high *= 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_two_sided(mid, df) / 2 > 1 - p else (low, mid)
+    return (low + high) / 2
+
+
 def f_upper(f: float, d1: float, d2: float) -> float:
     return beta_tail(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)
 

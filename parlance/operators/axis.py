@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import poisson_weight
+
 
 def anchor_weights(z: DataFrame, anchors: DataFrame, keys: list[str] | None = None, least: int = 3) -> DataFrame:
     """Per concept the correlation of the parties' mean z-scores with the anchor scores, to unit norm; 0 if constant or under ``least`` anchors."""
@@ -63,3 +65,63 @@ def leave_one_out(z: DataFrame, anchors: DataFrame) -> DataFrame:
     w = w.withColumn("w", F.col("w") / F.nullif(norm, F.lit(0.0)))
     pos = z.join(F.broadcast(w), "concept").groupBy("left_out", "party").agg(F.sum(F.col("z") * F.col("w")).alias("position"))
     return pos.join(full, "party").groupBy("left_out").agg(F.corr("position", "full").alias("r"))
+
+
+def scale(long: DataFrame, value: str = "value") -> DataFrame:
+    """(concept, mu, sd) over all rows; a deviation of 0 counts as 1."""
+    dev = F.coalesce(F.stddev_samp(value), F.lit(0.0))
+    return long.groupBy("concept").agg(F.avg(value).alias("mu"), F.when(dev == 0, 1.0).otherwise(dev).alias("sd"))
+
+
+def scored(features: DataFrame, scales: DataFrame, weights: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Positions of other rows on a known axis: stored means and deviations, a concept that isn't there counts as 0."""
+    known = weights.join(scales, "concept")
+    base = F.sum(-F.col("mu") / F.col("sd") * F.col("w"))
+    zero = known.agg(base.alias("_zero"))
+    moved = features.join(F.broadcast(known), "concept").groupBy(*keys).agg(F.sum(F.col(value) / F.col("sd") * F.col("w")).alias("_moved"))
+    return moved.crossJoin(F.broadcast(zero)).select(*keys, (F.col("_moved") + F.col("_zero")).alias("position"))  # one row
+
+
+def bootstrap(m: DataFrame, row: list[str], scales: DataFrame, weights: DataFrame, draws: int = 250, least: int = 8) -> DataFrame:
+    """(draw, party, position) over Poisson bootstrap resamples of each party's mentions; parties with fewer than ``least`` rows are left out.
+
+    A row's weight in a draw is a hash of draw and ``row``, so the draws are an aggregation and rows never move.
+    """
+    enough = m.groupBy("party").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("party")
+    rows = m.join(F.broadcast(enough), "party").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))  # one row a party
+    rows = rows.withColumn("_w", poisson_weight(F.col("draw"), *[F.col(c) for c in row])).where("_w > 0")
+    s = rows.groupBy("draw", "party", "concept").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("mention_count", "pos", "neg")])
+    total = F.greatest(F.sum("mention_count").over(Window.partitionBy("draw", "party")), F.lit(1))
+    balance = (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg") + 1.0)
+    return scored(s.select("draw", "party", "concept", (balance * F.col("mention_count") / total).alias("value")), scales, weights, ["draw", "party"])
+
+
+def quantiles(rows: DataFrame) -> DataFrame:
+    """Per party the 10, 25, 50, 75 and 90 % quantiles and the population deviation of the draws."""
+    q = {"boot_q10": 0.1, "boot_q25": 0.25, "boot_median": 0.5, "boot_q75": 0.75, "boot_q90": 0.9}
+    return rows.groupBy("party").agg(*[F.percentile("position", F.lit(v)).alias(k) for k, v in q.items()], F.stddev_pop("position").alias("boot_std"))
+
+
+def validation(centers: DataFrame, anchors: DataFrame, draws: DataFrame, permutations: int = 500) -> DataFrame:
+    """One row: correlation of centers with the anchors, its permutation p, and mean and deviation of the correlation over bootstrap draws.
+
+    A permutation deals the anchor scores to the parties in the order of a hash of draw and party.
+    """
+    rows = centers.join(F.broadcast(anchors), "party").select("party", "center", "anchor")
+    many = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    w = Window.partitionBy("draw")
+    mixed = F.md5(F.concat_ws("|", F.col("draw").cast("string"), "party").cast("binary"))
+    own = many.select("draw", "center", F.row_number().over(w.orderBy("party")).alias("_r"))
+    dealt = many.select("draw", "anchor", F.row_number().over(w.orderBy(mixed)).alias("_r"))
+    null = own.join(dealt, ["draw", "_r"]).groupBy("draw").agg(F.corr("center", "anchor").alias("_null"))
+    seen = rows.agg(F.corr("center", "anchor").alias("r"), F.count("*").alias("anchors"))
+    p = null.crossJoin(seen).agg(F.avg((F.abs("_null") >= F.abs("r") - 1e-12).cast("double")).alias("permutation_p"))  # one row
+    boot = draws.join(F.broadcast(anchors), "party").groupBy("draw").agg(F.corr("position", "anchor").alias("_b")).agg(F.avg("_b").alias("bootstrap_mean"), F.stddev_pop("_b").alias("bootstrap_std"))
+    return seen.crossJoin(p).crossJoin(boot)  # single rows
+
+
+def opinion_intervals(intervals: DataFrame, boot: DataFrame, replace: bool = False) -> DataFrame:
+    """Center and ends of each party beside the bootstrap columns; ``replace``: the 10 and 90 % quantiles and the median instead, where there are draws."""
+    j = intervals.join(boot, "party", "left")
+    new = {"center": "boot_median", "left_end": "boot_q10", "right_end": "boot_q90"}
+    return j.withColumns({k: F.coalesce(v, k) for k, v in new.items()}) if replace else j

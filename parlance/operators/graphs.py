@@ -166,16 +166,123 @@ def pagerank(edges: DataFrame, weight: str, rounds: int = 20, damping: float = 0
     return rank
 
 
-def shortest_paths(edges: DataFrame, keys: list[str], rounds: int = 6) -> DataFrame:
-    """All pairs' weighted distances inside each small graph by repeated squaring in the min-plus algebra."""
+def shortest_paths(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs' weighted distances inside each small graph by repeated squaring in the min-plus algebra, until nothing changes."""
     arcs = edges.select(*keys, "a", "b", "distance").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    d = arcs.groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))
-    for _ in range(rounds):
+    d, last = cut(arcs.groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))), None
+    while True:
         step = d.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("distance").alias("more"))
         longer = d.join(step, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b"), (F.col("distance") + F.col("more")).alias("distance"))
-        d = d.unionByName(longer).groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))
-        d = cut(d)
-    return d
+        d = cut(d.unionByName(longer).groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance")))
+        # distances only fall and pairs only come on
+        now = d.agg(F.count("*"), F.round(F.sum("distance"), 9)).first()
+        if now == last:
+            return d
+        last = now
+
+
+def largest_component_path(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """Average distance in the largest component of each graph (of several, the one with the smallest node) and its size."""
+    reach = paths.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("_c"), (F.count("*") + 1).alias("_n"), F.avg("distance").alias("_d"))
+    comp = reach.groupBy(*keys, "_c").agg(F.first("_n").alias("nodes"), F.avg("_d").alias("average_path"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("nodes"), "_c")
+    return comp.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, F.col("nodes").alias("largest_component"), "average_path")
+
+
+def network_summary(edges: DataFrame, nodes: DataFrame, keys: list[str], bloc: Column) -> DataFrame:
+    """Per graph: nodes, edges, density, assortativity of ``bloc`` (of column node), mean closeness, largest component and its average path."""
+    paths = shortest_paths(edges, keys)
+    of = nodes.select(*keys, "node", bloc.alias("_bloc"))
+    marked = edges.join(of.withColumnsRenamed({"node": "a", "_bloc": "_x"}), [*keys, "a"]).join(of.withColumnsRenamed({"node": "b", "_bloc": "_y"}), [*keys, "b"])
+    out = density(edges, nodes, keys).join(assortativity(marked, keys, F.col("_x"), F.col("_y")), keys, "left")
+    near = closeness(paths, nodes, keys).groupBy(*keys).agg(F.avg("closeness").alias("mean_closeness"))
+    return out.join(near, keys, "left").join(largest_component_path(paths, keys), keys, "left")
+
+
+def _arcs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return pairs.select(*keys, "a", "b", "w").unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def leading_vector(pairs: DataFrame, keys: list[str], rounds: int = 20, every: int = 5) -> DataFrame:
+    """(keys, node, v): the eigenvector of the largest absolute eigenvalue of each symmetric graph, unit norm.
+
+    Power iteration on the square of the matrix, which is safe for a negative eigenvalue: each step is
+    two joins along the edges and a norm. The start is a hash of the node's name; the entry of largest
+    size is positive. Lineage is cut by reliable checkpoints.
+    """
+    arcs = cut(_arcs(pairs, keys).where("w <> 0"))
+    start = F.conv(F.substring(F.md5(F.col("a").cast("string").cast("binary")), 1, 6), 16, 10).cast("double") / float(1 << 24) + 0.5
+    v = arcs.select(*keys, "a").distinct().select(*keys, F.col("a").alias("node"), start.alias("v"))
+
+    def times(x: DataFrame) -> DataFrame:
+        return arcs.join(x.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+
+    done = 0
+    while done < rounds:
+        some = min(every, rounds - done)
+        for _ in range(2 * some):
+            v = times(v)
+        # the norm reads the rows a second time, so they are written first
+        v = cut(v)
+        norm = v.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"))
+        v = v.join(norm, keys).select(*keys, "node", F.coalesce(F.col("v") / F.nullif("_norm", F.lit(0.0)), F.lit(0.0)).alias("v"))
+        done += some
+    v = cut(v)
+    top = v.groupBy(*keys).agg(F.max_by(F.signum("v"), F.struct(F.round(F.abs("v"), 9), "node")).alias("_sign"))
+    return v.join(top, keys).select(*keys, "node", (F.col("v") * F.col("_sign")).alias("v"))
+
+
+QUANTILES = [round(0.2 + 0.65 * i / 17, 10) for i in range(18)]
+
+
+def pole_sweep(pairs: DataFrame, vector: DataFrame, keys: list[str], quantiles: list[float] = QUANTILES, fallback: float = 0.6) -> DataFrame:
+    """(keys, q, tau, score, n_plus, n_minus, active, ok) of each threshold on the absolute vector.
+
+    Nodes from tau up are +1, from -tau down -1, others 0; score is x'Ax over the active nodes. A threshold
+    is ok if both groups have max(4, 2 % of the nodes); q = -1 is the fallback threshold.
+    """
+    cuts = vector.groupBy(*keys).agg(F.percentile(F.abs("v"), F.array(*[F.lit(q) for q in [*quantiles, fallback]])).alias("_q"), F.count("*").alias("_n"))
+    cuts = cuts.select(*keys, "_n", F.posexplode("_q").alias("_i", "tau")).withColumn("q", F.when(F.col("_i") == len(quantiles), -1).otherwise(F.col("_i")))
+    x = F.when(F.col("v") >= F.col("tau"), 1).when(F.col("v") <= -F.col("tau"), -1).otherwise(0)
+    nodes = vector.join(F.broadcast(cuts) if not keys else cuts, keys) if keys else vector.crossJoin(F.broadcast(cuts))
+    nodes = nodes.select(*keys, "q", "tau", "_n", "node", x.alias("x")).where("x <> 0")
+    on = nodes.select(*keys, "q", "node", "x")
+    tied = _arcs(pairs, keys).join(on.withColumnsRenamed({"node": "a", "x": "xa"}), [*keys, "a"]).join(on.withColumnsRenamed({"node": "b", "x": "xb"}), [*keys, "q", "b"])
+    total = tied.groupBy(*keys, "q").agg(F.sum(F.col("w") * F.col("xa") * F.col("xb")).alias("_s"))
+    n = nodes.groupBy(*keys, "q", "tau", "_n").agg(F.count_if(F.col("x") == 1).alias("n_plus"), F.count_if(F.col("x") == -1).alias("n_minus"), F.count("*").alias("active"))
+    least = F.greatest(F.lit(4), F.bround(0.02 * F.col("_n")))
+    j = n.join(total, [*keys, "q"], "left")
+    return j.select(*keys, "q", "tau", (F.coalesce("_s", F.lit(0.0)) / F.col("active")).alias("score"), "n_plus", "n_minus", "active", ((F.col("n_plus") >= least) & (F.col("n_minus") >= least)).alias("ok"))
+
+
+def best_poles(sweep: DataFrame, keys: list[str]) -> DataFrame:
+    """The ok threshold of highest score of each graph (ties: the lowest), the fallback where none is ok."""
+    rank = F.struct((F.col("ok") & (F.col("q") >= 0)).cast("int"), (F.col("q") < 0).cast("int"), F.round("score", 9), -F.col("q"))
+    keep = sweep.where("ok or q < 0").groupBy(*keys).agg(F.max_by(F.struct("tau", "score", "n_plus", "n_minus", "active"), rank).alias("t"))
+    return keep.select(*keys, "t.*")
+
+
+def poles(vector: DataFrame, keys: list[str], quantile: float = 0.6) -> DataFrame:
+    """(keys, node, side): sides by the quantile of the absolute vector."""
+    tau = vector.groupBy(*keys).agg(F.percentile(F.abs("v"), F.lit(quantile)).alias("_t"))
+    side = F.when(F.col("v") >= F.col("_t"), 1).when(F.col("v") <= -F.col("_t"), -1).otherwise(0)
+    return vector.join(tau, keys).select(*keys, "node", side.alias("side"))
+
+
+def composition(membership: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Nodes per group, in all and on each side."""
+    n = lambda s: F.count_if(F.col("side") == s)
+    return membership.groupBy(*keys, group).agg(F.count("*").alias("nodes"), n(1).alias("plus"), n(0).alias("neutral"), n(-1).alias("minus"))
+
+
+def shuffled(long: DataFrame, keys: list[str], entity: str, value: str, draws: int, item: str = "concept") -> DataFrame:
+    """``long`` once per draw with the values of each (graph, item) dealt to its entities in the order of a hash; column draw comes on."""
+    rows = long.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    group = Window.partitionBy("draw", *keys, item)
+    mixed = F.md5(F.concat_ws("|", F.col("draw").cast("string"), *[F.col(k).cast("string") for k in keys], item, entity).cast("binary"))
+    own = rows.select("draw", *keys, item, entity, F.row_number().over(group.orderBy(entity)).alias("_r"))
+    dealt = rows.select("draw", *keys, item, F.col(value).alias(value), F.row_number().over(group.orderBy(mixed)).alias("_r"))
+    return own.join(dealt, ["draw", *keys, item, "_r"]).drop("_r")
 
 
 def closeness(paths: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -306,3 +413,49 @@ def turnover(rows: DataFrame, period: str) -> DataFrame:
     after = rows.select((F.col(period) - 1).alias(period), F.col("broker").alias("_next"))
     j = rows.join(before, period).join(after, period, "left")
     return j.select(period, "broker", "broker_before", (F.col("broker") != F.col("broker_before")).alias("turnover"), (F.col("_next") == F.col("broker")).alias("persists"), (F.col("hhi") - F.col("_h")).alias("hhi_delta"))
+
+
+def window_gatekeepers(long: DataFrame, keys: list[str], entity: str, value: str, rounds: int = 20, least: int = 6) -> DataFrame:
+    """(keys, node, side, balance, gatekeeper_score, cross_pressure) of each graph with at least ``least`` nodes: affinity, strongest ties, fixed poles, reach."""
+    enough = long.groupBy(*keys).agg(F.countDistinct(entity).alias("_n")).where(F.col("_n") >= least).drop("_n")
+    knn = cut(signed_knn(signed_affinity(long.join(enough, keys), keys, entity, value), keys))
+    side = poles(leading_vector(knn, keys, rounds), keys)
+    return gatekeepers(knn, side, keys, "node")
+
+
+def polarization_null(long: DataFrame, keys: list[str], entity: str, value: str, draws: int = 220, rounds: int = 20) -> DataFrame:
+    """Per graph the best polarization score, and mean, deviation and p of the score over shuffled graphs; all draws in one plan."""
+    null = shuffled(long, keys, entity, value, draws)
+    every = null.unionByName(long.withColumn("draw", F.lit(0)))
+    many = ["draw", *keys]
+    knn = cut(signed_knn(signed_affinity(every, many, entity, value), many))
+    best = cut(best_poles(pole_sweep(knn, leading_vector(knn, many, rounds), many), many).select(*many, "score"))
+    seen = best.where("draw = 0").select(*keys, F.col("score").alias("observed"))
+    j = best.where("draw > 0").join(seen, keys)
+    far = F.avg((F.col("score") >= F.col("observed") - 1e-9).cast("double"))
+    return j.groupBy(*keys, "observed").agg(F.avg("score").alias("null_mean"), F.stddev_pop("score").alias("null_std"), far.alias("null_p"))
+
+
+def embedding(long: DataFrame, entity: str, value: str, item: str = "concept") -> DataFrame:
+    """(entity, x, y): the first two principal components of the centered unit rows of the z-scored matrix.
+
+    The Gram matrix of the items is an aggregation; its leading vectors (one number an item) are solved
+    on the driver, where items are few, and the rows are projected by a join. The entry of largest size
+    of each component is positive.
+    """
+    z = zscores(long, [], value)
+    norm = z.groupBy(entity).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_norm"))
+    unit = z.join(norm, entity).select(entity, item, F.when(F.col("_norm") > 0, F.col("z") / F.col("_norm")).otherwise(0.0).alias("u"))
+    n = unit.select(entity).distinct().count()
+    mean = unit.groupBy(item).agg((F.sum("u") / n).alias("_m"))
+    a, b = unit.select(entity, F.col(item).alias("i"), F.col("u").alias("ui")), unit.select(entity, F.col(item).alias("j"), F.col("u").alias("uj"))
+    gram = a.join(b, entity).groupBy("i", "j").agg(F.sum(F.col("ui") * F.col("uj")).alias("g")).toPandas()  # items squared
+    m = mean.toPandas().set_index(item)["_m"].sort_index()
+    g = gram.pivot(index="i", columns="j", values="g").fillna(0.0).reindex(index=m.index, columns=m.index, fill_value=0.0).to_numpy() - n * np.outer(m, m)
+    _, vectors = np.linalg.eigh(g)
+    top = vectors[:, ::-1][:, :2]
+    top = top * np.sign(top[np.abs(top).argmax(0), [0, 1]])
+    load = long.sparkSession.createDataFrame([(k, float(x), float(y), float(c)) for k, (x, y), c in zip(m.index, top, m)], f"{item} string, lx double, ly double, _m double")
+    base = -(m.to_numpy() @ top)
+    rows = unit.join(F.broadcast(load), item).groupBy(entity).agg((F.sum(F.col("u") * F.col("lx")) + float(base[0])).alias("x"), (F.sum(F.col("u") * F.col("ly")) + float(base[1])).alias("y"))
+    return rows

@@ -30,6 +30,12 @@ def correlations(rows: DataFrame, date: str, columns: list[str], least: int = 8)
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")).where(F.col("n") >= least)
 
 
+def correlation_p(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``correlations`` with the two-sided p of both coefficients."""
+    p = lambda r: D.t_p(F.col(r) * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col(r) * F.col(r), F.lit(0.0))), (F.col("n") - 2).cast("double"))
+    return rows.withColumns({f"{r}_p": p(r) for r in ("pearson", "spearman")})
+
+
 def mann_kendall(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """S, its variance without ties, and z with continuity correction; series of at least four."""
     d = rows.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("t"), F.col(value).alias("v"))

@@ -162,16 +162,6 @@ def prune_backbone(spark, sf):
     return rounded(graphs.backbone(graphs.cosine_edges(_long(spark, sf, True), ["year"], "party", "value"), ["year"], 0.5))
 
 
-@query("newey_west")
-def newey_west(spark, sf):
-    return rounded(models.newey_west(X.macro_monthly(spark, sf).na.drop().withColumn("k", F.lit(1)), ["k"], "month", "s1", ["s2", "s3"]))
-
-
-@query("granger")
-def granger(spark, sf):
-    return rounded(models.granger(X.macro_monthly(spark, sf).na.drop().withColumn("k", F.lit(1)), ["k"], "month", "s1", "s2"))
-
-
 @query("text_classifier")
 def text_classifier(spark, sf):
     d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))

@@ -279,17 +279,6 @@ def bloc_assortativity(spark, sf):
     return rounded(graphs.assortativity(e, ["year"], F.col("a").isin(X.GOVERNMENT), F.col("b").isin(X.GOVERNMENT)))
 
 
-@query("shortest_paths")
-def shortest_paths(spark, sf):
-    return rounded(graphs.shortest_paths(_knn(spark, sf), ["year"]))
-
-
-@query("closeness")
-def closeness(spark, sf):
-    p = graphs.shortest_paths(_knn(spark, sf), ["year"])
-    return rounded(graphs.closeness(p, _long(spark, sf, True).select("year", F.col("party").alias("node")).distinct(), ["year"]))
-
-
 def _knn(spark, sf):
     return graphs.weighted_edges(graphs.signed_knn(graphs.signed_affinity(_long(spark, sf, True), ["year"], "party", "value"), ["year"]))
 
