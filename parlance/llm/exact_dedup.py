@@ -53,9 +53,10 @@ def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
 def collisions(docs: DataFrame, level: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """Digests of hits whose bytes differ from the text of the entry that stays."""
     hits = level.where("n > 1").select(F.col("digest").alias("d"), "keep_id", F.ceil(F.col("n") / ROWS_PER_COPY).alias("copies"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumn("d", digest(F.col("text"))).join(hits, "d")
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("copies"))
+    # by row, as ids may repeat
+    salt = F.pmod(F.xxhash64("row"), F.col("copies"))
     rows = staged(rows.select("d", "keep_id", "copies", "doc_id", salt.alias("salt"), "text"), "hits")
     # a hot digest meets its reference text in many tasks: the text is copied once per ROWS_PER_COPY rows
     kept = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("d", "copies").agg(F.first("text").alias("kept_text"))

@@ -3,8 +3,8 @@
 Training counts hashed letter trigrams of every training document by language; the model is one
 smoothed distribution over ``BUCKETS`` buckets for each language. A document is a mixture: its
 trigrams come from languages with unknown proportions, which expectation-maximisation estimates. The
-language set is chosen by penalised likelihood: sets of the s most probable languages, s = 1.., pay
-half of log(trigrams) for each language beyond the first. The prediction is the set's most probable
+language set is chosen by penalised likelihood: sets of the s most probable languages, s = 1, 2, .. as long as
+the likelihood rises, pay half of log(trigrams) for each language beyond the first. The prediction is the set's most probable
 language, the score its proportion. All arithmetic runs over many documents at once.
 
 The model has BUCKETS x languages entries; it is counted in tasks, summed by a shuffle, and sent to
@@ -29,7 +29,7 @@ BITS = 15
 BUCKETS = 1 << BITS
 MAX_LANGUAGES = 256
 SMOOTH = 0.05
-ROUNDS, ROUNDS_PER_SET, LARGEST_SET = 10, 4, 3
+ROUNDS, ROUNDS_PER_SET = 10, 4
 #: Letters that are worked on at once in a task.
 CHUNK = 1 << 20
 _TABLES: dict = {}
@@ -128,17 +128,20 @@ def infer(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-pi, axis=0, kind="stable")
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(n_lang)[:, None], axis=0)
-    top, top_value = None, None
-    for s in range(1, min(n_lang, LARGEST_SET) + 1):
+    top, top_value, top_share, rising = None, None, None, np.ones(len(present), bool)
+    for s in range(1, n_lang + 1):
         some = np.where(place < s, np.maximum(pi, 1e-6), 0).astype(np.float32)
         some, like = em(some / some.sum(0), 0 if s == 1 else ROUNDS_PER_SET)
         like = like - 0.5 * (s - 1) * np.log(total)
         lang, share = some.argmax(0), some.max(0)
         if top is None:
             top, top_value, top_share = lang, like, share
-        else:
-            better = like > top_value
-            top, top_value, top_share = np.where(better, lang, top), np.maximum(like, top_value), np.where(better, share, top_share)
+            continue
+        # a text whose likelihood has fallen keeps its set
+        rising &= like > top_value
+        top, top_value, top_share = np.where(rising, lang, top), np.where(rising, like, top_value), np.where(rising, share, top_share)
+        if not rising.any():
+            break
     best[present], score[present] = top, np.clip(top_share, 0, 1)
     return best, score
 

@@ -205,7 +205,11 @@ def codec(name: str = "piece_bpe_32k.model") -> Codec:
 
 
 def encode(docs: DataFrame, name: str = "piece_bpe_32k.model") -> DataFrame:
-    """doc_id, n_ids, ids and same: whether decoding the ids gives the text (the mark counts as a space)."""
+    """doc_id, n_ids, ids and same: whether decoding the ids gives the text (the mark counts as a space).
+
+    Decoding joins what words decode to, so ``same`` is settled per distinct word, each decoded once; only
+    texts of a batch with a word that doesn't come back are decoded whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(name)

@@ -115,6 +115,54 @@ def test_mixture_finds_two_languages():
     assert best.tolist() == [0, 2, -1] and 0.65 < share[0] < 0.85 and share[1] > 0.95
 
 
+def brute_mixture(text, model):
+    """One text by plain loops: EM over trigram counts, then sets of the likeliest languages while the penalised likelihood rises."""
+    counts = {}
+    for h in langid.trigrams([text])[1].tolist():
+        counts[h] = counts.get(h, 0) + 1
+    total, langs = sum(counts.values()), range(len(model))
+
+    def em(pi, rounds):
+        for _ in range(rounds):
+            new = [0.0] * len(model)
+            for h, n in counts.items():
+                mass = sum(pi[k] * model[k][h] for k in langs)
+                for k in langs:
+                    new[k] += n * pi[k] * model[k][h] / mass
+            pi = [x / total for x in new]
+        return pi, sum(n * np.log(sum(pi[k] * model[k][h] for k in langs)) for h, n in counts.items())
+
+    pi, _ = em([1 / len(model)] * len(model), langid.ROUNDS)
+    order = sorted(langs, key=lambda k: -pi[k])
+    best = None
+    for s in range(1, len(model) + 1):
+        some = [max(pi[k], 1e-6) if k in order[:s] else 0.0 for k in langs]
+        some, like = em([x / sum(some) for x in some], 0 if s == 1 else langid.ROUNDS_PER_SET)
+        like -= 0.5 * (s - 1) * np.log(total)
+        if best is not None and like <= best[0]:
+            break
+        best = like, int(np.argmax(some)), max(some)
+    return best[1], best[2]
+
+
+def test_mixture_equals_brute_force():
+    rng = np.random.default_rng(6)
+    parts = [["aa", "ab", "ba"], ["cc", "cd", "dc"], ["ee", "ef", "fe"], ["gg", "gh", "hg"]]
+    words = lambda k, n: " ".join("".join(rng.choice(parts[k], 2)) for _ in range(n))
+    model = np.full((4, langid.BUCKETS), 0.05)
+    for k in range(4):
+        model[k] += np.bincount(langid.trigrams([words(k, 400) + " aabb ccdd"])[1], minlength=langid.BUCKETS)
+    model = (model / model.sum(1, keepdims=True)).astype(np.float32)
+    four = " ".join(words(k, 60) for k in range(4))
+    texts = [words(0, 30), words(1, 40) + " " + words(2, 12), four, words(3, 1), words(0, 20) + " " + words(1, 20) + " " + words(2, 25)]
+    best, share = langid.infer(texts, model)
+    for i, t in enumerate(texts):
+        want = brute_mixture(t, model.astype(float))
+        assert best[i] == want[0] and abs(share[i] - want[1]) < 1e-3
+    # four languages in equal parts: no share of a smaller set
+    assert 0.22 < share[2] < 0.3
+
+
 def brute_features(t):
     w = re.findall(r"[^\W_]+|(?:[^\w\s]|_)+", t)
     return len(w) + max(0, len(w) - 1)

@@ -42,3 +42,27 @@ def test_whole_documents_round_trip(spark):
             assert r.same and r.n_ids == len(r.ids) and list(r.ids) == LIB.encode(texts[r.doc_id])
     assert {r.doc_id: r.text for r in piece_codec.decode(got).collect()} == texts
     assert piece_codec.encode(docs.limit(0)).count() == 0
+
+
+def test_viterbi_scores_of_a_unigram_model(tmp_path):
+    """A hand-made unigram vocabulary: the segmentation of the highest score, as the library finds it."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng = random.Random(9)
+    m = proto.ModelProto()
+    m.trainer_spec.model_type, m.trainer_spec.unk_id = 1, 0
+    n = m.normalizer_spec
+    n.name, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = "identity", True, False, True
+    kind = proto.ModelProto.SentencePiece.Type
+    for piece, type_ in (("<unk>", "UNKNOWN"), ("<s>", "CONTROL"), ("</s>", "CONTROL")):
+        m.pieces.add(piece=piece, score=0.0, type=kind.Value(type_))
+    some = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(60)}
+    for piece in sorted({*"abc", piece_codec.MARK, *some, *(piece_codec.MARK + x for x in list(some)[:25])}):
+        m.pieces.add(piece=piece, score=-rng.uniform(1, 9) * (1 if len(piece) > 1 else 2), type=kind.Value("NORMAL"))
+    path = tmp_path / "tiny.model"
+    path.write_bytes(m.SerializeToString())
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=str(path)), piece_codec.Codec(str(path))
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    for t, ids in zip(texts, c.encode(texts)):
+        assert ids.tolist() == lib.encode(t), t
+        assert c.decode(ids) == t
