@@ -213,21 +213,7 @@ def leading_vector(pairs: DataFrame, keys: list[str], rounds: int = 20, every: i
     arcs = cut(_arcs(pairs, keys).where("w <> 0"))
     start = F.conv(F.substring(F.md5(F.col("a").cast("string").cast("binary")), 1, 6), 16, 10).cast("double") / float(1 << 24) + 0.5
     v = arcs.select(*keys, "a").distinct().select(*keys, F.col("a").alias("node"), start.alias("v"))
-
-    def times(x: DataFrame) -> DataFrame:
-        return arcs.join(x.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-
-    done = 0
-    while done < rounds:
-        some = min(every, rounds - done)
-        for _ in range(2 * some):
-            v = times(v)
-        # the norm reads the rows a second time, so they are written first
-        v = cut(v)
-        norm = v.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"))
-        v = v.join(norm, keys).select(*keys, "node", F.coalesce(F.col("v") / F.nullif("_norm", F.lit(0.0)), F.lit(0.0)).alias("v"))
-        done += some
-    v = cut(v)
+    v = _power(arcs, v, keys, 2 * rounds, 2 * every)
     top = v.groupBy(*keys).agg(F.max_by(F.signum("v"), F.struct(F.round(F.abs("v"), 9), "node")).alias("_sign"))
     return v.join(top, keys).select(*keys, "node", (F.col("v") * F.col("_sign")).alias("v"))
 
@@ -348,23 +334,31 @@ def betweenness(edges: DataFrame, keys: list[str]) -> DataFrame:
     return _per_graph(edges, keys, of, "node string, betweenness double")
 
 
-def eigenvector(edges: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
-    """Weighted eigenvector centrality by power iteration of A + I, unit norm, largest entry positive."""
+def eigenvector(edges: DataFrame, keys: list[str], rounds: int = 60, every: int = 10) -> DataFrame:
+    """Weighted eigenvector centrality of graphs with positive weights by power iteration of A + I, unit norm.
 
-    def of(g: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(g["a"]) | set(g["b"]))
-        at = {v: i for i, v in enumerate(nodes)}
-        m = np.eye(len(nodes))
-        a, b = g["a"].map(at).to_numpy(), g["b"].map(at).to_numpy()
-        m[a, b] += g["w"]
-        m[b, a] += g["w"]
-        x = np.ones(len(nodes)) / np.sqrt(len(nodes))
-        for _ in range(rounds):
-            x = m @ x
-            x /= np.linalg.norm(x)
-        return pd.DataFrame({"node": nodes, "centrality": x * np.sign(x[np.argmax(np.abs(x))])})
-
-    return _per_graph(edges, keys, of, "node string, centrality double")
+    Each step is a join along the edges; the norm is taken where a checkpoint cuts the lineage.
+    """
+    arcs = _arcs(edges, keys)
+    own = arcs.select(*keys, "a").distinct()
+    arcs = cut(arcs.unionByName(own.select(*keys, "a", F.col("a").alias("b"), F.lit(1.0).alias("w"))))
+    v = _power(arcs, own.select(*keys, F.col("a").alias("node"), F.lit(1.0).alias("v")), keys, rounds, every)
+    return v.select(*keys, "node", F.col("v").alias("centrality"))
+
+
+def _power(arcs: DataFrame, v: DataFrame, keys: list[str], steps: int, every: int) -> DataFrame:
+    """``v`` (keys, node, v) after ``steps`` multiplications by the arcs (keys, a, b, w), unit norm."""
+    done = 0
+    while done < steps:
+        some = min(every, steps - done)
+        for _ in range(some):
+            v = arcs.join(v.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+        # the norm reads the rows a second time, so they are written first
+        v = cut(v)
+        norm = v.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_norm"))
+        v = v.join(norm, keys).select(*keys, "node", F.coalesce(F.col("v") / F.nullif("_norm", F.lit(0.0)), F.lit(0.0)).alias("v"))
+        done += some
+    return cut(v)
 
 
 def backbone(pairs: DataFrame, keys: list[str], ratio: float) -> DataFrame:

@@ -108,12 +108,14 @@ def gini(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ranks.groupBy(*keys).agg((2 * weighted / (n * F.nullif(total, F.lit(0))) - (n + 1) / n).alias("gini"))
 
 
-def top_share(counts: DataFrame, keys: list[str], value: str, tie: str, quantile: float) -> DataFrame:
-    """Share held by the ceil(n x quantile) largest."""
+def top_share(counts: DataFrame, keys: list[str], value: str, quantile: float) -> DataFrame:
+    """Share held by the ceil(n x quantile) largest, over counts of equal values: no window over all rows."""
+    same = counts.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
-    rows = counts.withColumn("_r", F.row_number().over(w.orderBy(F.desc(value), tie))).withColumn("_n", F.count("*").over(w))
-    top = F.sum(F.when(F.col("_r") <= F.ceil(F.col("_n") * quantile), F.col(value)))
-    return rows.groupBy(*keys).agg((top / F.nullif(F.sum(value), F.lit(0))).alias("top_share"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = same.withColumn("_k", F.ceil(F.sum("_n").over(w) * quantile) - before)
+    top = F.sum(F.least("_n", F.greatest("_k", F.lit(0))) * F.col("_v"))
+    return rows.groupBy(*keys).agg((top / F.nullif(F.sum(F.col("_n") * F.col("_v")), F.lit(0))).alias("top_share"))
 
 
 def rank_powerlaw(counts: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:

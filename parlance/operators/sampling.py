@@ -19,7 +19,8 @@ def per_group(rows: DataFrame, keys: list[str], id_col: str, n: int, seed: int)
 def stratified(rows: DataFrame, strata: list[str], id_col: str, n: int, seed: int) -> DataFrame:
     """n // strata rows (at least 1) of each stratum, topped up from the rest to n, cut to n."""
     w = Window.partitionBy(*strata).orderBy(draw(id_col, seed), id_col)
-    some = rows.withColumn("_r", F.row_number().over(w)).withColumn("_d", draw(id_col, seed))
+    # no stratum gives more than n rows, so only n rows of each reach the common order
+    some = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).withColumn("_d", draw(id_col, seed))
     many = rows.select(*strata).distinct().agg(F.greatest(F.floor(F.lit(n) / F.count("*")), F.lit(1)).alias("_each"))
     some = some.crossJoin(F.broadcast(many)).withColumn("_late", (F.col("_r") > F.col("_each")).cast("int"))
     return some.orderBy("_late", "_d", id_col).limit(n).select(*rows.columns)

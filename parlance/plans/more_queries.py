@@ -148,13 +148,6 @@ def betweenness(spark, sf):
     return rounded(graphs.betweenness(_knn(spark, sf), ["year"]))
 
 
-@query("eigenvector_centrality")
-def eigenvector_centrality(spark, sf):
-    from .study_queries import _knn
-
-    return rounded(graphs.eigenvector(_knn(spark, sf), ["year"]))
-
-
 @query("prune_backbone")
 def prune_backbone(spark, sf):
     from .study_queries import _long

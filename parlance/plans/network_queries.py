@@ -123,6 +123,16 @@ def speaker_embedding(spark, sf):
     return rounded(graphs.embedding(_long(spark, sf, True).where("year = 1997").drop("year"), "party", "value"))
 
 
+_EIGEN = "ea AS MATERIALIZED (SELECT year, a, b, w FROM kn WHERE w > 0 UNION ALL SELECT year, b, a, w FROM kn WHERE w > 0), eb AS MATERIALIZED (SELECT * FROM ea UNION ALL SELECT DISTINCT year, a, a, 1.0::DOUBLE FROM ea), e0 AS MATERIALIZED (SELECT DISTINCT year, a AS node, 1.0::DOUBLE AS v FROM ea), " + ", ".join(
+    f"x{i} AS MATERIALIZED (SELECT eb.year, eb.a AS node, sum(eb.w * e.v) AS v FROM eb JOIN e{i} e ON e.year = eb.year AND e.node = eb.b GROUP BY ALL), e{i + 1} AS MATERIALIZED (SELECT year, node, v / sqrt(sum(v * v) OVER (PARTITION BY year)) AS v FROM x{i})" for i in range(60)
+)
+
+
+@query("eigenvector_centrality", X.with_m(f"{_PRE}, {_EIGEN} SELECT year, node, {r6('v')} AS centrality FROM e60", nation=True))
+def eigenvector_centrality(spark, sf):
+    return rounded(graphs.eigenvector(_knn(spark, sf), ["year"]))
+
+
 # axis
 _SCALE = "sc AS (SELECT concept, avg(value) AS mu, CASE WHEN coalesce(stddev_samp(value), 0) = 0 THEN 1 ELSE stddev_samp(value) END AS sd FROM lo GROUP BY 1), kw AS (SELECT concept, mu, sd, w FROM ww JOIN sc USING (concept)), zr AS (SELECT sum(-mu / sd * w) AS zero FROM kw)"
 

@@ -334,7 +334,7 @@ def gini_lorenz(spark, sf):
 
 @query("top_share", X.with_m(f"{_COUNTS}, r AS (SELECT *, row_number() OVER (PARTITION BY party ORDER BY n DESC, speaker) AS k, count(*) OVER (PARTITION BY party) AS z FROM c) SELECT party, {r6('sum(CASE WHEN k <= ceil(z * 0.1::DOUBLE) THEN n END) / sum(n)::DOUBLE')} AS top_share FROM r GROUP BY party"))
 def top_share(spark, sf):
-    return rounded(P.top_share(_speaker_counts(spark, sf), ["party"], "n", "speaker", 0.1))
+    return rounded(P.top_share(_speaker_counts(spark, sf), ["party"], "n", 0.1))
 
 
 @query("rank_powerlaw", X.with_m(f"{_COUNTS}, r AS (SELECT party, ln(row_number() OVER (PARTITION BY party ORDER BY n DESC, speaker)) AS x, ln(n) AS y FROM c) SELECT party, {r6('regr_slope(y, x)')} AS slope, {r6('regr_r2(y, x)')} AS r2 FROM r GROUP BY party"))

@@ -167,10 +167,28 @@ def invalid_party_fix(spark, sf):
     return m.groupBy(F.when(F.col("ok"), F.col("party")).otherwise("Bilinmeyen").alias("party")).agg(F.count("*").alias("n"))
 
 
-@query("lexicon_table", "SELECT * FROM (VALUES ('democratic_reform', 4, 13), ('macro_economy', 4, 11), ('security_conflict', 2, 7), ('constitutional_conflict', 2, 7)) v(category, concepts, patterns), (SELECT count(*) AS documents FROM documents) d")
+def _lexicon_sql() -> str:
+    from parlance.functions.lexicon import CONCEPTS
+
+    from .text_queries import _NORMAL
+
+    hits = lambda c: " + ".join(f"len(regexp_extract_all(t, '{p}'))" for _, _, k, ps in CONCEPTS if k == c for p in ps)
+    kinds = sorted({k for _, _, k, _ in CONCEPTS})
+    n = {k: [x for x in CONCEPTS if x[2] == k] for k in kinds}
+    each = " UNION ALL ".join(f"SELECT '{k}' AS category, {len(n[k])} AS concepts, {sum(len(x[3]) for x in n[k])} AS patterns, count(*) FILTER (WHERE {k} > 0) AS documents, sum({k})::BIGINT AS hits FROM h" for k in kinds)
+    return f"WITH d AS (SELECT {_NORMAL} AS t FROM documents), h AS (SELECT {', '.join(f'{hits(k)} AS {k}' for k in kinds)} FROM d) {each}"
+
+
+@query("lexicon_table", _lexicon_sql())
 def lexicon_table(spark, sf):
+    """The lexicon's size by category, and how many documents it meets how often."""
+    from parlance.functions import text as T
     from parlance.functions.lexicon import CONCEPTS
 
     t = spark.createDataFrame([(c, len(p)) for _, _, c, p in CONCEPTS], "category string, n int")
-    n = X.table(spark, sf, "documents").agg(F.count("*").alias("documents"))
-    return t.groupBy("category").agg(F.count("*").cast("int").alias("concepts"), F.sum("n").cast("int").alias("patterns")).crossJoin(F.broadcast(n))
+    kinds = sorted({c for _, _, c, _ in CONCEPTS})
+    d = X.table(spark, sf, "documents").select(T.normalize_text(F.col("text")).alias("t"))
+    h = d.select(*[T.pattern_hits(F.col("t"), [p for _, _, c, ps in CONCEPTS if c == k for p in ps]).alias(k) for k in kinds])
+    long = h.select(F.inline(F.array(*[F.struct(F.lit(k).alias("category"), F.col(k).alias("n")) for k in kinds])))
+    met = long.groupBy("category").agg(F.count_if(F.col("n") > 0).alias("documents"), F.sum("n").cast("bigint").alias("hits"))
+    return t.groupBy("category").agg(F.count("*").cast("int").alias("concepts"), F.sum("n").cast("int").alias("patterns")).join(met, "category")

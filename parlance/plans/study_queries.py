@@ -341,7 +341,10 @@ def strongest_negative_edge(spark, sf):
     return rounded(t.select("year", "t.source", "t.target", "t.negative", (F.col("t.negative") / F.col("all")).alias("share")))
 
 
-@query("pagerank")
+_RANKS = ", ".join(f"r{i + 1} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce((SELECT sum(r.rank * s.p) FROM st s JOIN r{i} r ON r.node = s.source WHERE s.target = nd.node), 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node NOT IN (SELECT source FROM st)) / n) AS rank FROM nd)" for i in range(20))
+
+
+@query("pagerank", f"WITH {X.DIRECTED_SQL}, e AS (SELECT source, target, sum(total) AS w FROM directed GROUP BY ALL), st AS MATERIALIZED (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM e), n0 AS (SELECT source AS node FROM e UNION SELECT target FROM e), nd AS MATERIALIZED (SELECT node, (SELECT count(*) FROM n0) AS n FROM n0), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nd), {_RANKS} SELECT node, {r6('rank')} AS rank FROM r20")
 def pagerank(spark, sf):
     return rounded(graphs.pagerank(graphs.directed_edges(X.directed(spark, sf)), "total"))
 
