@@ -362,30 +362,33 @@ def _power(arcs: DataFrame, v: DataFrame, keys: list[str], steps: int, every: in
 
 
 def backbone(pairs: DataFrame, keys: list[str], ratio: float) -> DataFrame:
-    """Maximum spanning forest and the strongest other edges, up to max(n - 1, ceil(E x ratio)); graphs of two nodes stay as they are."""
+    """Maximum spanning forest and the strongest other edges, up to max(n - 1, ceil(E x ratio)); graphs of two nodes stay as they are.
 
-    def of(g: pd.DataFrame) -> pd.DataFrame:
-        # nodes without a positive tie count too
-        root = {v: v for v in set(g["a"]) | set(g["b"])}
-        g = g[g["w"] > 0].sort_values(["w", "a", "b"], ascending=[False, True, True])
-
-        def find(v):
-            while root[v] != v:
-                v = root[v]
-            return v
-
-        tree = []
-        for a, b in zip(g["a"], g["b"]):
-            ra, rb = find(a), find(b)
-            tree.append(ra != rb)
-            root[ra] = rb
-        tree = np.array(tree, dtype=bool)
-        limit = max(len(root) - 1, int(np.ceil(len(g) * ratio)))
-        extra = (~tree) & (np.cumsum(~tree) <= limit - tree.sum())
-        kept = g[tree | extra] if len(root) > 2 else g
-        return kept[["a", "b", "w"]].copy()
-
-    return _per_graph(pairs, keys, of, "a string, b string, w double")
+    Edges are ranked from the strongest (weights to 9 digits, ties by names). An edge belongs to the forest
+    if every other way between its ends has an edge of a later rank: the least largest rank over all ways
+    comes from repeated squaring, as distances do. n counts nodes without a positive tie too.
+    """
+    nodes = pairs.select(*keys, F.col("a").alias("node")).unionByName(pairs.select(*keys, F.col("b").alias("node"))).distinct()
+    n = nodes.groupBy(*keys).agg(F.count("*").alias("_n"))
+    some = pairs.where("w > 0").join(n, keys)
+    order = [F.desc(F.round("w", 9)), "a", "b"]
+    ranked = cut(some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_e", F.count("*").over(Window.partitionBy(*keys))))
+    arcs = ranked.select(*keys, "a", "b", "_r").unionByName(ranked.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "_r"))
+    way, last = cut(arcs), None
+    while True:
+        step = way.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("_r").alias("_s"))
+        more = way.join(step, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b"), F.greatest("_r", "_s").alias("_r"))
+        way = cut(way.unionByName(more).groupBy(*keys, "a", "b").agg(F.min("_r").alias("_r")))
+        now = way.agg(F.count("*"), F.sum("_r")).first()
+        if now == last:
+            break
+        last = now
+    rows = ranked.join(way.withColumnRenamed("_r", "_least"), [*keys, "a", "b"]).withColumn("_tree", F.col("_r") == F.col("_least"))
+    w = Window.partitionBy(*keys)
+    left = F.greatest(F.col("_n") - 1, F.ceil(F.col("_e") * ratio)) - F.sum(F.col("_tree").cast("int")).over(w)
+    extra = F.sum((~F.col("_tree")).cast("int")).over(w.orderBy("_r"))
+    rows = rows.withColumns({"_left": left, "_extra": extra})
+    return rows.where((F.col("_n") <= 2) | F.col("_tree") | (F.col("_extra") <= F.col("_left"))).select(*keys, "a", "b", "w")
 
 
 def gatekeeper_groups(scores: DataFrame, keys: list[str]) -> DataFrame:

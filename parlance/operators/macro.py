@@ -95,3 +95,13 @@ def labor_annual(rows: DataFrame, employment: DataFrame, categories: dict[str, s
     at = lambda c, v: F.max(F.when(F.col("category") == c, F.col(v)))
     wide = clean.groupBy("year").agg(*[at(c, v).alias(f"{v}_{slug}") for c, slug in categories.items() for v in ("force", "unemployed", "rate")])
     return wide.join(employment, "year", "left")
+
+
+def market_months(daily: DataFrame, columns: list[str], date: str = "date") -> DataFrame:
+    """Per month the days, and of each series the mean, the last value and the return from first to last in percent (null under two values)."""
+    on = lambda c: F.when(F.col(c).isNotNull(), F.col(date))
+    aggs = [F.count("*").alias("days")]
+    for c in columns:
+        first, last = F.min_by(c, on(c)), F.max_by(c, on(c))
+        aggs += [F.avg(c).alias(f"{c}_avg"), last.alias(f"{c}_last"), F.when(F.count(c) >= 2, 100 * (last / F.nullif(first, F.lit(0.0)) - 1)).alias(f"{c}_return")]
+    return daily.groupBy(F.trunc(date, "MM").alias("month")).agg(*aggs)

@@ -49,12 +49,13 @@ def semantic_distance(spark, sf):
     return rounded(graphs.bloc_distance(m, ["year"], "salience"))
 
 
-@query("monthly_market_panel", f"WITH {X.MARKET_SQL} SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS days, {r6('avg(click_close)')} AS click_close_avg, {r6('arg_max(click_close, date)')} AS click_close_last, {r6('100 * (arg_max(click_close, date) / nullif(arg_min(click_close, date), 0) - 1)')} AS click_return FROM market GROUP BY 1", dates="month")
+_CLOSES = [f"{t}_close" for t in X.TYPES]
+
+
+@query("monthly_market_panel", f"WITH {X.MARKET_SQL}, mo AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(*) AS days, " + ", ".join(f"{r6(f'avg({c})')} AS {c}_avg, {r6(f'arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL)')} AS {c}_last, {r6(f'CASE WHEN count({c}) >= 2 THEN 100 * (arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) / nullif(arg_min({c}, date) FILTER (WHERE {c} IS NOT NULL), 0) - 1) END')} AS {c}_return" for c in _CLOSES) + " FROM market GROUP BY 1), rt AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, round(max(value), 6) AS rate FROM events GROUP BY 1) SELECT * FROM mo FULL JOIN rt USING (month)", dates="month")
 def monthly_market_panel(spark, sf):
-    d = X.market_daily(spark, sf)
-    a = macro.observations_to_month(d, ["click_close"])
-    r = series.first_last(d.withColumn("month", F.trunc("date", "MM")), ["month"], "date", "click_close").select("month", F.col("n").alias("days"), F.col("return_pct").alias("click_return"))
-    return rounded(a.join(r, "month"))
+    rates = X.table(spark, sf, "events").groupBy(F.trunc(F.to_date("ts"), "MM").alias("month")).agg(F.round(F.max("value"), 6).alias("rate"))
+    return rounded(joins.outer_merge([macro.market_months(X.market_daily(spark, sf), _CLOSES), rates], "month"))
 
 
 @query("annual_panel", f"WITH {X.MACRO_SQL} SELECT CAST(year(month) AS INTEGER) AS year, count(*) AS months, " + ", ".join(f"{r6(f'avg({c})')} AS {c}_avg, {r6(f'arg_max({c}, month) FILTER (WHERE {c} IS NOT NULL)')} AS {c}_last" for c in S) + " FROM macro GROUP BY 1")
@@ -148,13 +149,6 @@ def betweenness(spark, sf):
     return rounded(graphs.betweenness(_knn(spark, sf), ["year"]))
 
 
-@query("prune_backbone")
-def prune_backbone(spark, sf):
-    from .study_queries import _long
-
-    return rounded(graphs.backbone(graphs.cosine_edges(_long(spark, sf, True), ["year"], "party", "value"), ["year"], 0.5))
-
-
 @query("text_classifier")
 def text_classifier(spark, sf):
     d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))

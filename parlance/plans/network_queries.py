@@ -133,6 +133,16 @@ def eigenvector_centrality(spark, sf):
     return rounded(graphs.eigenvector(_knn(spark, sf), ["year"]))
 
 
+_WAYS = "bn AS (SELECT year, count(*) AS n FROM (SELECT year, a FROM pr UNION SELECT year, b FROM pr) GROUP BY 1), br AS MATERIALIZED (SELECT year, a, b, w, row_number() OVER (PARTITION BY year ORDER BY round(w, 9) DESC, a, b) AS r, count(*) OVER (PARTITION BY year) AS e FROM pr WHERE w > 0), b0 AS MATERIALIZED (SELECT year, a, b, r FROM br UNION ALL SELECT year, b, a, r FROM br), " + ", ".join(
+    f"b{i + 1} AS MATERIALIZED (SELECT year, a, b, min(r) AS r FROM (SELECT * FROM b{i} UNION ALL SELECT x.year, x.a, y.b, greatest(x.r, y.r) FROM b{i} x JOIN b{i} y ON x.year = y.year AND x.b = y.a AND x.a <> y.b) GROUP BY ALL)" for i in range(5)
+) + ", bt AS (SELECT br.*, n, br.r = b5.r AS tree FROM br JOIN b5 USING (year, a, b) JOIN bn USING (year)), bx AS (SELECT *, greatest(n - 1, ceil(e * 0.5::DOUBLE)) - sum(CASE WHEN tree THEN 1 ELSE 0 END) OVER (PARTITION BY year) AS rest, sum(CASE WHEN tree THEN 0 ELSE 1 END) OVER (PARTITION BY year ORDER BY r) AS extra FROM bt)"
+
+
+@query("prune_backbone", X.with_m(f"{_LONG}, {_COS('value', 'lo')}, {_WAYS} SELECT year, a, b, {r6('w')} AS w FROM bx WHERE n <= 2 OR tree OR extra <= rest", nation=True))
+def prune_backbone(spark, sf):
+    return rounded(graphs.backbone(graphs.cosine_edges(_long(spark, sf, True), ["year"], "party", "value"), ["year"], 0.5))
+
+
 # axis
 _SCALE = "sc AS (SELECT concept, avg(value) AS mu, CASE WHEN coalesce(stddev_samp(value), 0) = 0 THEN 1 ELSE stddev_samp(value) END AS sd FROM lo GROUP BY 1), kw AS (SELECT concept, mu, sd, w FROM ww JOIN sc USING (concept)), zr AS (SELECT sum(-mu / sd * w) AS zero FROM kw)"
 
