@@ -217,7 +217,9 @@ def term_doc_freq(spark, sf):
     n = d.agg(F.count("*").alias("_n"))
     # counted per text first, so a frequent word is one row per text when it is shuffled
     t = t.groupBy("word", "doc_id", "lang").agg(F.count("*").alias("c"))
-    w = t.groupBy("word").agg(F.sum("c").alias("tf"), F.countDistinct("doc_id").alias("df"), F.countDistinct("lang").alias("party_span")).orderBy(F.desc("tf"), "word").limit(500)
+    # a text has one language, so texts add up over languages and no distinct count is left
+    t = t.groupBy("word", "lang").agg(F.sum("c").alias("c"), F.count("*").alias("docs"))
+    w = t.groupBy("word").agg(F.sum("c").alias("tf"), F.sum("docs").alias("df"), F.count("lang").alias("party_span")).orderBy(F.desc("tf"), "word").limit(500)
     return rounded(w.crossJoin(F.broadcast(n)).select("word", "tf", "df", (F.col("df") / F.col("_n")).alias("doc_ratio"), "party_span"))
 
 
