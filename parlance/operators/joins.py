@@ -100,3 +100,15 @@ def window_mean(rows: DataFrame, windows: DataFrame, value: Column, date: str =
     joined = windows.join(rows, F.col(date).between(F.col("pre_start"), F.col("post_stop")), "left")
     pre, post = F.col(date).between(F.col("pre_start"), F.col("pre_stop")), F.col(date).between(F.col("post_start"), F.col("post_stop"))
     return joined.groupBy(*windows.columns).agg(F.avg(F.when(pre, value)).alias("pre_mean"), F.avg(F.when(post, value)).alias("post_mean"))
+
+
+def term_rows(rows: DataFrame, start, stop, date: str = "date", lead: int = 0) -> DataFrame:
+    """Rows of a term's window, from ``lead`` days before it on, with their month; rows without a date are dropped."""
+    first, last = F.lit(start).cast("date"), F.lit(stop).cast("date")
+    return rows.where(F.col(date).between(F.date_sub(first, lead), last)).withColumn("month", F.date_format(date, "yyyy-MM"))
+
+
+def month_list(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the rows and the distinct months, in order and joined by commas."""
+    months = rows.groupBy(*keys, "month").agg(F.count("*").alias("_n"))
+    return months.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.array_join(F.array_sort(F.collect_list("month")), ",").alias("months"))

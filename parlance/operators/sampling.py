@@ -38,3 +38,31 @@ def keep_last(frames: list[DataFrame], key: list[str]) -> DataFrame:
 
 def duplicate_count(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
+def candidate_pools(rows: DataFrame, labelled: DataFrame, id_col: str, words: int = 30, band: float = 0.05) -> DataFrame:
+    """Rows that may be annotated, with their pool; those of other pools, of few words or already labelled are left out.
+
+    ``rows`` has label, score, hits and word_count. Pools: the signed labels, and the border: mixed rows
+    with a score of at least ``band`` in size or with any hit.
+    """
+    border = (F.col("label") == "mixed") & ((F.abs("score") >= band) | (F.col("hits") > 0))
+    pool = F.when(F.col("label").isin("positive", "negative"), F.col("label")).when(border, "border")
+    return rows.where(F.col("word_count") >= words).join(labelled.select(id_col).distinct(), id_col, "left_anti").withColumn("pool", pool).where("pool is not null")
+
+
+def gold_union(first: DataFrame, second: DataFrame, label: str = "label") -> DataFrame:
+    """All rows of the first gold set and the labelled rows of the second, with their source and whether they belong to the binary subset."""
+    some = second.where(F.trim(F.coalesce(F.col(label).cast("string"), F.lit(""))) != "")
+    every = first.withColumn("source", F.lit("v1")).unionByName(some.withColumn("source", F.lit("v2")), allowMissingColumns=True)
+    return every.withColumn("binary", F.coalesce(F.col(label) != "mixed", F.lit(False)))
+
+
+def annotation_table(verified: DataFrame, candidates: DataFrame, id_col: str, heuristic: str, annotators: list[str]) -> DataFrame:
+    """Verified rows and the candidates that aren't among them, a column for each annotator, a flag, and the final label: the verified one, else the heuristic."""
+    new = candidates.join(verified.select(id_col), id_col, "left_anti").withColumn("verified", F.lit(False))
+    every = verified.withColumn("verified", F.lit(True)).unionByName(new, allowMissingColumns=True)
+    blank = {a: F.lit(None).cast("string") for a in annotators if a not in every.columns}
+    every = every.withColumns(blank) if blank else every
+    final = F.coalesce(F.when(F.col("verified"), F.col("final_label")), F.col(heuristic)) if "final_label" in every.columns else F.col(heuristic)
+    return every.withColumn("final_label", final)

@@ -27,7 +27,7 @@ def _path(spark) -> str:
 def scan_csv_pruned(spark, sf):
     o = X.table(spark, sf, "orders").drop("o_orderdate")
     o.write.option("header", True).csv(path := _path(spark))
-    return readers.csv_pruned(spark, path, o._jdf.schema().toDDL(), ["o_orderkey", "o_orderpriority"])
+    return readers.csv_pruned(spark, path, ", ".join(f"`{c}` {t}" for c, t in o.dtypes), ["o_orderkey", "o_orderpriority"])
 
 
 @query("scan_csv_flexible", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_mktsegment FROM customer")
@@ -36,10 +36,13 @@ def scan_csv_flexible(spark, sf):
     return readers.csv_flexible(spark, path)
 
 
-@query("scan_text_corpus")
+@query("scan_text_corpus", "SELECT conv_id::VARCHAR AS doc_id, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars FROM conversations GROUP BY 1")
 def scan_text_corpus(spark, sf):
-    X.table(spark, sf, "conversations").select("text").repartition(4).write.text(path := _path(spark))
-    return readers.text_corpus(spark, path).select("doc_id", F.length("text").alias("chars"))
+    # a folder holds the one file of a conversation, and its name has the id
+    c = X.table(spark, sf, "conversations").select("conv_id", F.coalesce("text", F.lit("")).alias("text"))
+    c.repartition(8, "conv_id").write.partitionBy("conv_id").text(path := _path(spark))
+    t = readers.text_corpus(spark, f"{path}/*", r"conv_id=([^/]+)/")
+    return t.select("doc_id", F.length("text").cast("bigint").alias("chars"))
 
 
 @query("scan_json_chart", "SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events WHERE value > 20")
@@ -89,9 +92,14 @@ def scan_multi_term_union(spark, sf):
     return every.groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("load_term_inputs", X.with_m("SELECT month, count(*) AS n FROM m WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1"), dates="month")
+@query("load_term_inputs", X.with_m("i AS (SELECT 'speech' AS source, date FROM m WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' UNION ALL SELECT 'market', CAST(o_orderdate AS DATE) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-12-02' AND DATE '1998-12-31') SELECT source, count(*) AS rows, string_agg(DISTINCT strftime(date, '%Y-%m'), ',' ORDER BY strftime(date, '%Y-%m')) AS months FROM i GROUP BY source"))
 def load_term_inputs(spark, sf):
-    return X.mentions(spark, sf).where(F.col("date").between(*X.TERMS[1][1:])).groupBy("month").agg(F.count("*").alias("n"))
+    from parlance.operators import joins
+
+    _, start, stop = X.TERMS[1]
+    speech = joins.term_rows(X.mentions(spark, sf).select(F.lit("speech").alias("source"), "date"), start, stop)
+    days = X.table(spark, sf, "orders").select(F.lit("market").alias("source"), F.to_date("o_orderdate").alias("date"))
+    return joins.month_list(speech.unionByName(joins.term_rows(days, start, stop, lead=30)), ["source"])
 
 
 @query("sink_csv_tables", "SELECT n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")

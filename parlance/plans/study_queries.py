@@ -153,24 +153,44 @@ def sample_stratified_topup(spark, sf):
     return sampling.stratified(X.table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 150, 7)
 
 
-@query("sample_candidate_strata", "SELECT CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 2000 THEN 'middle' ELSE 'long' END AS pool, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY 1")
+_HEUR = r"hr AS (SELECT doc_id, len(regexp_extract_all(text, '\bthe\b')) AS pos, len(regexp_extract_all(text, '\bof\b')) AS neg, len(regexp_extract_all(text, '[a-z]+')) AS word_count FROM (SELECT doc_id, lower(text) AS text FROM documents)), hs AS (SELECT *, (pos - neg) / (pos + neg + 1.0::DOUBLE) AS score FROM hr), hl AS (SELECT *, CASE WHEN score >= 0.2 THEN 'positive' WHEN score <= -0.2 THEN 'negative' ELSE 'mixed' END AS label FROM hs)"
+
+
+def _heuristic(spark, sf):
+    """A heuristic score and label of each document."""
+    t = X.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    n = lambda p: F.regexp_count("t", F.lit(p))
+    s = t.select("doc_id", n(r"\bthe\b").alias("pos"), n(r"\bof\b").alias("neg"), n("[a-z]+").alias("word_count"))
+    s = s.withColumn("score", (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg") + 1.0))
+    label = F.when(F.col("score") >= 0.2, "positive").when(F.col("score") <= -0.2, "negative").otherwise("mixed")
+    return s.select("doc_id", "score", label.alias("label"), (F.col("pos") + F.col("neg")).alias("hits"), "word_count")
+
+
+@query("sample_candidate_strata", f"WITH {_HEUR}, p AS (SELECT doc_id, CASE WHEN label <> 'mixed' THEN label WHEN abs(score) >= 0.05 OR pos + neg > 0 THEN 'border' END AS pool FROM hl WHERE word_count >= 30 AND doc_id NOT IN (SELECT doc_id FROM labels)), r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY md5(doc_id || '|11'), doc_id) AS k FROM p WHERE pool IS NOT NULL) SELECT pool, doc_id FROM r WHERE k <= 25")
 def sample_candidate_strata(spark, sf):
-    d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id", "left_anti")
-    return d.groupBy(F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 2000, "middle").otherwise("long").alias("pool")).agg(F.count("*").alias("n"))
+    p = sampling.candidate_pools(_heuristic(spark, sf), X.table(spark, sf, "labels"), "doc_id")
+    return sampling.per_group(p, ["pool"], "doc_id", 25, 11).select("pool", "doc_id")
 
 
-@query("gold_union", "SELECT source, label, count(*) AS n FROM (SELECT 'v1' AS source, quality AS label FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT 'v2', toxic FROM labels WHERE doc_id % 2 = 1) GROUP BY ALL")
+_GOLDS = f"{_HEUR}, v1 AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS label FROM labels WHERE doc_id % 2 = 0), v2 AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE label END AS label FROM hl WHERE doc_id % 2 = 1)"
+
+
+@query("gold_union", f"WITH {_GOLDS}, u AS (SELECT 'v1' AS source, label FROM v1 UNION ALL SELECT 'v2', label FROM v2 WHERE trim(label) <> '') SELECT source, label, label <> 'mixed' AS binary, count(*) AS n FROM u GROUP BY ALL")
 def gold_union(spark, sf):
-    x = X.table(spark, sf, "labels")
-    part = lambda r, s, c: x.where(F.col("doc_id") % 2 == r).select(F.lit(s).alias("source"), F.col(c).alias("label"))
-    return part(0, "v1", "quality").unionByName(part(1, "v2", "toxic")).groupBy("source", "label").agg(F.count("*").alias("n"))
+    one = X.table(spark, sf, "labels").where("doc_id % 2 = 0").select("doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
+    two = _heuristic(spark, sf).where("doc_id % 2 = 1").select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("label")).alias("label"))
+    return sampling.gold_union(one, two).groupBy("source", "label", "binary").agg(F.count("*").alias("n"))
+
+
+_FIVE = [f"ann_{i}" for i in range(1, 6)]
 
 
-@query("annotation_table", "SELECT d.doc_id, coalesce(quality, -1) AS quality, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS ann_1, coalesce(quality, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END) AS final_label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("annotation_table", f"WITH {_HEUR}, vf AS (SELECT doc_id, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS final_label, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS ann_1 FROM labels WHERE doc_id IS NOT NULL) SELECT doc_id, label AS heuristic, coalesce(vf.final_label, label) AS final_label, vf.doc_id IS NOT NULL AS verified, ann_1, NULL::VARCHAR AS ann_2, NULL::VARCHAR AS ann_3, NULL::VARCHAR AS ann_4, NULL::VARCHAR AS ann_5 FROM hl LEFT JOIN vf USING (doc_id)")
 def annotation_table(spark, sf):
-    d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id", "left")
-    rule = F.when(F.col("n_chars") > 1000, 1).otherwise(0)
-    return d.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), rule.alias("ann_1"), F.coalesce("quality", rule).alias("final_label"))
+    h = _heuristic(spark, sf).select("doc_id", F.col("label").alias("heuristic"))
+    name = F.when(F.col("quality") == 1, "positive").otherwise("negative")
+    v = X.table(spark, sf, "labels").where("doc_id is not null").select("doc_id", F.when(F.col("toxic") != 1, name).alias("final_label"), name.alias("ann_1"))
+    return sampling.annotation_table(v.join(h, "doc_id"), h, "doc_id", "heuristic", _FIVE).select("doc_id", "heuristic", "final_label", "verified", *_FIVE)
 
 
 @query("dedupe_keep_last", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, sum(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT o_custkey, round(v, 2) AS v FROM b UNION ALL SELECT o_custkey, round(v, 2) FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)")

@@ -44,10 +44,10 @@ def csv_flexible(spark: SparkSession, path: str, seps: str = ",|;\t") -> DataFra
     return df.select(*[F.translate(c, _LATIN, _TURKISH).alias(n.translate(table)) for c, n in zip(df.columns, names)])
 
 
-def text_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """One transcript per file; the file's stem is its id."""
+def text_corpus(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[^./]*)?$") -> DataFrame:
+    """One transcript per file; its id is what ``name`` finds in the file's path, by default the stem of the file."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_f"), F.col("value").alias("text"))
-    return rows.select(F.regexp_extract("_f", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), "text")
+    return rows.select(F.regexp_extract("_f", name, 1).alias("doc_id"), "text")
 
 
 def chart_rows(json: Column) -> Column:
