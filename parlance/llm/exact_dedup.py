@@ -1,10 +1,12 @@
 """Exact duplicates by a log-structured merge index of digests.
 
-Every input task is a memtable: it flushes one Parquet run of (digest, doc_id), sorted by digest,
-with a Bloom filter and min/max statistics on the digest. Compaction merges the runs into one level
-that holds, for each digest, the entry that stays and the number of entries. A document whose digest
-has several entries is a hit; hits are verified byte by byte against the text of the entry that
-stays, so a digest collision can't join different texts.
+Every input task is a memtable: it flushes one Parquet run of (digest, doc_id), sorted by digest.
+Compaction merges the runs into one level that holds, for each digest, the entry that stays and the
+number of entries; ``merge`` takes the runs of a later batch into a level. A filter, one bit for the
+hash of each digest, says which digests a level may hold: probing it before texts are moved leaves the
+documents that can't be hits where they are. A document whose digest has several entries is a hit;
+hits are verified byte by byte against the text of the entry that stays, so a digest collision can't
+join different texts.
 
 Defined results
     null text: the empty text. null doc_id: below every other id. Repeated rows: counted one by one,
@@ -21,7 +23,8 @@ from .common import fresh, staged
 
 #: Rows of one digest that meet one copy of the text that stays.
 ROWS_PER_COPY = 4096
-RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+#: Bits of a filter for each of its digests, and its bits at most, so that it may be sent to all tasks (32 MB).
+BITS_PER_DIGEST, MOST_BITS = 16, 1 << 28
 
 
 def sha256(text: Column) -> Column:
@@ -35,7 +38,7 @@ def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         F.col(id_col).alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return staged(rows.sortWithinPartitions("digest"), "runs", RUN_OPTIONS)
+    return staged(rows.sortWithinPartitions("digest"), "runs")
 
 
 def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -47,14 +50,54 @@ def compact(runs: DataFrame, keep: str = "largest") -> DataFrame:
     # on equal ids the later (or earlier) row wins, so one row of each group stays
     level = runs.groupBy("digest").agg(pick(F.struct("doc_id", "row")).alias("top"), F.count("*").alias("n"))
     level = level.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "n")
-    return staged(level, "level", RUN_OPTIONS)
+    return staged(level, "level")
+
+
+def merge(level: DataFrame, runs: DataFrame, keep: str = "largest") -> DataFrame:
+    """The level after the runs of a later batch; on equal ids the entry of the level stays."""
+    old = level.select("digest", F.struct(F.col("keep_id").alias("doc_id"), F.lit(1).alias("old"), F.col("keep_row").alias("row")).alias("top"), "n")
+    new = runs.select("digest", F.struct("doc_id", F.lit(0).alias("old"), "row").alias("top"), F.lit(1).cast("bigint").alias("n"))
+    if keep == "smallest":
+        flip = lambda df: df.withColumn("top", F.struct("top.doc_id", (1 - F.col("top.old")).alias("old"), "top.row"))
+        old, new = flip(old), flip(new)
+    pick = F.max if keep == "largest" else F.min
+    both = old.unionByName(new).groupBy("digest").agg(pick("top").alias("top"), F.sum("n").alias("n"))
+    return staged(both.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "n"), "level")
+
+
+def _bit(digest: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
+
+
+def filter_of(digests: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bitmap) of a filter over a column digest, and its number of bits: a power of two that doesn't pass ``MOST_BITS``."""
+    n = digests.count()
+    bits = 1 << 15
+    while bits < min(BITS_PER_DIGEST * n, MOST_BITS):
+        bits *= 2
+    at = _bit(F.col("digest"), bits)
+    rows = digests.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("bit"))
+    return staged(rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")), "filter"), bits
+
+
+def probed(rows: DataFrame, digest: str, maps: DataFrame, bits: int) -> DataFrame:
+    """The rows whose digest may be in the filter; all that are in it, and a few others."""
+    bucket, bit, held = fresh(rows, "_bucket"), fresh(rows, "_bit"), fresh(rows, "_bitmap")
+    at = _bit(F.col(digest), bits)
+    named = maps.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(held))
+    placed = rows.withColumns({bucket: F.bitmap_bucket_number(at), bit: F.bitmap_bit_position(at)})
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(F.col(bit) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = placed.join(F.broadcast(named), bucket)  # MOST_BITS at most
+    return joined.where(F.call_function("getbit", byte, (F.col(bit) % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def collisions(docs: DataFrame, level: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
     """Digests of hits whose bytes differ from the text of the entry that stays."""
     hits = level.where("n > 1").select(F.col("digest").alias("d"), "keep_id", F.ceil(F.col("n") / ROWS_PER_COPY).alias("copies"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("d", digest(F.col("text"))).join(hits, "d")
+    rows = rows.withColumn("d", digest(F.col("text")))
+    maps, bits = filter_of(hits.select(F.col("d").alias("digest")))
+    rows = probed(rows, "d", maps, bits).join(hits, "d")
     # by row, as ids may repeat
     salt = F.pmod(F.xxhash64("row"), F.col("copies"))
     rows = staged(rows.select("d", "keep_id", "copies", "doc_id", salt.alias("salt"), "text"), "hits")

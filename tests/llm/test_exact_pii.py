@@ -91,3 +91,20 @@ def test_pii_takes_addresses_with_zero_parts(spark):
     got = {r.doc_id: r for r in pii.digests(pii.find_spans(docs)).collect()}
     assert [got[i].n_ip for i in range(len(texts))] == [sum(x.startswith("ip:") for x in brute(t)) for t in texts] == [1, 1, 2, 1, 0, 1, 1]
     assert pii.redact(docs.where("doc_id = 0")).first().text == "[IP]"
+
+
+def test_filter_holds_all_and_a_later_batch_merges(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 400}") for i in range(1000)], "doc_id long, text string")
+    runs = exact_dedup.flush(docs)
+    level = exact_dedup.compact(runs)
+    some = level.where("keep_id % 3 = 0").select("digest")
+    maps, bits = exact_dedup.filter_of(some)
+    left = exact_dedup.probed(level, "digest", maps, bits)
+    assert some.join(left, "digest", "left_anti").count() == 0 and left.count() <= 1.3 * some.count()
+    later = spark.createDataFrame([(5000 + i, f"text {i}") for i in range(350, 450)], "doc_id long, text string")
+    merged = exact_dedup.merge(level, exact_dedup.flush(later))
+    both = exact_dedup.compact(exact_dedup.flush(docs.unionByName(later)))
+    want = sorted((bytes(r.digest), r.keep_id, r.n) for r in both.collect())
+    assert sorted((bytes(r.digest), r.keep_id, r.n) for r in merged.collect()) == want and len(want) == 450
+    first = exact_dedup.merge(exact_dedup.compact(runs, "smallest"), exact_dedup.flush(later), "smallest")
+    assert {r.keep_id for r in first.collect()} == {*range(400), *range(5400, 5450)}
