@@ -456,3 +456,11 @@ def embedding(long: DataFrame, entity: str, value: str, item: str = "concept") -
     base = -(m.to_numpy() @ top)
     rows = unit.join(F.broadcast(load), item).groupBy(entity).agg((F.sum(F.col("u") * F.col("lx")) + float(base[0])).alias("x"), (F.sum(F.col("u") * F.col("ly")) + float(base[1])).alias("y"))
     return rows
+
+
+def overlap(scores: DataFrame, period: str, entity: str, score: str, k: int = 20) -> DataFrame:
+    """Jaccard similarity of the k nodes of highest score of a period (an integer) and of the one before, ties by name."""
+    w = Window.partitionBy(period).orderBy(F.desc(F.round(score, 9)), entity)
+    top = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy(period).agg(F.collect_set(entity).alias("_now"))  # k names
+    both = top.join(top.select((F.col(period) + 1).alias(period), F.col("_now").alias("_old")), period)
+    return both.select(period, (F.size(F.array_intersect("_now", "_old")) / F.size(F.array_union("_now", "_old"))).alias("jaccard"))

@@ -271,3 +271,8 @@ def top_broker_overall(spark, sf):
 def brokerage_turnover(spark, sf):
     g = _gatekeepers(spark, sf)
     return rounded(graphs.turnover(graphs.top_broker(g, ["year"], "party").join(panels.brokerage_hhi(g, ["year"], "party", "gatekeeper_score"), "year"), "year"))
+
+
+@query("gatekeeper_overlap", X.with_m(f"{_GK}, go AS (SELECT year, party, row_number() OVER (PARTITION BY year ORDER BY round(gatekeeper_score, 9) DESC, party) AS k FROM gk), gt AS (SELECT year, party FROM go WHERE k <= 10) SELECT a.year, {r6('count(b.party) / (20 - count(b.party))::DOUBLE')} AS jaccard FROM gt a LEFT JOIN gt b ON a.year = b.year + 1 AND a.party = b.party WHERE a.year > (SELECT min(year) FROM gt) GROUP BY a.year", nation=True))
+def gatekeeper_overlap(spark, sf):
+    return rounded(graphs.overlap(_gatekeepers(spark, sf), "year", "party", "gatekeeper_score", 10))

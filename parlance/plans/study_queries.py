@@ -588,12 +588,3 @@ def affinity_memory(spark, sf):
     old = now.select((F.col("year") + 1).alias("year"), "a", "b", F.col("w").alias("old"))
     rows = now.join(old, ["year", "a", "b"])
     return rounded(rows.groupBy("year").agg(F.corr("w", "old").alias("memory"), F.avg((F.signum("w") != F.signum("old")).cast("double")).alias("flips")))
-
-
-@query("gatekeeper_overlap", X.with_m("s AS (SELECT year, speaker, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, speaker) AS k FROM s), t AS (SELECT year, speaker FROM r WHERE k <= 20) SELECT a.year, round(count(b.speaker) / (40 - count(b.speaker))::DOUBLE, 6) + 0.0 AS jaccard FROM t a LEFT JOIN t b ON a.year = b.year + 1 AND a.speaker = b.speaker WHERE a.year > (SELECT min(year) FROM t) GROUP BY a.year"))
-def gatekeeper_overlap(spark, sf):
-    s = X.mentions(spark, sf).groupBy("year", "speaker").agg(F.count("*").alias("n"))
-    top = panels.top_in(s, ["year"], [F.desc("n"), F.col("speaker")], 20).groupBy("year").agg(F.collect_set("speaker").alias("now"))  # 20 names at most
-    old = top.select((F.col("year") + 1).alias("year"), F.col("now").alias("old"))
-    both = top.join(old, "year")
-    return rounded(both.select("year", (F.size(F.array_intersect("now", "old")) / F.size(F.array_union("now", "old"))).alias("jaccard")))
