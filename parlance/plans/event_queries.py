@@ -11,7 +11,7 @@ from .more_queries import _D
 from .registry import query
 from .sqlkit import bal, r6, rounded
 from .study_queries import (
-    _AXIS, _COS, _DISP, _ELIGIBLE, _GATE, _KNN, _LONG, _MEANS, _MONTHS, _PANEL, _RESOLVED, _STAGES, _V, _ZL, S, _events, _gatekeepers, _months, _panel, _positions, _stage_means,
+    _AXIS, _COS, _DISP, _ELIGIBLE, _GATE, _KNN, _LONG, _MEANS, _MOD, _MONTHS, _PANEL, _RESOLVED, _STAGES, _STRESS, _V, _ZL, S, _events, _gatekeepers, _months, _panel, _positions, _stage_means, _stress,
 )
 
 # macro assembly
@@ -276,3 +276,27 @@ def brokerage_turnover(spark, sf):
 @query("gatekeeper_overlap", X.with_m(f"{_GK}, go AS (SELECT year, party, row_number() OVER (PARTITION BY year ORDER BY round(gatekeeper_score, 9) DESC, party) AS k FROM gk), gt AS (SELECT year, party FROM go WHERE k <= 10) SELECT a.year, {r6('count(b.party) / (20 - count(b.party))::DOUBLE')} AS jaccard FROM gt a LEFT JOIN gt b ON a.year = b.year + 1 AND a.party = b.party WHERE a.year > (SELECT min(year) FROM gt) GROUP BY a.year", nation=True))
 def gatekeeper_overlap(spark, sf):
     return rounded(graphs.overlap(_gatekeepers(spark, sf), "year", "party", "gatekeeper_score", 10))
+
+
+_STAGE_GRAPH = f"""mo AS (SELECT * FROM m), af AS (WITH mg AS (SELECT mo.* REPLACE (event || ':' || stage AS year) FROM st JOIN mo ON mo.month = st.month), {_LONG.replace('FROM m ', 'FROM mg ')}, {_ZL}, {_COS('z', 'zs')} SELECT year, a, b, w FROM pr),
+  ng AS (SELECT year, sum(greatest(-w, 0)) / nullif(sum(abs(w)), 0) AS negative_share FROM af GROUP BY 1), en AS (SELECT year, a, b, w FROM af UNION ALL SELECT year, b, a, w FROM af), sq AS (SELECT event || ':' || stage AS year, party, position, min(position) OVER v AS lo, max(position) OVER v AS hi, median(position) OVER v AS md FROM sx WINDOW v AS (PARTITION BY event, stage)),
+  si AS (SELECT year, party, CASE WHEN position >= CASE WHEN lo >= 0 OR hi <= 0 THEN md ELSE 0 END THEN 1 ELSE -1 END AS side FROM sq), qp AS ({_MOD('1')}), qm AS ({_MOD('-1')}), mq AS (SELECT qp.year, qp.q - qm.q AS modularity FROM qp JOIN qm USING (year))"""
+
+
+@query("stage_metrics_nine", X.with_m(f"""{_AXIS}, {_RESOLVED}, {_STAGES}, {_PANEL}, {_SPOS}, {_OWNER}, {X.MACRO_SQL}, {_STRESS}, {_STAGE_GRAPH}, pm AS (SELECT event, stage, avg(macro) AS salience, avg(const) AS const_share, avg(secur) AS secur_share, avg(stress) AS pressure FROM st LEFT JOIN pn USING (month) LEFT JOIN zz USING (month) GROUP BY ALL)
+  SELECT event, stage, {r6('spread')} AS spread, {r6('pressure')} AS pressure, {r6('salience')} AS salience, {r6('const_share')} AS const_share, {r6('secur_share')} AS secur_share, {r6('owner_share')} AS owner_share, {r6('hhi')} AS hhi, {r6('negative_share')} AS negative_share, {r6('modularity')} AS modularity
+  FROM pm LEFT JOIN sy USING (event, stage) LEFT JOIN ow USING (event, stage) LEFT JOIN ng ON ng.year = event || ':' || stage LEFT JOIN mq ON mq.year = event || ':' || stage"""))
+def stage_metrics_nine(spark, sf):
+    g = F.concat_ws(":", "event", "stage")
+    w = joins.stage_windows(_events(spark, sf)).select("event", "stage", "month")
+    months = w.join(_panel(spark, sf), "month", "left").join(_stress(spark, sf), "month", "left")
+    base = months.groupBy("event", "stage").agg(F.avg("stress").alias("pressure"), F.avg("macro").alias("salience"), F.avg("const").alias("const_share"), F.avg("secur").alias("secur_share"))
+    p = _stage_positions(spark, sf)
+    m = X.mentions(spark, sf).join(F.broadcast(w.select(g.alias("g"), "month")), "month")
+    f = panels.signed_agenda_feature(m, ["g", "party", "concept"]).select("g", "party", "concept", F.col("feature").alias("value"))
+    pairs = graphs.signed_affinity(f, ["g"], "party", "value")
+    side = graphs.sides(p.withColumn("g", g), ["g"], "party", "position")
+    graph = graphs.affinity_summary(pairs, ["g"]).select("g", "negative_share").join(graphs.signed_modularity(pairs, side, ["g"], "party"), "g")
+    spread = p.groupBy("event", "stage").agg((F.max("position") - F.min("position")).alias("spread"))
+    out = base.join(spread, ["event", "stage"], "left").join(_owners(spark, sf).select("event", "stage", "owner_share", "hhi"), ["event", "stage"], "left")
+    return rounded(out.withColumn("g", g).join(graph, "g", "left").drop("g"))
