@@ -121,10 +121,30 @@ def matches(text: Column, pattern: str) -> Column:
     return let(found, placed)
 
 
+#: Characters of a block of a text in which windows are looked up.
+BLOCK = 1024
+
+
 def windows(text: Column, pattern: str, radius: int) -> Column:
-    """The text around every match, cut at both ends of the text; overlapping windows all stay."""
-    around = lambda t: lambda m: F.substring(t, F.greatest(m.start - radius, F.lit(0)) + 1, F.least(m.start, F.lit(radius)) + F.length(m.match) + radius)
-    return let(text, lambda t: F.transform(matches(t, pattern), around(t)))
+    """The text around every match, cut at both ends of the text; overlapping windows all stay.
+
+    A window is taken from the two blocks of the text that hold it, so a match far behind in a long text
+    costs no more than one at its start; a match longer than a block is taken from the text itself.
+    """
+
+    def around(t: Column, blocks: Column):
+        def window(m: Column) -> Column:
+            first, n = F.greatest(m.start - radius, F.lit(0)), F.least(m.start, F.lit(radius)) + F.length(m.match) + radius
+            at = F.floor(first / BLOCK).cast("int")
+            both = F.concat(F.get(blocks, at), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+            return F.when(n <= BLOCK, F.substring(both, (first % BLOCK + 1).cast("int"), n)).otherwise(F.substring(t, first + 1, n))
+
+        return window
+
+    cut = lambda t: F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / BLOCK).cast("int")), lambda k: F.substring(t, k * BLOCK + 1, F.lit(BLOCK)))
+    none = F.array().cast("array<string>")
+    found = lambda t: lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(cut(t), lambda blocks: F.transform(hits, around(t, blocks))))
+    return let(text, lambda t: let(matches(t, pattern), found(t)))
 
 
 def parse_local_date(raw: Column) -> Column:

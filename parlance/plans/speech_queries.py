@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.functions import speakers as S
 from parlance.functions import text as T
 from parlance.operators import audit, directed, tagging, turns
+from parlance.sources.tables import spread
 
 from . import fixtures as X
 from .registry import query
@@ -148,7 +149,8 @@ _TOPICS = "tp AS (SELECT *, " + ", ".join(f"{_HITS(ps)} AS h{i}" for i, (_, _, _
 
 
 def _targets(spark, sf):
-    d = X.table(spark, sf, "documents").where(F.col("lang").isin(list(_ALIASES))).select("doc_id", F.col("lang").alias("source"), _ascii().alias("text"))
+    d = X.table(spark, sf, "documents").where(F.col("lang").isin(list(_ALIASES))).select("doc_id", "lang", "text")
+    d = spread(d).select("doc_id", F.col("lang").alias("source"), _ascii().alias("text"))
     return directed.target_windows(d, _ALIASES, "source")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as T
 from parlance.operators import tagging
+from parlance.sources.tables import spread
 
 from . import fixtures as X
 from .registry import query
@@ -81,7 +82,7 @@ _D = rf"d AS (SELECT doc_id, {_ASCII} AS t FROM documents WHERE regexp_matches({
 
 
 def _tag_texts(spark, sf):
-    return _docs(spark, sf).select("doc_id", _ascii().alias("text"))
+    return spread(_docs(spark, sf).select("doc_id", "text")).select("doc_id", _ascii().alias("text"))
 
 
 @query("concept_prefilter", rf"SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches({_ASCII}, 'thatt|edsh|avec')) AS passed FROM documents")
@@ -213,7 +214,7 @@ def fuzzy_name_match(spark, sf):
 @query("term_doc_freq", f"WITH t AS (SELECT doc_id, lang, unnest({_TOKENS}) AS word FROM documents) SELECT word, count(*) AS tf, count(DISTINCT doc_id) AS df, {r6('count(DISTINCT doc_id) / (SELECT count(*) FROM documents)::DOUBLE')} AS doc_ratio, count(DISTINCT lang) AS party_span FROM t GROUP BY word ORDER BY tf DESC, word LIMIT 500")
 def term_doc_freq(spark, sf):
     d = _docs(spark, sf)
-    t = d.select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("word"))
+    t = spread(d).select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("word"))
     n = d.agg(F.count("*").alias("_n"))
     # counted per text first, so a frequent word is one row per text when it is shuffled
     t = t.groupBy("word", "doc_id", "lang").agg(F.count("*").alias("c"))
