@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +81,47 @@ def ranked(df: DataFrame, by: list[str], within: str | None = None, out: str = "
         counts = counts.withColumnRenamed(within, "_within")
         same = same & rows[within].eqNullSafe(counts["_within"])
     return rows.join(counts, same).select(*df.columns, (F.col("_before") + F.col(out)).alias(out))
+
+
+def running(df: DataFrame, within: list[str], by: list[str], sums: dict[str, str]) -> DataFrame:
+    """Running sums of long columns (``sums``: new name to column) along ``by`` inside each value of ``within``.
+
+    Rows are dealt out by range, so a large group is spread over tasks; each task adds up its part in one
+    pass, and the groups that cross a border get the sums of the tasks before. ``within`` and the summed
+    columns hold no nulls; rows equal in ``by`` come in any order. The result is read from a written table.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = fresh(df, "_part")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", `{c}` long" for c in sums)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, {c: 0 for c in sums}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = [b.column(k).to_numpy(zero_copy_only=False) for k in within]
+            new = np.zeros(b.num_rows, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            new[0] = last != tuple(k[0] for k in keys)
+            start = np.maximum.accumulate(np.where(new, np.arange(b.num_rows), -1))  # -1: the group began in an earlier batch
+            cols = list(b.columns)
+            for out, c in sums.items():
+                total = np.append(0, np.cumsum(b.column(c).to_numpy(zero_copy_only=False), dtype=np.int64))
+                got = total[1:] - np.where(start < 0, 0, total[np.maximum(start, 0)]) + np.where(start < 0, carry[out], 0)
+                carry[out] = int(got[-1])
+                cols.append(pa.array(got))
+            last = tuple(k[-1] for k in keys)
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *sums])
+
+    rows = df.repartitionByRange(n, *within, *by).sortWithinPartitions(*within, *by).mapInArrow(add, schema).withColumn(part, F.spark_partition_id())
+    rows = staged(rows, "running")
+    totals = rows.groupBy(part, *within).agg(*[F.sum(c).alias(f"_before_{out}") for out, c in sums.items()])
+    spans = Window.partitionBy(*within)
+    before = spans.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_parts", F.count("*").over(spans))
+    totals = totals.select(part, *within, "_parts", *[F.sum(f"_before_{out}").over(before).alias(f"_before_{out}") for out in sums])
+    # only groups that cross a border: at most two per task
+    totals = F.broadcast(staged(totals.where("_parts > 1").drop("_parts"), "borders"))
+    rows = rows.join(totals, [part, *within], "left")
+    return rows.select(*df.columns, *[(F.col(out) + F.coalesce(F.col(f"_before_{out}"), F.lit(0))).alias(out) for out in sums])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, langid, line_dedup, minhash, packing, piece_codec, pii, quality, url_filter
+from . import embed_dedup, exact_dedup, langid, line_dedup, minhash, packing, piece_codec, pii, prefix_trie, quality, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,32 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fuzzy_line_dedup")
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.groups(table(spark, sf_dir, "documents"), whole=True).drop("row")
+
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a decimal number, bit by bit."""
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda a, b: {step}), 4294967295)"
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+    l AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS ts FROM t GROUP BY conv_id),
+    h AS (SELECT *, conv_id - conv_id % 20 AS base, {_crc32("conv_id")} % 4 AS h FROM l),
+    b AS (SELECT h.conv_id, list_concat(coalesce(l.ts, [])[1:h], h.ts[h + 1:]) AS ts FROM h LEFT JOIN l ON l.conv_id = h.base),
+    p AS (SELECT conv_id, d, ts[1:d] AS pre, d = len(ts) AS last FROM b, LATERAL (SELECT unnest(range(0, len(ts) + 1)) AS d)),
+    n AS (SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends,
+          CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(pre[d].x, '[^\x20\x09-\x0D]+')) END AS words FROM p GROUP BY pre, d),
+    c AS (SELECT pre[1:d - 1] AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (pre)),
+    u AS (SELECT pre[1:e] AS pre, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+          FROM m, LATERAL (SELECT unnest(range(0, d + 1)) AS e) GROUP BY 1)
+    SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+    FROM m JOIN u USING (pre) LEFT JOIN n q ON m.d > 0 AND q.d = m.d - 1 AND q.pre = m.pre[1:m.d - 1]
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
