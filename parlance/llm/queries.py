@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, langid, line_dedup, minhash, packing, piece_codec, pii, prefix_trie, quality, url_filter
+from . import embed_dedup, exact_dedup, langid, line_dedup, minhash, packing, piece_codec, pii, prefix_trie, quality, url_filter, vector_codes
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,33 @@ def _crc32(number: str) -> str:
 )
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def _op12_sql() -> str:
+    c = vector_codes
+    far = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+    nearest = lambda r: f"SELECT row, part, any_value(x) AS x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT row, p.part, x, entry, {far} AS d FROM p JOIN b{r} USING (part)) GROUP BY row, part"
+    rounds = "".join(
+        f"""
+        a{r} AS ({nearest(r)}),
+        m{r} AS (SELECT part, entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v FROM a{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL),
+        b{r + 1} AS (SELECT part, entry, coalesce(list(v ORDER BY i) FILTER (WHERE v IS NOT NULL), any_value(y)) AS y FROM b{r} LEFT JOIN m{r} USING (part, entry) GROUP BY part, entry),"""
+        for r in range(c.ROUNDS)
+    )
+    return f"""
+    WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row,
+               list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+               FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)),
+    p AS (SELECT row, part, w[part * (len(w) // {c.PARTS}) + 1:(part + 1) * (len(w) // {c.PARTS})] AS x FROM v, range({c.PARTS}) t(part)),
+    b0 AS (SELECT part, row AS entry, x AS y FROM p WHERE row < {c.ENTRIES}), {rounds}
+    a AS ({nearest(c.ROUNDS)}),
+    e AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY row)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) FROM b{c.ROUNDS}) AS codebooks_sha256
+    FROM v JOIN e USING (row)
+    """
+
+
+@query("op12_vector_codes", _op12_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
