@@ -59,3 +59,15 @@ def strong_edges(edges: DataFrame, weight: str, least: int, share: float = 0.18,
     best = positive.orderBy(F.desc(weight), "source", "target").limit(least).withColumn("_top", F.lit(True)).select("source", "target", "_top")
     rows = positive.crossJoin(F.broadcast(cut)).join(F.broadcast(best), ["source", "target"], "left")  # one row; at most ``least``
     return rows.where((F.col(weight) >= F.col("_cut")) | F.col("_top")).drop("_cut", "_top")
+
+
+def largest(rows: DataFrame, value: str, names: list[str]) -> DataFrame:
+    """The row with the largest value (to 9 digits), of equal ones the one with the last names."""
+    return rows.orderBy(F.desc(F.round(value, 9)), *[F.desc(n) for n in names]).limit(1)
+
+
+def regimes(rows: DataFrame, term: str, value: str) -> DataFrame:
+    """Number of terms (one row each, a few) whose value rose, fell or stayed against the term before."""
+    change = F.round(F.col(value) - F.lag(value).over(Window.partitionBy(F.lit(0)).orderBy(term)), 9)
+    name = F.when(F.col("_d") > 0, "widening").when(F.col("_d") < 0, "narrowing").otherwise("level")
+    return rows.select(change.alias("_d")).where("_d IS NOT NULL").groupBy(name.alias("regime")).agg(F.count("*").alias("terms"))

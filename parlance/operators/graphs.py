@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paths
 from .lineage import cut
 
 G = "graph"
@@ -147,43 +148,14 @@ def reciprocity(edges: DataFrame, keys: list[str], weight: str) -> DataFrame:
     return rows.groupBy(*keys).agg((F.coalesce(F.sum(F.when(F.col("_back").isNotNull(), low)), F.lit(0.0)) / F.sum(weight)).alias("weighted"), F.avg(F.col("_back").isNotNull().cast("double")).alias("binary"))
 
 
-def pagerank(edges: DataFrame, weight: str, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """Weighted PageRank with the mass of dangling nodes spread evenly; lineage is cut by reliable checkpoints."""
-    edges = cut(edges.select("source", "target", F.col(weight).alias(weight)))
-    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-    n = nodes.count()
-    out = edges.groupBy("source").agg(F.sum(weight).alias("_out"))
-    steps = edges.join(out, "source").select("source", "target", (F.col(weight) / F.col("_out")).alias("p"))
-    nodes, out, steps = cut(nodes), cut(out), cut(steps)
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
-        sent = rank.join(steps, F.col("node") == F.col("source")).groupBy("target").agg(F.sum(F.col("rank") * F.col("p")).alias("_in"))
-        lost = rank.join(out, F.col("node") == F.col("source"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_lost"))
-        new = nodes.join(sent, F.col("node") == F.col("target"), "left").crossJoin(F.broadcast(lost))
-        rank = new.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("_in", F.lit(0.0)) + F.col("_lost") / n)).alias("rank"))
-        if (i + 1) % every == 0:
-            rank = cut(rank)
-    return rank
+def shortest_paths(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """All pairs' weighted distances (keys, a, b, distance) inside each undirected graph."""
+    return paths.distances(paths.both_ways(edges, keys, "distance"), keys)
 
 
-def shortest_paths(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """All pairs' weighted distances inside each small graph by repeated squaring in the min-plus algebra, until nothing changes."""
-    arcs = edges.select(*keys, "a", "b", "distance").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    d, last = cut(arcs.groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))), None
-    while True:
-        step = d.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("distance").alias("more"))
-        longer = d.join(step, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b"), (F.col("distance") + F.col("more")).alias("distance"))
-        d = cut(d.unionByName(longer).groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance")))
-        # distances only fall and pairs only come on
-        now = d.agg(F.count("*"), F.round(F.sum("distance"), 9)).first()
-        if now == last:
-            return d
-        last = now
-
-
-def largest_component_path(paths: DataFrame, keys: list[str]) -> DataFrame:
+def largest_component_path(far: DataFrame, keys: list[str]) -> DataFrame:
     """Average distance in the largest component of each graph (of several, the one with the smallest node) and its size."""
-    reach = paths.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("_c"), (F.count("*") + 1).alias("_n"), F.avg("distance").alias("_d"))
+    reach = far.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("_c"), (F.count("*") + 1).alias("_n"), F.avg("distance").alias("_d"))
     comp = reach.groupBy(*keys, "_c").agg(F.first("_n").alias("nodes"), F.avg("_d").alias("average_path"))
     w = Window.partitionBy(*keys).orderBy(F.desc("nodes"), "_c")
     return comp.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, F.col("nodes").alias("largest_component"), "average_path")
@@ -191,12 +163,12 @@ def largest_component_path(paths: DataFrame, keys: list[str]) -> DataFrame:
 
 def network_summary(edges: DataFrame, nodes: DataFrame, keys: list[str], bloc: Column) -> DataFrame:
     """Per graph: nodes, edges, density, assortativity of ``bloc`` (of column node), mean closeness, largest component and its average path."""
-    paths = shortest_paths(edges, keys)
+    far = shortest_paths(edges, keys)
     of = nodes.select(*keys, "node", bloc.alias("_bloc"))
     marked = edges.join(of.withColumnsRenamed({"node": "a", "_bloc": "_x"}), [*keys, "a"]).join(of.withColumnsRenamed({"node": "b", "_bloc": "_y"}), [*keys, "b"])
     out = density(edges, nodes, keys).join(assortativity(marked, keys, F.col("_x"), F.col("_y")), keys, "left")
-    near = closeness(paths, nodes, keys).groupBy(*keys).agg(F.avg("closeness").alias("mean_closeness"))
-    return out.join(near, keys, "left").join(largest_component_path(paths, keys), keys, "left")
+    near = closeness(far, nodes, keys).groupBy(*keys).agg(F.avg("closeness").alias("mean_closeness"))
+    return out.join(near, keys, "left").join(largest_component_path(far, keys), keys, "left")
 
 
 def _arcs(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -271,10 +243,10 @@ def shuffled(long: DataFrame, keys: list[str], entity: str, value: str, draws: i
     return own.join(dealt, ["draw", *keys, item, "_r"]).drop("_r")
 
 
-def closeness(paths: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+def closeness(far: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Closeness with the correction for the size of the component; isolated nodes have 0."""
     n = nodes.groupBy(*keys).agg(F.count("*").alias("_n"))
-    reach = paths.groupBy(*keys, F.col("a").alias("node")).agg(F.count("*").alias("_r"), F.sum("distance").alias("_d"))
+    reach = far.groupBy(*keys, F.col("a").alias("node")).agg(F.count("*").alias("_r"), F.sum("distance").alias("_d"))
     rows = nodes.join(n, keys).join(reach, [*keys, "node"], "left")
     value = (F.col("_r") / F.col("_d")) * (F.col("_r") / F.nullif(F.col("_n") - 1, F.lit(0)))
     return rows.select(*keys, "node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
@@ -290,50 +262,6 @@ def bloc_distance(m: DataFrame, keys: list[str], value: str) -> DataFrame:
     return j.groupBy(*keys).agg((1 - F.sum(F.col("g") * F.col("o")) / F.nullif(norm, F.lit(0.0))).alias("distance"))
 
 
-def _per_graph(edges: DataFrame, keys: list[str], f, schema: str) -> DataFrame:
-    """A function of one small graph (party or concept networks of a period) in its own task."""
-    kinds = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        out = f(g)
-        for k, v in zip(keys, key):
-            out[k] = v
-        return out
-
-    return edges.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
-
-
-def betweenness(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Normalised weighted betweenness on distances, all shortest paths counted."""
-
-    def of(g: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(g["a"]) | set(g["b"]))
-        n, at = len(nodes), {v: i for i, v in enumerate(nodes)}
-        d = np.full((n, n), np.inf)
-        a, b = g["a"].map(at).to_numpy(), g["b"].map(at).to_numpy()
-        d[a, b] = d[b, a] = g["distance"]
-        arc = d.copy()
-        np.fill_diagonal(d, 0)
-        for k in range(n):
-            d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :])
-        paths = np.eye(n)
-        for s in range(n):
-            for v in np.argsort(d[s], kind="stable"):
-                if v != s and np.isfinite(d[s, v]):
-                    before = np.isclose(d[s] + arc[:, v], d[s, v], rtol=1e-12)
-                    paths[s, v] = paths[s, before].sum()
-        total = np.zeros(n)
-        for v in range(n):
-            on = np.isclose(d[:, v : v + 1] + d[v : v + 1, :], d, rtol=1e-12) & np.isfinite(d)
-            share = np.where(on & (paths > 0), paths[:, v : v + 1] * paths[v : v + 1, :] / np.where(paths > 0, paths, 1), 0)
-            share[v, :] = share[:, v] = 0
-            np.fill_diagonal(share, 0)
-            total[v] = share.sum() / 2
-        return pd.DataFrame({"node": nodes, "betweenness": total / max((n - 1) * (n - 2) / 2, 1)})
-
-    return _per_graph(edges, keys, of, "node string, betweenness double")
-
-
 def eigenvector(edges: DataFrame, keys: list[str], rounds: int = 60, every: int = 10) -> DataFrame:
     """Weighted eigenvector centrality of graphs with positive weights by power iteration of A + I, unit norm.
 
@@ -361,36 +289,6 @@ def _power(arcs: DataFrame, v: DataFrame, keys: list[str], steps: int, every: in
     return cut(v)
 
 
-def backbone(pairs: DataFrame, keys: list[str], ratio: float) -> DataFrame:
-    """Maximum spanning forest and the strongest other edges, up to max(n - 1, ceil(E x ratio)); graphs of two nodes stay as they are.
-
-    Edges are ranked from the strongest (weights to 9 digits, ties by names). An edge belongs to the forest
-    if every other way between its ends has an edge of a later rank: the least largest rank over all ways
-    comes from repeated squaring, as distances do. n counts nodes without a positive tie too.
-    """
-    nodes = pairs.select(*keys, F.col("a").alias("node")).unionByName(pairs.select(*keys, F.col("b").alias("node"))).distinct()
-    n = nodes.groupBy(*keys).agg(F.count("*").alias("_n"))
-    some = pairs.where("w > 0").join(n, keys)
-    order = [F.desc(F.round("w", 9)), "a", "b"]
-    ranked = cut(some.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).withColumn("_e", F.count("*").over(Window.partitionBy(*keys))))
-    arcs = ranked.select(*keys, "a", "b", "_r").unionByName(ranked.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "_r"))
-    way, last = cut(arcs), None
-    while True:
-        step = way.select(*keys, F.col("a").alias("b"), F.col("b").alias("c"), F.col("_r").alias("_s"))
-        more = way.join(step, [*keys, "b"]).where("a <> c").select(*keys, "a", F.col("c").alias("b"), F.greatest("_r", "_s").alias("_r"))
-        way = cut(way.unionByName(more).groupBy(*keys, "a", "b").agg(F.min("_r").alias("_r")))
-        now = way.agg(F.count("*"), F.sum("_r")).first()
-        if now == last:
-            break
-        last = now
-    rows = ranked.join(way.withColumnRenamed("_r", "_least"), [*keys, "a", "b"]).withColumn("_tree", F.col("_r") == F.col("_least"))
-    w = Window.partitionBy(*keys)
-    left = F.greatest(F.col("_n") - 1, F.ceil(F.col("_e") * ratio)) - F.sum(F.col("_tree").cast("int")).over(w)
-    extra = F.sum((~F.col("_tree")).cast("int")).over(w.orderBy("_r"))
-    rows = rows.withColumns({"_left": left, "_extra": extra})
-    return rows.where((F.col("_n") <= 2) | F.col("_tree") | (F.col("_extra") <= F.col("_left"))).select(*keys, "a", "b", "w")
-
-
 def gatekeeper_groups(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and median gatekeeper score, mean cross pressure and number of nodes of each group."""
     return scores.groupBy(*keys).agg(F.avg("gatekeeper_score").alias("mean_score"), F.median("gatekeeper_score").alias("median_score"), F.avg("cross_pressure").alias("mean_cross_pressure"), F.count("*").alias("speakers"))
@@ -464,3 +362,37 @@ def overlap(scores: DataFrame, period: str, entity: str, score: str, k: int = 20
     top = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).groupBy(period).agg(F.collect_set(entity).alias("_now"))  # k names
     both = top.join(top.select((F.col(period) + 1).alias(period), F.col("_now").alias("_old")), period)
     return both.select(period, (F.size(F.array_intersect("_now", "_old")) / F.size(F.array_union("_now", "_old"))).alias("jaccard"))
+
+
+def layer_arcs(edges: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+    """(keys, layer, source, target, w, distance): one layer for each weight column, its positive weights without self loops."""
+    long = edges.select(*keys, "source", "target", *[F.col(w).cast("double").alias(w) for w in weights]).unpivot([*keys, "source", "target"], weights, "layer", "w")
+    return long.where("w > 0 AND source <> target").withColumn("distance", 1 / F.col("w"))
+
+
+def directed_metrics(arcs: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+    """Per node of each directed graph: strengths, betweenness, outward closeness and PageRank; 0 for a node without ties.
+
+    ``arcs``: keys, source, target, w, distance; ``nodes``: keys, node.
+    """
+    arcs, nodes = cut(arcs), cut(nodes.select(*keys, "node"))
+    s = strengths(arcs, keys, "w").drop("strength")
+    near = closeness(paths.distances(arcs, keys), nodes, keys)
+    between = paths.betweenness(arcs, nodes, keys)
+    rank = paths.pagerank(arcs, nodes, keys, "w", rounds).withColumnRenamed("rank", "pagerank")
+    out = nodes.join(s, [*keys, "node"], "left").join(between, [*keys, "node"]).join(near, [*keys, "node"]).join(rank, [*keys, "node"])
+    return out.fillna(0.0, ["out_strength", "in_strength"])
+
+
+def directed_summary(arcs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Per directed graph: nodes, edges, density, and binary and weighted reciprocity (null without edges)."""
+    back = reciprocity(arcs, keys, "w").withColumnsRenamed({"binary": "binary_reciprocity", "weighted": "weighted_reciprocity"})
+    return density(arcs, nodes, keys, directed=True).join(back, keys, "left")
+
+
+def layer_brokers(long: DataFrame, keys: list[str], entity: str, value: str, ratio: float = 0.5) -> DataFrame:
+    """(keys, entity, betweenness) in the pruned similarity network of each graph."""
+    long = cut(long)
+    edges = weighted_edges(paths.backbone(cosine_edges(long, keys, entity, value), keys, ratio))
+    nodes = long.select(*keys, F.col(entity).alias("node")).distinct()
+    return paths.betweenness(paths.both_ways(edges, keys, "distance"), nodes, keys).withColumnRenamed("node", entity)

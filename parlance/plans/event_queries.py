@@ -162,11 +162,6 @@ def hypothesis_matrix(spark, sf):
     return _hypotheses(spark, sf)
 
 
-@query("regime_counts", X.with_m(f"{_HYP} SELECT reading, count(*) AS n FROM hz GROUP BY 1"))
-def regime_counts(spark, sf):
-    return _hypotheses(spark, sf).groupBy("reading").agg(F.count("*").alias("n"))
-
-
 _SPOS = "sx AS (SELECT event, stage, party, avg(position) AS position FROM st JOIN ps ON ps.year = year(st.month) GROUP BY ALL), sy AS (SELECT event, stage, max(position) - min(position) AS spread, stddev_samp(position) AS deviation, arg_min(party, (position, party)) AS leftmost, arg_max(party, (position, party)) AS rightmost FROM sx GROUP BY ALL)"
 _WIDE_SY = "sw AS (SELECT event, " + ", ".join(f"max(CASE WHEN stage = '{s}' THEN {v} END) AS {v}_{s}" for v in ("spread", "deviation", "leftmost", "rightmost") for s in ("pre", "shock", "post")) + " FROM sy GROUP BY event)"
 
@@ -262,11 +257,6 @@ def gatekeeper_party(spark, sf):
 _TOP = "tb AS (SELECT year, arg_max(party, (round(gatekeeper_score, 9), party)) AS broker FROM gk GROUP BY 1)"
 
 
-@query("top_broker_overall", X.with_m(f"{_GK}, {_TOP} SELECT broker, count(*) AS n FROM tb GROUP BY 1 ORDER BY n DESC, broker LIMIT 1", nation=True))
-def top_broker_overall(spark, sf):
-    return findings.most_frequent(graphs.top_broker(_gatekeepers(spark, sf), ["year"], "party"), "broker", 1)
-
-
 @query("brokerage_turnover", X.with_m(f"{_GK}, {_TOP}, hb AS (SELECT year, sum(v * v) / (sum(v) * sum(v)) AS hhi FROM (SELECT year, party, greatest(gatekeeper_score, 0) AS v FROM gk) GROUP BY 1) SELECT a.year, a.broker, b.broker AS broker_before, a.broker <> b.broker AS turnover, c.broker = a.broker AS persists, {r6('h.hhi - g.hhi')} AS hhi_delta FROM tb a JOIN tb b ON b.year = a.year - 1 LEFT JOIN tb c ON c.year = a.year + 1 JOIN hb h ON h.year = a.year JOIN hb g ON g.year = a.year - 1", nation=True))
 def brokerage_turnover(spark, sf):
     g = _gatekeepers(spark, sf)

@@ -14,11 +14,6 @@ from .study_queries import _AXIS, _MONTHS, _RESOLVED, _STAGES, S, _events, _posi
 _D = f"WITH {X.DIRECTED_SQL}"
 
 
-@query("directed_metrics", f"{_D}, e AS (SELECT year, source, target, sum(total) AS w FROM directed GROUP BY ALL), n AS (SELECT year, source AS node, w AS o, 0.0 AS i FROM e UNION ALL SELECT year, target, 0.0, w FROM e) SELECT year, node, {r6('sum(o)')} AS out_strength, {r6('sum(i)')} AS in_strength, {r6('sum(o) + sum(i)')} AS strength FROM n GROUP BY ALL")
-def directed_metrics(spark, sf):
-    return rounded(graphs.strengths(graphs.directed_edges(X.directed(spark, sf), ["year"]), ["year"], "total"))
-
-
 @query("party_order", f"{_D}, n AS (SELECT source AS node, total AS o, 0.0 AS i FROM directed UNION ALL SELECT target, 0.0, total FROM directed), s AS (SELECT node, sum(o) AS o, sum(i) AS i FROM n GROUP BY 1) SELECT node, row_number() OVER (ORDER BY o DESC, i DESC, node) AS place FROM s")
 def party_order(spark, sf):
     s = graphs.strengths(graphs.directed_edges(X.directed(spark, sf)), [], "total")
@@ -142,13 +137,6 @@ def eligible_count(spark, sf):
     return m.agg(F.count("*").alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
 
-@query("betweenness")
-def betweenness(spark, sf):
-    from .study_queries import _knn
-
-    return rounded(graphs.betweenness(_knn(spark, sf), ["year"]))
-
-
 @query("text_classifier")
 def text_classifier(spark, sf):
     d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))

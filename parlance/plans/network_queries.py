@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import distributions as D
-from parlance.operators import axis, graphs, joins, macro, models, panels, stats
+from parlance.operators import axis, graphs, joins, macro, models, panels, paths, stats
 
 from . import fixtures as X
 from .registry import query
@@ -140,7 +140,7 @@ _WAYS = "bn AS (SELECT year, count(*) AS n FROM (SELECT year, a FROM pr UNION SE
 
 @query("prune_backbone", X.with_m(f"{_LONG}, {_COS('value', 'lo')}, {_WAYS} SELECT year, a, b, {r6('w')} AS w FROM bx WHERE n <= 2 OR tree OR extra <= rest", nation=True))
 def prune_backbone(spark, sf):
-    return rounded(graphs.backbone(graphs.cosine_edges(_long(spark, sf, True), ["year"], "party", "value"), ["year"], 0.5))
+    return rounded(paths.backbone(graphs.cosine_edges(_long(spark, sf, True), ["year"], "party", "value"), ["year"], 0.5))
 
 
 # axis

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators import axis, events, graphs, joins, macro, panels, sampling, series, stats
+from parlance.operators import axis, events, graphs, joins, macro, panels, paths, sampling, series, stats
 
 from . import fixtures as X
 from .registry import query
@@ -366,7 +366,9 @@ _RANKS = ", ".join(f"r{i + 1} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / n + 0
 
 @query("pagerank", f"WITH {X.DIRECTED_SQL}, e AS (SELECT source, target, sum(total) AS w FROM directed GROUP BY ALL), st AS MATERIALIZED (SELECT source, target, w / sum(w) OVER (PARTITION BY source) AS p FROM e), n0 AS (SELECT source AS node FROM e UNION SELECT target FROM e), nd AS MATERIALIZED (SELECT node, (SELECT count(*) FROM n0) AS n FROM n0), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nd), {_RANKS} SELECT node, {r6('rank')} AS rank FROM r20")
 def pagerank(spark, sf):
-    return rounded(graphs.pagerank(graphs.directed_edges(X.directed(spark, sf)), "total"))
+    e = graphs.directed_edges(X.directed(spark, sf)).withColumn("graph", F.lit(1))
+    nodes = e.select("graph", F.explode(F.array("source", "target")).alias("node")).distinct()
+    return rounded(paths.pagerank(e, nodes, ["graph"], "total", 20).select("node", "rank"))
 
 
 # axis

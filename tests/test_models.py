@@ -61,7 +61,7 @@ def test_granger_equals_brute_force(spark):
     assert models.granger(df.limit(11), "t", [("x", "y")]).count() == 0
 
 
-def test_leading_vector_and_betweenness_of_small_graphs(spark):
+def test_leading_vector_and_a_long_path(spark):
     m = np.array([[0, 3, 2, 0, 0], [3, 0, 2.5, -1, 0], [2, 2.5, 0, 0.5, 0], [0, -1, 0.5, 0, 1], [0, 0, 0, 1, 0]])
     pairs = spark.createDataFrame([("g", f"n{i}", f"n{j}", float(m[i, j])) for i in range(5) for j in range(i + 1, 5) if m[i, j]], "g string, a string, b string, w double")
     got = {r.node: r.v for r in graphs.leading_vector(pairs, ["g"], 30).collect()}
@@ -69,9 +69,6 @@ def test_leading_vector_and_betweenness_of_small_graphs(spark):
     v = vectors[:, np.argmax(np.abs(values))]
     v = v * np.sign(v[np.argmax(np.abs(v))])
     assert np.allclose([got[f"n{i}"] for i in range(5)], v, atol=1e-3)
-    path = spark.createDataFrame([("g", "a", "b", 1.0), ("g", "b", "c", 1.0), ("g", "c", "d", 1.0)], "g string, a string, b string, distance double")
-    between = {r.node: r.betweenness for r in graphs.betweenness(path, ["g"]).collect()}
-    assert between == pytest.approx({"a": 0, "b": 2 / 3, "c": 2 / 3, "d": 0})
     long = spark.createDataFrame([("g", f"p{i:03}", f"p{i + 1:03}", 1.0) for i in range(100)], "g string, a string, b string, distance double")
     assert graphs.shortest_paths(long, ["g"]).agg(F.max("distance")).first()[0] == 100.0
 
