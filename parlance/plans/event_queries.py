@@ -11,7 +11,7 @@ from .more_queries import _D
 from .registry import query
 from .sqlkit import bal, r6, rounded
 from .study_queries import (
-    _AXIS, _COS, _DISP, _ELIGIBLE, _GATE, _KNN, _LONG, _MEANS, _MOD, _MONTHS, _PANEL, _RESOLVED, _STAGES, _STRESS, _V, _ZL, S, _events, _gatekeepers, _months, _panel, _positions, _stage_means, _stress,
+    _AXIS, _COS, _DISP, _ELIGIBLE, _KNN, _LONG, _MEANS, _MOD, _MONTHS, _PANEL, _RESOLVED, _STAGES, _STRESS, _V, _ZL, S, _events, _months, _panel, _positions, _stage_means, _stress,
 )
 
 # macro assembly
@@ -246,28 +246,6 @@ def top_edges_directed(spark, sf):
     return rounded(findings.strong_edges(e, "w", 40))
 
 
-_GK = f"{_LONG}, {_ZL}, {_COS('z', 'zs')}, {_KNN}, {_GATE}"
-
-
-@query("gatekeeper_party", X.with_m(f"{_GK} SELECT year, substr(party, 2)::INTEGER % 5 AS grp, {r6('avg(gatekeeper_score)')} AS mean_score, {r6('median(gatekeeper_score)')} AS median_score, {r6('avg(cross_pressure)')} AS mean_cross_pressure, count(*) AS speakers FROM gk GROUP BY ALL", nation=True))
-def gatekeeper_party(spark, sf):
-    return rounded(graphs.gatekeeper_groups(_gatekeepers(spark, sf).withColumn("grp", F.substring("party", 2, 9).cast("int") % 5), ["year", "grp"]))
-
-
-_TOP = "tb AS (SELECT year, arg_max(party, (round(gatekeeper_score, 9), party)) AS broker FROM gk GROUP BY 1)"
-
-
-@query("brokerage_turnover", X.with_m(f"{_GK}, {_TOP}, hb AS (SELECT year, sum(v * v) / (sum(v) * sum(v)) AS hhi FROM (SELECT year, party, greatest(gatekeeper_score, 0) AS v FROM gk) GROUP BY 1) SELECT a.year, a.broker, b.broker AS broker_before, a.broker <> b.broker AS turnover, c.broker = a.broker AS persists, {r6('h.hhi - g.hhi')} AS hhi_delta FROM tb a JOIN tb b ON b.year = a.year - 1 LEFT JOIN tb c ON c.year = a.year + 1 JOIN hb h ON h.year = a.year JOIN hb g ON g.year = a.year - 1", nation=True))
-def brokerage_turnover(spark, sf):
-    g = _gatekeepers(spark, sf)
-    return rounded(graphs.turnover(graphs.top_broker(g, ["year"], "party").join(panels.brokerage_hhi(g, ["year"], "party", "gatekeeper_score"), "year"), "year"))
-
-
-@query("gatekeeper_overlap", X.with_m(f"{_GK}, go AS (SELECT year, party, row_number() OVER (PARTITION BY year ORDER BY round(gatekeeper_score, 9) DESC, party) AS k FROM gk), gt AS (SELECT year, party FROM go WHERE k <= 10) SELECT a.year, {r6('count(b.party) / (20 - count(b.party))::DOUBLE')} AS jaccard FROM gt a LEFT JOIN gt b ON a.year = b.year + 1 AND a.party = b.party WHERE a.year > (SELECT min(year) FROM gt) GROUP BY a.year", nation=True))
-def gatekeeper_overlap(spark, sf):
-    return rounded(graphs.overlap(_gatekeepers(spark, sf), "year", "party", "gatekeeper_score", 10))
-
-
 _STAGE_GRAPH = f"""mo AS (SELECT * FROM m), af AS (WITH mg AS (SELECT mo.* REPLACE (event || ':' || stage AS year) FROM st JOIN mo ON mo.month = st.month), {_LONG.replace('FROM m ', 'FROM mg ')}, {_ZL}, {_COS('z', 'zs')} SELECT year, a, b, w FROM pr),
   ng AS (SELECT year, sum(greatest(-w, 0)) / nullif(sum(abs(w)), 0) AS negative_share FROM af GROUP BY 1), en AS (SELECT year, a, b, w FROM af UNION ALL SELECT year, b, a, w FROM af), sq AS (SELECT event || ':' || stage AS year, party, position, min(position) OVER v AS lo, max(position) OVER v AS hi, median(position) OVER v AS md FROM sx WINDOW v AS (PARTITION BY event, stage)),
   si AS (SELECT year, party, CASE WHEN position >= CASE WHEN lo >= 0 OR hi <= 0 THEN md ELSE 0 END THEN 1 ELSE -1 END AS side FROM sq), qp AS ({_MOD('1')}), qm AS ({_MOD('-1')}), mq AS (SELECT qp.year, qp.q - qm.q AS modularity FROM qp JOIN qm USING (year))"""

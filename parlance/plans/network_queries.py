@@ -95,20 +95,6 @@ def community_composition(spark, sf):
     return graphs.composition(p, ["year"], "grp")
 
 
-_GATES = """ge AS (SELECT e.year, e.a AS node, sum(CASE WHEN side = 1 THEN abs(w) ELSE 0 END) AS rp, sum(CASE WHEN side = -1 THEN abs(w) ELSE 0 END) AS rm FROM ar e JOIN fp s ON s.year = e.year AND s.node = e.b GROUP BY ALL),
-  gg AS (SELECT year, node, side, ln(1 + 25 * (rp + rm)) * (least(rp, rm) / (rp + rm + 1e-9)) * CASE WHEN side = 0 THEN 1.15 ELSE 1 END AS score FROM ge JOIN fp USING (year, node))"""
-_STAGED = f"{X.mentions_sql('mm', True)}, {_RESOLVED}, {_STAGES}, m AS (SELECT mm.* REPLACE (event || ':' || stage AS year) FROM st JOIN mm ON mm.month = st.month)"
-
-
-@query("stage_gatekeepers", f"WITH {_STAGED}, {_PRE}, {_VECTOR}, {_FIXED}, {_GATES}, gr AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY round(score, 9) DESC, node) AS k FROM gg) SELECT year AS stage, node, side, {r6('score')} AS gatekeeper_score FROM gr WHERE k <= 5 AND year IN (SELECT year FROM lo GROUP BY year HAVING count(DISTINCT party) >= 6)")
-def stage_gatekeepers(spark, sf):
-    w = joins.stage_windows(_events(spark, sf)).select(F.concat_ws(":", "event", "stage").alias("stage"), "month")
-    m = X.mentions(spark, sf, True).join(F.broadcast(w), "month")
-    f = panels.signed_agenda_feature(m, ["stage", "party", "concept"]).select("stage", "party", "concept", F.col("feature").alias("value"))
-    g = graphs.window_gatekeepers(f, ["stage"], "party", "value", _ROUNDS)
-    return rounded(panels.top_in(g.withColumn("_s", F.round("gatekeeper_score", 9)), ["stage"], [F.desc("_s"), F.col("node")], 5).select("stage", "node", "side", "gatekeeper_score"))
-
-
 _DRAWS = 6
 _SHUFFLED = f"sd AS (SELECT draw, lo.* FROM lo, range(1, {_DRAWS + 1}) t(draw)), sa AS (SELECT *, row_number() OVER (PARTITION BY draw, year, concept ORDER BY party) AS r, row_number() OVER (PARTITION BY draw, year, concept ORDER BY md5(draw || '|' || year || '|' || concept || '|' || party)) AS s FROM sd)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators import axis, events, graphs, joins, macro, panels, paths, sampling, series, stats
+from parlance.operators import axis, events, graphs, joins, macro, panels, paths, sampling, series, speaker_graph, stats
 
 from . import fixtures as X
 from .registry import query
@@ -306,28 +306,33 @@ def _knn(spark, sf):
 _KNN = "en AS (SELECT year, a, b, w FROM pr UNION ALL SELECT year, b, a, w FROM pr), rk AS (SELECT *, row_number() OVER (PARTITION BY year, a, sign(w) ORDER BY round(abs(w), 12) DESC, b) AS k FROM en WHERE w <> 0), kn AS (SELECT year, least(a, b) AS a, greatest(a, b) AS b, sum(w) / 2 AS w FROM rk WHERE k <= 8 GROUP BY ALL)"
 
 
-@query("signed_knn_graph", X.with_m(f"{_LONG}, {_ZL}, {_COS('z', 'zs')}, {_KNN} SELECT year, a, b, {r6('w')} AS w FROM kn", nation=True))
+# the graph of speakers (customers) per year: dense rows of the active ones over all concepts
+_SPEAKERS = f"""tt AS (SELECT year, speaker::VARCHAR AS party, sum(mention_count) AS n FROM m GROUP BY ALL), tc AS (SELECT year, greatest(8.0, quantile_cont(n, 0.4)) AS c FROM tt GROUP BY 1), ac AS (SELECT year, party FROM tt JOIN tc USING (year) WHERE n >= c),
+  s AS (SELECT year, speaker::VARCHAR AS party, concept, sum(mention_count) AS n, {bal('sum(pos)', 'sum(neg)')} AS b FROM m GROUP BY ALL), sl AS (SELECT year, party, concept, b * (n / sum(n) OVER (PARTITION BY year, party)::DOUBLE) AS value FROM s),
+  lo AS (SELECT year, ac.party, c.concept, coalesce(sl.value, 0) AS value FROM ac JOIN (SELECT DISTINCT year, concept FROM sl JOIN ac USING (year, party)) c USING (year) LEFT JOIN sl USING (year, party, concept))"""
+_SPEAKER_KNN = f"{_SPEAKERS}, {_ZL}, {_COS('z', 'zs')}, {_KNN.replace('rk AS', 'rk AS MATERIALIZED').replace('kn AS', 'kn AS MATERIALIZED')}"
+
+
+def _speaker_values(m, keys):
+    """Signed agenda features of the active speakers of each graph."""
+    m = m.withColumn("speaker", F.col("speaker").cast("string"))
+    f = panels.signed_agenda_feature(m, [*keys, "speaker", "concept"]).select(*keys, "speaker", "concept", F.col("feature").alias("value"))
+    return f.join(speaker_graph.active(m, keys, "speaker"), [*keys, "speaker"], "left_semi")
+
+
+@query("signed_knn_graph", X.with_m(f"{_SPEAKER_KNN} SELECT year, a, b, {r6('w')} AS w FROM kn"))
 def signed_knn_graph(spark, sf):
-    return rounded(graphs.signed_knn(graphs.signed_affinity(_long(spark, sf, True), ["year"], "party", "value"), ["year"]))
+    vectors = speaker_graph.unit_vectors(_speaker_values(X.mentions(spark, sf), ["year"]), ["year"], "speaker", "value")
+    return rounded(speaker_graph.signed_knn(vectors, ["year"], "speaker"))
 
 
-_SIDE = "sd AS (SELECT DISTINCT year, party, CASE WHEN ascii(substr(party, length(party), 1)) % 3 = 0 THEN 1 WHEN ascii(substr(party, length(party), 1)) % 3 = 1 THEN -1 ELSE 0 END AS side FROM lo)"
-_GATE = f"""{_SIDE}, ee AS (SELECT year, a, b, w FROM kn UNION ALL SELECT year, b, a, w FROM kn),
+_GATE = """ee AS (SELECT year, a, b, w FROM kn UNION ALL SELECT year, b, a, w FROM kn),
   rr AS (SELECT e.year, e.a AS party, sum(CASE WHEN side = 1 THEN abs(w) ELSE 0 END) AS rp, sum(CASE WHEN side = -1 THEN abs(w) ELSE 0 END) AS rm, sum(CASE WHEN side = 1 AND w < 0 THEN -w ELSE 0 END) AS np, sum(CASE WHEN side = -1 AND w < 0 THEN -w ELSE 0 END) AS nm FROM ee e JOIN sd ON e.year = sd.year AND e.b = sd.party GROUP BY ALL),
   gk AS (SELECT year, party, side, least(rp, rm) / (rp + rm + 1e-9) AS balance, ln(1 + 25 * (rp + rm)) * (least(rp, rm) / (rp + rm + 1e-9)) * CASE WHEN side = 0 THEN 1.15 ELSE 1 END AS gatekeeper_score, ln(1 + 25 * (np + nm)) * (least(np, nm) / (np + nm + 1e-9)) AS cross_pressure FROM rr JOIN sd USING (year, party))"""
 
 
 def _gatekeepers(spark, sf):
-    lo = _long(spark, sf, True)
-    knn = graphs.signed_knn(graphs.signed_affinity(lo, ["year"], "party", "value"), ["year"])
-    third = F.ascii(F.right("party", F.lit(1))) % 3
-    side = lo.select("year", "party").distinct().withColumn("side", F.when(third == 0, 1).when(third == 1, -1).otherwise(0))
-    return graphs.gatekeepers(knn, side, ["year"], "party")
-
-
-@query("gatekeeper_scores", X.with_m(f"{_LONG}, {_ZL}, {_COS('z', 'zs')}, {_KNN}, {_GATE} SELECT year, party, side, {r6('balance')} AS balance, {r6('gatekeeper_score')} AS gatekeeper_score, {r6('cross_pressure')} AS cross_pressure FROM gk", nation=True))
-def gatekeeper_scores(spark, sf):
-    return rounded(_gatekeepers(spark, sf))
+    return speaker_graph.gatekeepers(_speaker_values(X.mentions(spark, sf), ["year"]), ["year"], "speaker", "value").withColumnRenamed("node", "speaker")
 
 
 @query("directed_edges", f"WITH {X.DIRECTED_SQL} SELECT source, target, count(DISTINCT speech_id) AS speeches, {r6('sum(total)')} AS total, {r6('sum(positive)')} AS positive, {r6('sum(negative)')} AS negative FROM directed GROUP BY ALL")
