@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import poisson_weight
+from . import graphs, resample
 
 
 def anchor_weights(z: DataFrame, anchors: DataFrame, keys: list[str] | None = None, least: int = 3) -> DataFrame:
@@ -19,6 +19,24 @@ def anchor_weights(z: DataFrame, anchors: DataFrame, keys: list[str] | None = No
     return w.withColumn("w", F.coalesce(F.col("w") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)))
 
 
+def singular_weights(z: DataFrame, steps: int = 60) -> DataFrame:
+    """Per concept the first right singular vector of the parties' mean z-scores (a cell that isn't there counts as 0)."""
+    mean = z.groupBy("party", "concept").agg(F.avg("z").alias("z"))
+    items = mean.agg(F.array_sort(F.collect_set("concept")).alias("_items"))  # concepts of the lexicon
+    rows = mean.groupBy("party").agg(F.map_from_entries(F.collect_list(F.struct("concept", "z"))).alias("_z")).crossJoin(F.broadcast(items))
+    vectors = rows.select(F.lit(0).alias("axis"), F.transform("_items", lambda i: F.coalesce(F.col("_z")[i], F.lit(0.0))).alias("u"))
+    v = graphs.principal(vectors, ["axis"], 1, steps, center=False)
+    return items.select(F.posexplode("_items").alias("item", "concept")).join(v, "item").select("concept", F.col("v").alias("w"))
+
+
+def weights(z: DataFrame, anchors: DataFrame, least: int = 3) -> DataFrame:
+    """Concept weights from the anchors; the singular vector if under ``least`` of them are parties here or nothing correlates."""
+    by_anchor = anchor_weights(z, anchors, least=least)
+    if by_anchor.where("w <> 0").isEmpty():
+        return singular_weights(z)
+    return by_anchor
+
+
 def positions(z: DataFrame, weights: DataFrame, period: list[str]) -> DataFrame:
     """Position of each party in each period: its z-scores along the weights."""
     return z.join(F.broadcast(weights), "concept").groupBy(*period, "party").agg(F.sum(F.col("z") * F.col("w")).alias("position"))
@@ -85,12 +103,12 @@ def scored(features: DataFrame, scales: DataFrame, weights: DataFrame, keys: lis
 def bootstrap(m: DataFrame, row: list[str], scales: DataFrame, weights: DataFrame, draws: int = 250, least: int = 8) -> DataFrame:
     """(draw, party, position) over Poisson bootstrap resamples of each party's mentions; parties with fewer than ``least`` rows are left out.
 
-    A row's weight in a draw is a hash of draw and ``row``, so the draws are an aggregation and rows never move.
+    A row's weights are hashes of ``row``; each party and concept is one row with the sums of all draws.
     """
     enough = m.groupBy("party").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("party")
-    rows = m.join(F.broadcast(enough), "party").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))  # one row a party
-    rows = rows.withColumn("_w", poisson_weight(F.col("draw"), *[F.col(c) for c in row])).where("_w > 0")
-    s = rows.groupBy("draw", "party", "concept").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in ("mention_count", "pos", "neg")])
+    rows = m.join(F.broadcast(enough), "party")  # one row a party
+    keys, values = ["party", "concept"], ["mention_count", "pos", "neg"]
+    s = resample.by_draw(resample.drawn_sums(rows, keys, values, [F.col(c) for c in row], draws), keys, values).where("mention_count > 0")
     total = F.greatest(F.sum("mention_count").over(Window.partitionBy("draw", "party")), F.lit(1))
     balance = (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg") + 1.0)
     return scored(s.select("draw", "party", "concept", (balance * F.col("mention_count") / total).alias("value")), scales, weights, ["draw", "party"])

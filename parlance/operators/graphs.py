@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -310,14 +308,6 @@ def turnover(rows: DataFrame, period: str) -> DataFrame:
     return j.select(period, "broker", "broker_before", (F.col("broker") != F.col("broker_before")).alias("turnover"), (F.col("_next") == F.col("broker")).alias("persists"), (F.col("hhi") - F.col("_h")).alias("hhi_delta"))
 
 
-def window_gatekeepers(long: DataFrame, keys: list[str], entity: str, value: str, rounds: int = 20, least: int = 6) -> DataFrame:
-    """(keys, node, side, balance, gatekeeper_score, cross_pressure) of each graph with at least ``least`` nodes: affinity, strongest ties, fixed poles, reach."""
-    enough = long.groupBy(*keys).agg(F.countDistinct(entity).alias("_n")).where(F.col("_n") >= least).drop("_n")
-    knn = cut(signed_knn(signed_affinity(long.join(enough, keys), keys, entity, value), keys))
-    side = poles(leading_vector(knn, keys, rounds), keys)
-    return gatekeepers(knn, side, keys, "node")
-
-
 def polarization_null(long: DataFrame, keys: list[str], entity: str, value: str, draws: int = 220, rounds: int = 20) -> DataFrame:
     """Per graph the best polarization score, and mean, deviation and p of the score over shuffled graphs; all draws in one plan."""
     null = shuffled(long, keys, entity, value, draws)
@@ -331,29 +321,46 @@ def polarization_null(long: DataFrame, keys: list[str], entity: str, value: str,
     return j.groupBy(*keys, "observed").agg(F.avg("score").alias("null_mean"), F.stddev_pop("score").alias("null_std"), far.alias("null_p"))
 
 
-def embedding(long: DataFrame, entity: str, value: str, item: str = "concept") -> DataFrame:
-    """(entity, x, y): the first two principal components of the centered unit rows of the z-scored matrix.
+def principal(vectors: DataFrame, keys: list[str], count: int = 2, steps: int = 60, every: int = 10, center: bool = True) -> DataFrame:
+    """(keys, k, item, v): the leading directions of each graph's rows (``vectors``: keys, u, an array over the items), k from 1.
 
-    The Gram matrix of the items is an aggregation; its leading vectors (one number an item) are solved
-    on the driver, where items are few, and the rows are projected by a join. The entry of largest size
-    of each component is positive.
+    The items' Gram matrix is an aggregation of the rows (items are few); each direction comes from power
+    iteration along its entries, and is taken out of the matrix before the next. Unit norm, the entry of
+    largest size (to 9 digits) is positive.
     """
-    z = zscores(long, [], value)
-    norm = z.groupBy(entity).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_norm"))
-    unit = z.join(norm, entity).select(entity, item, F.when(F.col("_norm") > 0, F.col("z") / F.col("_norm")).otherwise(0.0).alias("u"))
-    n = unit.select(entity).distinct().count()
-    mean = unit.groupBy(item).agg((F.sum("u") / n).alias("_m"))
-    a, b = unit.select(entity, F.col(item).alias("i"), F.col("u").alias("ui")), unit.select(entity, F.col(item).alias("j"), F.col("u").alias("uj"))
-    gram = a.join(b, entity).groupBy("i", "j").agg(F.sum(F.col("ui") * F.col("uj")).alias("g")).toPandas()  # items squared
-    m = mean.toPandas().set_index(item)["_m"].sort_index()
-    g = gram.pivot(index="i", columns="j", values="g").fillna(0.0).reindex(index=m.index, columns=m.index, fill_value=0.0).to_numpy() - n * np.outer(m, m)
-    _, vectors = np.linalg.eigh(g)
-    top = vectors[:, ::-1][:, :2]
-    top = top * np.sign(top[np.abs(top).argmax(0), [0, 1]])
-    load = long.sparkSession.createDataFrame([(k, float(x), float(y), float(c)) for k, (x, y), c in zip(m.index, top, m)], f"{item} string, lx double, ly double, _m double")
-    base = -(m.to_numpy() @ top)
-    rows = unit.join(F.broadcast(load), item).groupBy(entity).agg((F.sum(F.col("u") * F.col("lx")) + float(base[0])).alias("x"), (F.sum(F.col("u") * F.col("ly")) + float(base[1])).alias("y"))
-    return rows
+    long = vectors.select(*keys, F.posexplode("u").alias("i", "x"))
+    n = vectors.groupBy(*keys).agg(F.count("*").alias("_n"))
+    mean = long.groupBy(*keys, "i").agg(F.avg("x").alias("m"))
+    pair = vectors.select(*keys, "u", F.posexplode("u").alias("a", "x")).select(*keys, "a", "x", F.posexplode("u").alias("b", "y"))
+    gram = pair.groupBy(*keys, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("w")).join(n, keys)
+    if center:
+        gram = gram.join(mean.withColumnsRenamed({"i": "a", "m": "_ma"}), [*keys, "a"]).join(mean.withColumnsRenamed({"i": "b", "m": "_mb"}), [*keys, "b"])
+        gram = gram.withColumn("w", F.col("w") - F.col("_n") * F.col("_ma") * F.col("_mb"))
+    gram = cut(gram.select(*keys, "a", "b", "w"))
+    out = None
+    for k in range(1, count + 1):
+        start = F.conv(F.substring(F.md5(F.col("a").cast("string").cast("binary")), 1, 6), 16, 10).cast("double") / float(1 << 24) + 0.5
+        v = _power(gram, gram.select(*keys, "a").distinct().select(*keys, F.col("a").alias("node"), start.alias("v")), keys, steps, every)
+        top = v.groupBy(*keys).agg(F.max_by(F.signum("v"), F.struct(F.round(F.abs("v"), 9), "node")).alias("_sign"))
+        v = cut(v.join(top, keys).select(*keys, "node", (F.col("v") * F.col("_sign")).alias("v")))
+        one = v.select(*keys, F.lit(k).alias("k"), F.col("node").alias("item"), "v")
+        out = one if out is None else out.unionByName(one)
+        if k < count:
+            both = gram.join(v.withColumnsRenamed({"node": "a", "v": "_va"}), [*keys, "a"]).join(v.withColumnsRenamed({"node": "b", "v": "_vb"}), [*keys, "b"])
+            size = both.groupBy(*keys).agg(F.sum(F.col("w") * F.col("_va") * F.col("_vb")).alias("_l"))
+            gram = cut(both.join(size, keys).select(*keys, "a", "b", (F.col("w") - F.col("_l") * F.col("_va") * F.col("_vb")).alias("w")))
+    return out
+
+
+def embedding(vectors: DataFrame, keys: list[str], entity: str, steps: int = 60) -> DataFrame:
+    """(keys, entity, x, y): the first two principal components of each graph's centered unit rows (``vectors``: keys, entity, u)."""
+    vectors = cut(vectors)
+    load = principal(vectors, keys, 2, steps).groupBy(*keys, "item").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(c) for k, c in ((1, "lx"), (2, "ly"))])
+    long = vectors.select(*keys, entity, F.posexplode("u").alias("item", "u"))
+    mean = long.groupBy(*keys, "item").agg(F.avg("u").alias("_m"))
+    rows = long.join(load.join(mean, [*keys, "item"]), [*keys, "item"])
+    at = lambda c: F.sum((F.col("u") - F.col("_m")) * F.col(c))
+    return rows.groupBy(*keys, entity).agg(at("lx").alias("x"), at("ly").alias("y"))
 
 
 def overlap(scores: DataFrame, period: str, entity: str, score: str, k: int = 20) -> DataFrame:

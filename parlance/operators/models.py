@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import distributions as D
 
+from . import resample
 from .lineage import cut
 
 
@@ -143,29 +144,15 @@ def granger(panel: DataFrame, order: str, pairs: list[tuple[str, str]], lags: in
     return reduce(DataFrame.unionByName, parts).mapInPandas(solve, "cause string, effect string, lag int, n_obs bigint, f_stat double, p_value double, neg_log10_p double, sum_cause_beta double")
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """A Poisson(1) number drawn by the md5 of the parts: the weight of a row in a bootstrap resample."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    out = F.lit(len(POISSON))
-    for k, at in reversed(list(enumerate(POISSON))):
-        out = F.when(u < at, k).otherwise(out)
-    return out
-
-
-#: Distribution function of a Poisson number with mean 1.
-POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-
-
 def bootstrap_f1(rows: DataFrame, item: str, truth: str, models: list[str], negative: str, draws: int = 2000) -> DataFrame:
     """(draw, model, macro_f1, negative_f1) over Poisson bootstrap resamples of the items.
 
-    ``rows`` has a prediction column for each model; items are weighed per draw, so a resample is one
-    aggregation to (draw, model, truth, prediction) and never a copy of the table.
+    ``rows`` has a prediction column for each model; a cell of a confusion table is one row with the
+    weighted counts of all draws, so the table is never copied.
     """
-    long = rows.unpivot([item, truth], models, "model", "prediction")
-    each = F.explode(F.sequence(F.lit(1), F.lit(draws)))
-    some = long.withColumn("draw", each).withColumn("_w", poisson_weight(F.col("draw"), F.col(item))).where("_w > 0")
-    cells = some.groupBy("draw", "model", F.col(truth).alias("truth"), "prediction").agg(F.sum("_w").alias("n"))
+    long = rows.unpivot([item, truth], models, "model", "prediction").withColumnRenamed(truth, "truth").withColumn("n", F.lit(1))
+    keys = ["model", "truth", "prediction"]
+    cells = resample.by_draw(resample.drawn_sums(long, keys, ["n"], [F.col(item)], draws), keys, ["n"]).where("n > 0")
     return _f1(cells, ["draw", "model"], negative).select("draw", "model", "macro_f1", "negative_f1")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import distributions as D
 
+from .lineage import cut
+
 
 def ols(rows: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """Simple regression with intercept: slope, intercept, R2 and adjusted R2."""
@@ -36,12 +40,61 @@ def correlation_p(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"{r}_p": p(r) for r in ("pearson", "spearman")})
 
 
+def signs(t: np.ndarray, v: np.ndarray) -> int:
+    """Sum of sign(v_j - v_i) over all pairs with t_i < t_j, in n log n."""
+
+    def count(x: np.ndarray) -> tuple[int, np.ndarray]:
+        """The sum over pairs in order, and the sorted values."""
+        if len(x) <= 64:
+            d = np.sign(x[None, :] - x[:, None])
+            return int(np.triu(d, 1).sum()), np.sort(x)
+        half = len(x) // 2
+        one, left = count(x[:half])
+        two, right = count(x[half:])
+        across = np.searchsorted(left, right, "left").sum() - (len(left) * len(right) - np.searchsorted(left, right, "right").sum())
+        return one + two + int(across), np.sort(np.concatenate([left, right]), kind="stable")
+
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    total = count(v)[0]
+    borders = np.flatnonzero(t[1:] != t[:-1]) + 1
+    for x in np.split(v, borders):  # values of one time are sorted: all their pairs but ties were counted as rising
+        ties = np.unique(x, return_counts=True)[1]
+        total -= len(x) * (len(x) - 1) // 2 - int((ties * (ties - 1) // 2).sum())
+    return total
+
+
 def mann_kendall(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """S, its variance without ties, and z with continuity correction; series of at least four."""
-    d = rows.where(F.col(value).isNotNull()).select(*keys, F.col(order).alias("t"), F.col(value).alias("v"))
-    later = d.select(*keys, F.col("t").alias("t2"), F.col("v").alias("v2"))
-    s = d.join(later, keys).where("t < t2").groupBy(*keys).agg(F.sum(F.signum(F.col("v2") - F.col("v"))).alias("s"))
-    n = d.groupBy(*keys).agg(F.count("*").alias("n"))
+    """S, its variance without ties, and z with continuity correction; series of at least four.
+
+    Series are cut by ranges of time and by ranges of value. Pairs inside a time range, and pairs inside a
+    value range from different times, are counted in its task in n log n; all other pairs follow from
+    running sums over the table of cell counts, so no series is joined with itself or held by one task.
+    """
+    at = F.col(order).cast("timestamp") if dict(rows.dtypes)[order] in ("date", "timestamp") else F.col(order)
+    d = rows.where(F.col(value).isNotNull()).select(*keys, at.cast("double").alias("t"), F.col(value).cast("double").alias("v"))
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(d.repartitionByRange(parts, *keys, "t").withColumn("_c", F.spark_partition_id()))
+    d = cut(d.repartitionByRange(parts, *keys, "v").withColumn("_b", F.spark_partition_id()))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def inside(time: str):
+        def of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, "s": [signs(g[time].to_numpy(), g["v"].to_numpy())]})
+
+        return of
+
+    own = d.groupBy(*keys, "_c").applyInPandas(inside("t"), f"{kinds}, s bigint")
+    same = d.groupBy(*keys, "_b").applyInPandas(inside("_c"), f"{kinds}, s bigint")
+    cells = cut(d.groupBy(*keys, "_c", "_b").agg(F.count("*").alias("n")))
+    grid = cells.select(*keys, "_c").distinct().join(cells.select(*keys, "_b").distinct(), keys).join(cells, [*keys, "_c", "_b"], "left")
+    grid = grid.withColumn("_e", F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    line = Window.partitionBy(*keys, "_c")
+    low = F.coalesce(F.sum("_e").over(line.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grid = grid.withColumns({"_low": low, "_all": F.sum("_e").over(line)})
+    across = grid.select(*keys, (F.coalesce("n", F.lit(0)) * (2 * F.col("_low") + F.col("_e") - F.col("_all"))).alias("s"))
+    s = own.unionByName(same).unionByName(across).groupBy(*keys).agg(F.sum("s").cast("double").alias("s"))
+    n = cells.groupBy(*keys).agg(F.sum("n").alias("n"))
     out = s.join(n, keys).where("n >= 4").withColumn("variance", F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) / 18)
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("variance")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("variance")).otherwise(0.0)
     return out.withColumn("z", z)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import distributions as D
-from parlance.operators import axis, graphs, joins, macro, models, panels, paths, stats
+from parlance.operators import axis, graphs, joins, macro, models, panels, paths, resample, stats
 
 from . import fixtures as X
 from .registry import query
@@ -95,7 +95,7 @@ def community_composition(spark, sf):
     return graphs.composition(p, ["year"], "grp")
 
 
-_DRAWS = 6
+_DRAWS = 220
 _SHUFFLED = f"sd AS (SELECT draw, lo.* FROM lo, range(1, {_DRAWS + 1}) t(draw)), sa AS (SELECT *, row_number() OVER (PARTITION BY draw, year, concept ORDER BY party) AS r, row_number() OVER (PARTITION BY draw, year, concept ORDER BY md5(draw || '|' || year || '|' || concept || '|' || party)) AS s FROM sd)"
 
 
@@ -104,11 +104,6 @@ def polarization_null(spark, sf):
     return rounded(graphs.polarization_null(_long(spark, sf, True), ["year"], "party", "value", _DRAWS, _ROUNDS))
 
 
-@query("speaker_embedding")
-def speaker_embedding(spark, sf):
-    return rounded(graphs.embedding(_long(spark, sf, True).where("year = 1997").drop("year"), "party", "value"))
-
-
 _EIGEN = "ea AS MATERIALIZED (SELECT year, a, b, w FROM kn WHERE w > 0 UNION ALL SELECT year, b, a, w FROM kn WHERE w > 0), eb AS MATERIALIZED (SELECT * FROM ea UNION ALL SELECT DISTINCT year, a, a, 1.0::DOUBLE FROM ea), e0 AS MATERIALIZED (SELECT DISTINCT year, a AS node, 1.0::DOUBLE AS v FROM ea), " + ", ".join(
     f"x{i} AS MATERIALIZED (SELECT eb.year, eb.a AS node, sum(eb.w * e.v) AS v FROM eb JOIN e{i} e ON e.year = eb.year AND e.node = eb.b GROUP BY ALL), e{i + 1} AS MATERIALIZED (SELECT year, node, v / sqrt(sum(v * v) OVER (PARTITION BY year)) AS v FROM x{i})" for i in range(60)
 )
@@ -143,9 +138,8 @@ def monthly_positions(spark, sf):
     return rounded(axis.scored(f, *_known(spark, sf), ["month", "party"]))
 
 
-_BOOT = 8
-_POIS = "CASE " + " ".join(f"WHEN u < {v} THEN {k}" for k, v in enumerate(models.POISSON)) + f" ELSE {len(models.POISSON)} END"
-_BOOTED = f"bu AS (SELECT m.*, draw, ('0x' || substr(md5(draw || '|' || speech_id || '|' || concept || '|' || mention_count || '|' || pos || '|' || neg), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM m, range(1, {_BOOT + 1}) t(draw)), bw AS (SELECT *, {_POIS} AS k FROM bu), bs AS (SELECT draw, party, concept, sum(k * mention_count) AS n, sum(k * pos) AS p, sum(k * neg) AS g FROM bw WHERE k > 0 GROUP BY ALL), bf AS (SELECT draw, party, concept, {bal('p', 'g')} * n / greatest(sum(n) OVER (PARTITION BY draw, party), 1)::DOUBLE AS value FROM bs), bp AS (SELECT draw, party, sum(value / sd * w) + any_value(zero) AS position FROM bf JOIN kw USING (concept), zr GROUP BY ALL), bq AS (SELECT party, quantile_cont(position, 0.1) AS boot_q10, quantile_cont(position, 0.25) AS boot_q25, quantile_cont(position, 0.5) AS boot_median, quantile_cont(position, 0.75) AS boot_q75, quantile_cont(position, 0.9) AS boot_q90, stddev_pop(position) AS boot_std FROM bp GROUP BY 1)"
+_BOOT = 250
+_BOOTED = f"{resample.draws_sql(_BOOT)}, bu AS MATERIALIZED (SELECT party, concept, mention_count, pos, neg, {resample.seed_sql("speech_id || '|' || concept || '|' || mention_count || '|' || pos || '|' || neg")} AS seed FROM m), bw AS (SELECT bu.*, draw, {resample.weight_sql("seed")} AS k FROM bu, dr), bs AS (SELECT draw, party, concept, sum(k * mention_count) AS n, sum(k * pos) AS p, sum(k * neg) AS g FROM bw GROUP BY ALL HAVING sum(k * mention_count) > 0), bf AS (SELECT draw, party, concept, {bal('p', 'g')} * n / greatest(sum(n) OVER (PARTITION BY draw, party), 1)::DOUBLE AS value FROM bs), bp AS (SELECT draw, party, sum(value / sd * w) + any_value(zero) AS position FROM bf JOIN kw USING (concept), zr GROUP BY ALL), bq AS (SELECT party, quantile_cont(position, 0.1) AS boot_q10, quantile_cont(position, 0.25) AS boot_q25, quantile_cont(position, 0.5) AS boot_median, quantile_cont(position, 0.75) AS boot_q75, quantile_cont(position, 0.9) AS boot_q90, stddev_pop(position) AS boot_std FROM bp GROUP BY 1)"
 _BQ = ", ".join(f"{r6(c)} AS {c}" for c in ("boot_q10", "boot_q25", "boot_median", "boot_q75", "boot_q90", "boot_std"))
 
 
@@ -165,9 +159,9 @@ def opinion_intervals(spark, sf):
     return rounded(form("ends", False).unionByName(form("draws", True)))
 
 
-@query("axis_validation", X.with_m(f"{_AXIS}, {_SCALE}, {_BOOTED}, iv AS (SELECT party, median(position) AS center, anchor FROM ps JOIN anchors USING (party) GROUP BY ALL), pm AS (SELECT draw, center, anchor, row_number() OVER (PARTITION BY draw ORDER BY party) AS r, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '|' || party)) AS s FROM iv, range(1, 201) t(draw)), nl AS (SELECT x.draw, corr(x.center, y.anchor) AS c FROM pm x JOIN pm y ON x.draw = y.draw AND x.r = y.s GROUP BY 1), ob AS (SELECT corr(center, anchor) AS r, count(*) AS anchors FROM iv), bb AS (SELECT draw, corr(position, anchor) AS b FROM bp JOIN anchors USING (party) GROUP BY 1) SELECT {r6('r')} AS r, anchors, (SELECT {r6('avg(CASE WHEN abs(c) >= abs(r) - 1e-12 THEN 1.0 ELSE 0.0 END)')} FROM nl, ob) AS permutation_p, (SELECT {r6('avg(b)')} FROM bb) AS bootstrap_mean, (SELECT {r6('stddev_pop(b)')} FROM bb) AS bootstrap_std FROM ob"))
+@query("axis_validation", X.with_m(f"{_AXIS}, {_SCALE}, {_BOOTED}, iv AS (SELECT party, median(position) AS center, anchor FROM ps JOIN anchors USING (party) GROUP BY ALL), pm AS (SELECT draw, center, anchor, row_number() OVER (PARTITION BY draw ORDER BY party) AS r, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '|' || party)) AS s FROM iv, range(1, 501) t(draw)), nl AS (SELECT x.draw, corr(x.center, y.anchor) AS c FROM pm x JOIN pm y ON x.draw = y.draw AND x.r = y.s GROUP BY 1), ob AS (SELECT corr(center, anchor) AS r, count(*) AS anchors FROM iv), bb AS (SELECT draw, corr(position, anchor) AS b FROM bp JOIN anchors USING (party) GROUP BY 1) SELECT {r6('r')} AS r, anchors, (SELECT {r6('avg(CASE WHEN abs(c) >= abs(r) - 1e-12 THEN 1.0 ELSE 0.0 END)')} FROM nl, ob) AS permutation_p, (SELECT {r6('avg(b)')} FROM bb) AS bootstrap_mean, (SELECT {r6('stddev_pop(b)')} FROM bb) AS bootstrap_std FROM ob"))
 def axis_validation(spark, sf):
-    return rounded(axis.validation(axis.intervals(_positions(spark, sf)), X.anchors(spark), _booted(spark, sf), 200))
+    return rounded(axis.validation(axis.intervals(_positions(spark, sf)), X.anchors(spark), _booted(spark, sf)))
 
 
 # regressions
@@ -239,9 +233,9 @@ def rate_ratio_test_p(spark, sf):
 
 # comparison of models on the same items: raters are the models, the longest the truth
 _MODELS = ["r0", "r1", "r3"]
-_B = 40
+_B = 2000
 _BM = "rt AS (SELECT doc_id, " + ", ".join(f"CASE WHEN n_chars > {k} THEN 'long' ELSE 'short' END AS r{i}" for i, k in enumerate((400, 800, 1000, 1500, 3000))) + " FROM documents), ln AS (UNPIVOT rt ON r0, r1, r3 INTO NAME model VALUE prediction)"
-_BF = f"mu AS (SELECT ln.*, draw, ('0x' || substr(md5(draw || '|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM ln, range(1, {_B + 1}) t(draw)), mw AS (SELECT *, {_POIS} AS k FROM mu), mc AS (SELECT draw, model, r2 AS truth, prediction, sum(k) AS n FROM mw WHERE k > 0 GROUP BY ALL), ml AS (SELECT draw, model, truth AS label, n AS s, 0 AS p, CASE WHEN truth = prediction THEN n ELSE 0 END AS h FROM mc UNION ALL SELECT draw, model, prediction, 0, n, 0 FROM mc), mf AS (SELECT draw, model, label, coalesce(2 * sum(h) / nullif(sum(s) + sum(p), 0)::DOUBLE, 0) AS f1 FROM ml GROUP BY ALL), mm AS (SELECT draw, model, avg(f1) AS macro_f1 FROM mf GROUP BY ALL)"
+_BF = f"{resample.draws_sql(_B)}, mu AS MATERIALIZED (SELECT ln.*, {resample.seed_sql("doc_id::VARCHAR")} AS seed FROM ln), mc AS (SELECT draw, model, r2 AS truth, prediction, sum({resample.weight_sql("seed")}) AS n FROM mu, dr GROUP BY ALL HAVING n > 0), ml AS (SELECT draw, model, truth AS label, n AS s, 0 AS p, CASE WHEN truth = prediction THEN n ELSE 0 END AS h FROM mc UNION ALL SELECT draw, model, prediction, 0, n, 0 FROM mc), mf AS (SELECT draw, model, label, coalesce(2 * sum(h) / nullif(sum(s) + sum(p), 0)::DOUBLE, 0) AS f1 FROM ml GROUP BY ALL), mm AS (SELECT draw, model, avg(f1) AS macro_f1 FROM mf GROUP BY ALL)"
 
 
 @query("bootstrap_metric_diff", f"WITH {_BM}, {_BF}, dd AS (SELECT x.model AS a, y.model AS b, y.macro_f1 - x.macro_f1 AS d FROM mm x JOIN mm y ON x.draw = y.draw AND x.model < y.model) SELECT a, b, {r6('avg(d)')} AS difference, {r6('quantile_cont(d, 0.025)')} AS low, {r6('quantile_cont(d, 0.975)')} AS high, {r6('avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END)')} AS p_one_sided FROM dd GROUP BY ALL")

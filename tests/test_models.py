@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import distributions as D
 from parlance.functions import text as T
-from parlance.operators import axis, graphs, models, stats
+from parlance.operators import axis, graphs, models, resample, stats
 
 
 def test_tails_have_known_values():
@@ -97,8 +97,13 @@ def test_mean_tests(spark):
 
 
 def test_bootstrap_weights_are_poisson(spark):
-    w = [r.w for r in spark.range(20000).select(models.poisson_weight(F.lit(3), F.col("id")).alias("w")).collect()]
-    assert abs(np.mean(w) - 1) < 0.03 and abs(np.var(w) - 1) < 0.06
+    seeds = np.array([r.s for r in spark.range(4000).select(resample.seed(F.col("id")).alias("s")).collect()])
+    w = resample.weights(seeds, *resample.multipliers(250))
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01
+    rows = spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'g' END AS k", "id % 5 AS v").repartition(3)
+    got = {r.k: r.v for r in resample.drawn_sums(rows, ["k"], ["v"], [F.col("id")], 250).collect()}
+    for k, keep in ((None, np.arange(4000) % 3 == 0), ("g", np.arange(4000) % 3 > 0)):
+        assert got[k] == ((np.arange(4000) % 5 * keep) @ w).tolist()
 
 
 def test_positions_of_absent_concepts_count_as_zero(spark):
