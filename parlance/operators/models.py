@@ -1,4 +1,4 @@
-"""Regressions from aggregated sums of products, bootstrap comparison of models, and the text classifier."""
+"""Regressions from aggregated sums of products, and bootstrap comparison of models."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,19 +187,3 @@ def choose(metrics: DataFrame, base: str, macro: float = 0.08, negative: float =
     gain, less = F.col("t.macro_f1") - F.col("_m"), F.col("t.negative_f1") - F.col("_n")
     rule = F.when(F.col("t").isNull(), "no_competing_model_available").when((gain >= macro) & (less >= negative), "replace_primary").when(gain >= least, "keep_with_robustness_check").otherwise("keep_primary")
     return j.select(F.coalesce("t.model", F.lit(base)).alias("model"), rule.alias("rule"), gain.alias("macro_gain"), less.alias("negative_gain"))
-
-
-def text_classifier(docs: DataFrame, folds: int = 3, features: int = 1 << 14) -> DataFrame:
-    """Out-of-fold predictions of a logistic regression on TF-IDF of words and word pairs; folds by a hash of doc_id."""
-    docs = docs.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int"))
-    steps = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"), NGram(inputCol="words", outputCol="pairs"),
-        HashingTF(inputCol="words", outputCol="tf1", numFeatures=features), HashingTF(inputCol="pairs", outputCol="tf2", numFeatures=features),
-        IDF(inputCol="tf1", outputCol="x1"), IDF(inputCol="tf2", outputCol="x2"), VectorAssembler(inputCols=["x1", "x2"], outputCol="features"),
-        LogisticRegression(maxIter=20, regParam=0.1),
-    ]
-    out = None
-    for k in range(folds):
-        got = Pipeline(stages=steps).fit(docs.where(F.col("fold") != k)).transform(docs.where(F.col("fold") == k)).select("doc_id", "fold", "label", "prediction")
-        out = got if out is None else out.unionByName(got)
-    return out

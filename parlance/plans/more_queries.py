@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import axis, graphs, joins, macro, models, panels, series, stats
+from parlance.operators import axis, classify, graphs, joins, macro, models, panels, series, stats
 
 from . import fixtures as X
 from .registry import query
@@ -137,10 +137,19 @@ def eligible_count(spark, sf):
     return m.agg(F.count("*").alias("months"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
 
+def _labelled(spark, sf):
+    return X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id").select("doc_id", "text", "quality")
+
+
 @query("text_classifier")
 def text_classifier(spark, sf):
-    d = X.table(spark, sf, "documents").join(X.table(spark, sf, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    return models.text_classifier(d).select("doc_id", "fold", "label", "prediction")
+    return classify.nested(_labelled(spark, sf), "doc_id", "text", "quality", outer=2, inner=2, strengths=(0.5, 2.0), iterations=8, features=1 << 12)
+
+
+@query("text_classifier_folds", "SELECT ('0x' || substr(md5('outer|' || doc_id), 1, 8))::BIGINT % 5 AS fold, quality AS label, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL")
+def text_classifier_folds(spark, sf):
+    d = _labelled(spark, sf).where("quality IS NOT NULL")
+    return d.groupBy(classify.fold("doc_id", 5, "outer").cast("long").alias("fold"), F.col("quality").alias("label")).agg(F.count("*").alias("n"))
 
 
 @query("rank_correlations", f"WITH {X.MACRO_SQL}, r AS (SELECT rank() OVER (ORDER BY s1) AS a, rank() OVER (ORDER BY s2) AS b FROM macro WHERE s1 IS NOT NULL AND s2 IS NOT NULL) SELECT {r6('corr(a, b)')} AS spearman, count(*) AS n FROM r")

@@ -45,31 +45,53 @@ def scan_text_corpus(spark, sf):
     return t.select("doc_id", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("scan_json_chart", "SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value FROM events WHERE value > 20")
+@query("scan_json_chart", "SELECT user_id, floor(epoch(ts))::BIGINT AS timestamp, CAST(ts AS DATE) AS date, value AS open, value + 1 AS high, value - 1 AS low, value AS close, CASE WHEN user_id % 3 > 0 THEN value / 2 END AS adjclose, CAST(json_extract(props, '$.k') AS BIGINT) AS volume FROM events WHERE value > 20", dates="date")
 def scan_json_chart(spark, sf):
     e = X.table(spark, sf, "events").withColumn("k", F.from_json("props", "k bigint").k)
     # a document holds the events of a user in one block of rows, so none outgrows the block
-    close = F.when(F.col("value") > 20, F.col("value")).otherwise(F.lit(float("nan")))
-    e = e.select("user_id", "k", "value", close.alias("close"), F.floor(F.monotonically_increasing_id() / CHART_ROWS).alias("block"))
-    chart = e.groupBy("user_id", "block").agg(F.collect_list(F.struct("k", "value", "close")).alias("r"))
-    chart = chart.select("user_id", F.to_json(F.struct(F.col("r.k").alias("timestamp"), F.col("r.value").alias("open"), F.col("r.close").alias("close"))).alias("json"))
-    rows = chart.select("user_id", F.inline(readers.chart_rows(F.regexp_replace("json", '"NaN"', "null"))))
-    return rows.where("close is not null").select("user_id", F.col("timestamp").alias("k"), F.col("close").alias("value"))
+    v = F.col("value")
+    e = e.select("user_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("t"), v.alias("o"), (v + 1).alias("h"), (v - 1).alias("l"), F.when(v > 20, v).alias("c"), (v / 2).alias("a"), "k", F.floor(F.monotonically_increasing_id() / CHART_ROWS).alias("block"))
+    docs = e.groupBy("user_id", "block").agg(F.collect_list(F.struct("t", "o", "h", "l", F.coalesce("c", F.lit(float("nan"))).alias("c"), "a", "k")).alias("r"))
+    quote = F.struct(*[F.col(f"r.{c}").alias(n) for c, n in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("k", "volume"))])
+    # every third user's document has no adjusted closes
+    adjusted = F.when(F.col("user_id") % 3 > 0, F.array(F.struct(F.col("r.a").alias("adjclose"))))
+    result = F.struct(F.col("r.t").alias("timestamp"), F.struct(F.array(quote).alias("quote"), adjusted.alias("adjclose")).alias("indicators"))
+    json = F.regexp_replace(F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart"))), '"NaN"', "null")
+    return readers.chart(docs.select("user_id", json.alias("json")), "json", ["user_id"])
 
 
-@query("scan_json_indicator", "SELECT event_type, count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS BIGINT) < 50) AS low, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")
+_OBSERVED = "ob AS (SELECT event_type AS code, 'i_' || event_type AS name, 1990 + CAST(json_extract(props, '$.k') AS INTEGER) % 30 AS year, sum(value) AS value FROM events GROUP BY ALL)"
+_WIDE = lambda t: r6(f"max(CASE WHEN name = 'i_{t}' THEN value END)") + f" AS i_{t}"
+
+
+def _indicators(spark, sf):
+    e = X.table(spark, sf, "events").withColumn("k", F.from_json("props", "k bigint").k)
+    y = e.groupBy("event_type", (1990 + F.col("k") % 30).alias("year")).agg(F.sum("value").alias("value"))
+    one = F.struct(F.struct(F.col("event_type").alias("id")).alias("indicator"), F.col("year").cast("string").alias("date"), "value")
+    docs = y.groupBy("event_type").agg(F.collect_list(one).alias("rows"))  # at most thirty years
+    json = F.concat(F.lit('[{"page":1,"pages":1},'), F.to_json("rows"), F.lit("]"))
+    return readers.indicators(docs.select("event_type", F.concat(F.lit("i_"), "event_type").alias("name"), json.alias("json")), "json", "event_type", "name", 2002, 2015)
+
+
+@query("scan_json_indicator", f"WITH {_OBSERVED} SELECT year, code, name, {r6('value')} AS value FROM ob WHERE year BETWEEN 2002 AND 2015")
 def scan_json_indicator(spark, sf):
-    e = X.table(spark, sf, "events").select("event_type", F.from_json("props", "k bigint").k.alias("k"))
-    return e.groupBy("event_type").agg(F.count_if(F.col("k") < 50).alias("low"), F.sum("k").alias("total"))
+    return rounded(_indicators(spark, sf))
+
+
+@query("scan_json_indicator_wide", f"WITH {_OBSERVED} SELECT year, {', '.join(map(_WIDE, X.TYPES))} FROM ob WHERE year BETWEEN 2002 AND 2015 GROUP BY year")
+def scan_json_indicator_wide(spark, sf):
+    return rounded(readers.indicators_wide(_indicators(spark, sf), [f"i_{t}" for t in X.TYPES]))
 
 
-@query("scan_xml_rates", f"SELECT o_orderkey, {r6('CASE WHEN o_orderstatus = ' + chr(39) + 'F' + chr(39) + ' THEN o_totalprice ELSE (o_totalprice + o_totalprice + 2) / 2 END')} AS mid FROM orders")
+@query("scan_xml_rates", f"WITH b AS (SELECT o_orderkey, o_totalprice AS buying, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice + 2 END AS selling FROM orders WHERE o_orderstatus <> 'P') SELECT o_orderkey, {r6('buying')} AS buying, {r6('selling')} AS selling, {r6('coalesce((buying + selling) / 2, buying)')} AS mid, {r6('coalesce(selling, buying)')} AS high, {r6('buying')} AS low FROM b")
 def scan_xml_rates(spark, sf):
     o = X.table(spark, sf, "orders")
-    price = F.col("o_totalprice").cast("string")
-    ask = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.concat(F.lit("<ask>"), (F.col("o_totalprice") + 2).cast("string"), F.lit("</ask>")))
-    xml = F.concat(F.lit("<Currency><bid>"), price, F.lit("</bid>"), ask, F.lit("</Currency>"))
-    return rounded(o.select("o_orderkey", readers.rate_of(xml).alias("mid")))
+    one = lambda code, *parts: F.concat(F.lit(f'<Currency CurrencyCode="{code}">'), *parts, F.lit("</Currency>"))
+    rate = lambda tag, v: F.concat(F.lit(f"<{tag}>"), v.cast("string"), F.lit(f"</{tag}>"))
+    ask = F.when(F.col("o_orderstatus") == "F", "<ForexSelling/>").otherwise(rate("ForexSelling", F.col("o_totalprice") + 2))
+    mine = F.when(F.col("o_orderstatus") == "P", "").otherwise(one("USD", rate("ForexBuying", F.col("o_totalprice")), ask))
+    xml = F.concat(F.lit("<Tarih_Date>"), one("EUR", F.lit("<ForexBuying>1</ForexBuying>")), mine, F.lit("</Tarih_Date>"))
+    return rounded(readers.rates(o.select("o_orderkey", xml.alias("xml")), "xml", ["o_orderkey"]))
 
 
 _MONTHS = [f"m{i:02d}" for i in range(1, 13)]

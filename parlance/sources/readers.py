@@ -50,16 +50,69 @@ def text_corpus(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[^./]
     return rows.select(F.regexp_extract("_f", name, 1).alias("doc_id"), "text")
 
 
-def chart_rows(json: Column) -> Column:
-    """Rows of parallel arrays timestamp, open, close."""
-    parsed = F.from_json(json, "timestamp array<bigint>, open array<double>, close array<double>")
-    return F.arrays_zip(parsed.timestamp, parsed.open, parsed.close)
+_CHART = """chart struct<result array<struct<timestamp array<bigint>, indicators struct<
+    quote array<struct<open array<double>, high array<double>, low array<double>, close array<double>, volume array<bigint>>>,
+    adjclose array<struct<adjclose array<double>>>>>>>, _bad string"""
 
 
-def rate_of(xml: Column) -> Column:
-    """Middle rate of one currency element: the mean of bid and ask, or the one there is."""
-    x = F.from_xml(xml, F.lit("bid double, ask double"))
-    return F.coalesce((x.bid + x.ask) / 2, x.bid, x.ask)
+def _json(text: Column, schema: str) -> Column:
+    return F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad"})
+
+
+def malformed(docs: DataFrame, text: str, schema: str = _CHART) -> DataFrame:
+    """Documents that aren't JSON of the schema, kept apart from what the readers give."""
+    got = _json(F.col(text), schema)
+    return docs.where(got.isNull() | got["_bad"].isNotNull())
+
+
+def chart(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Market documents to rows (keys, timestamp, date in UTC, open, high, low, close, adjclose, volume).
+
+    A document holds parallel arrays; the first result and its first quote count. Arrays that are missing
+    or short give nulls; rows without a close and documents that can't be read give nothing.
+    """
+    rows = docs.select(*keys, _json(F.col(text), _CHART).alias("_d")).where("_d._bad IS NULL")
+    rows = rows.select(*keys, F.get("_d.chart.result", F.lit(0)).alias("_r"))
+    rows = rows.select(*keys, F.col("_r.timestamp").alias("_t"), F.get("_r.indicators.quote", F.lit(0)).alias("_q"), F.get("_r.indicators.adjclose", F.lit(0))["adjclose"].alias("_a"))
+    some = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    prices = [some(F.col(f"_q.{c}"), "double").alias(c) for c in ("open", "high", "low", "close")]
+    rows = rows.select(*keys, some(F.col("_t"), "bigint").alias("timestamp"), *prices, some(F.col("_a"), "double").alias("adjclose"), some(F.col("_q.volume"), "bigint").alias("volume"))
+    columns = ["timestamp", "open", "high", "low", "close", "adjclose", "volume"]
+    flat = rows.select(*keys, F.inline(F.arrays_zip(*columns))).where("timestamp IS NOT NULL AND close IS NOT NULL AND NOT isnan(close)")
+    return flat.select(*keys, "timestamp", F.date_from_unix_date(F.floor(F.col("timestamp") / 86400).cast("int")).alias("date"), *columns[1:])
+
+
+def indicators(docs: DataFrame, text: str, code: str, name: str, first: int = 2002, last: int | None = None) -> DataFrame:
+    """Indicator documents, lists of a header and the observations, to long rows (year, code, name, value).
+
+    Years outside first to last (this year where not given) or that aren't numbers go; values that aren't
+    numbers are null. A document without a list of observations gives nothing.
+    """
+    parts = F.from_json(F.col(text), "array<string>")
+    rows = docs.select(F.col(code).alias("code"), F.col(name).alias("name"), F.from_json(F.get(parts, F.lit(1)), "array<struct<date string, value string>>").alias("_o"))
+    rows = rows.select("code", "name", F.inline("_o")).select(F.expr("try_cast(date AS int)").alias("year"), "code", "name", F.expr("try_cast(value AS double)").alias("value"))
+    return rows.where(F.col("year").between(first, F.lit(last) if last else F.year(F.current_date())))
+
+
+def indicators_wide(long: DataFrame, names: list[str]) -> DataFrame:
+    """One row per year, one column per indicator; of several values the one with the smallest code, then the smallest value."""
+    some = long.where("value IS NOT NULL")
+    return some.groupBy("year").pivot("name", names).agg(F.min_by("value", F.struct("code", "value")))
+
+
+def rates(docs: DataFrame, text: str, keys: list[str], currency: str = "USD") -> DataFrame:
+    """Exchange-rate documents to (keys, buying, selling, mid, high, low) of one of their currency elements.
+
+    The first element with the currency's code (either attribute) counts. mid is the mean of both rates or
+    the one there is; documents without the element, without a rate, or that can't be read give nothing.
+    """
+    parsed = F.from_xml(F.col(text), "Currency array<struct<_CurrencyCode string, _Kod string, ForexBuying string, ForexSelling string>>")
+    mine = F.filter(parsed["Currency"], lambda c: (F.coalesce(c["_CurrencyCode"], F.lit("")) == currency) | (F.coalesce(c["_Kod"], F.lit("")) == currency))
+    rows = docs.select(*keys, F.get(mine, F.lit(0)).alias("_c"))
+    number = lambda c: F.replace(F.trim(F.col(f"_c.{c}")), F.lit(","), F.lit(".")).try_cast("double")
+    rows = rows.select(*keys, number("ForexBuying").alias("buying"), number("ForexSelling").alias("selling")).where("buying IS NOT NULL OR selling IS NOT NULL")
+    mid = F.coalesce((F.col("buying") + F.col("selling")) / 2, "buying", "selling")
+    return rows.select(*keys, "buying", "selling", mid.alias("mid"), F.greatest("buying", "selling").alias("high"), F.least("buying", "selling").alias("low"))
 
 
 def matrix_long(wide: DataFrame, year: str, months: list[str], labels: list[str]) -> DataFrame:
