@@ -427,9 +427,12 @@ def training(htmls: list[str], made: int = MADE, seed: int = SEED) -> tuple[np.n
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, made: int = MADE) -> Trees:
-    """Trees fitted on at most ``sample`` pages, in the order of a hash, and ``made`` composed ones."""
+    """Trees fitted on at most ``sample`` pages, in the order of a hash of page_id, and ``made`` composed ones."""
     spark = pages.sparkSession
-    got = pages.where("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    # only hashes of ids are sorted; of pages with equal hashes one counts
+    key = F.xxhash64("page_id")
+    chosen = pages.where("html IS NOT NULL").select(key.alias("key")).orderBy("key").limit(sample).distinct().collect()
+    got = pages.where(key.isin([r.key for r in chosen])).groupBy(key.alias("key")).agg(F.min("html").alias("html")).orderBy("key").collect() if chosen else []
     x, y = training([r.html for r in got], made)
     rows = pa.table({"x": pa.FixedSizeListArray.from_arrays(x.ravel(), x.shape[1]).cast(pa.list_(pa.float64())), "label": y})
     data = staged(spark.createDataFrame(rows).select(array_to_vector("x").alias("features"), "label").coalesce(2), "training")
