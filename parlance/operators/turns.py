@@ -51,14 +51,24 @@ def line_classes(lines: DataFrame, key: str, classes: dict[str, Column]) -> Data
     return rows.groupBy(key).agg(*[F.count_if(F.col("_c") == c).alias(c) for c in (*classes, "other")])
 
 
-def trim_to(text: Column, marker: str) -> Column:
-    """The text from the first marker on; all of it without one."""
+# fixed values: month names and session starts of the transcripts
+MONTHS = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"]
+SESSION_STARTS = ["Açılma Saati", "BİRİNCİ OTURUM"]
+#: A day, a month's name or a dot, perhaps a dot or letters, and a year.
+DATE = rf"[0-9]{{1,2}}\s*(?:{'|'.join(MONTHS)}|\.)\s*(?:\.|[A-Za-z]*)\s*[0-9]{{4}}"
+#: A line that begins with a session start, in any case.
+SESSION_START = rf"(?iu)(?:^|\n)\s*(?:{'|'.join(SESSION_STARTS)})"
+
+
+def trim_to(text: Column, marker: str = SESSION_START) -> Column:
+    """The text from the first marker on (by default a line that begins a session); all of it without one."""
     at = F.regexp_instr(text, F.lit(marker))
     return F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
 
 
-def first_date(text: Column, pattern: str = r"\d{1,2}\s*\.\s*\d{1,2}\s*\.\s*\d{4}", none: str = "Bilinmiyor") -> Column:
-    found = F.regexp_replace(F.regexp_extract(text, pattern, 0), r"\s+", "")
+def first_date(text: Column, pattern: str = DATE, none: str = "Bilinmiyor") -> Column:
+    """The first date in the text without its spaces."""
+    found = F.replace(F.regexp_extract(text, pattern, 0), F.lit(" "), F.lit(""))
     return F.coalesce(F.nullif(found, F.lit("")), F.lit(none))
 
 

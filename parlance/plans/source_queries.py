@@ -167,9 +167,16 @@ def trim_to_session(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.md5(turns.trim_to(F.col("text"), "the|der").cast("binary")).alias("text"))
 
 
-@query("extract_session_date", r"SELECT doc_id, coalesce(nullif(regexp_replace(regexp_extract(text, '[0-9]{1,3}\s*\.\s*[0-9]{1,3}\s*\.\s*[0-9]{1,3}', 0), '\s+', '', 'g'), ''), 'Bilinmiyor') AS date FROM documents")
+# the first words of a text stand for the head of a transcript, with the date of the document's length
+_HEAD = "concat(substring(text, 1, 40), chr(10), n_chars % 31, ' ', CASE n_chars % 3 WHEN 0 THEN 'Kasım' WHEN 1 THEN '.  ' ELSE 'Juli' END, '  20', lpad((n_chars % 90 + 10)::VARCHAR, 2, '0'), ' x')"
+
+
+@query("extract_session_date", f"SELECT doc_id, coalesce(nullif(replace(regexp_extract({_HEAD}, '{turns.DATE}', 0), ' ', ''), ''), 'Bilinmiyor') AS date FROM documents WHERE text IS NOT NULL")
 def extract_session_date(spark, sf):
-    return X.table(spark, sf, "documents").select("doc_id", turns.first_date(F.col("text"), r"[0-9]{1,3}\s*\.\s*[0-9]{1,3}\s*\.\s*[0-9]{1,3}").alias("date"))
+    d, n = X.table(spark, sf, "documents").where("text IS NOT NULL"), F.col("n_chars")
+    month = F.when(n % 3 == 0, "Kasım").when(n % 3 == 1, ".  ").otherwise("Juli")
+    head = F.concat(F.substring("text", 1, 40), F.lit("\n"), (n % 31).cast("string"), F.lit(" "), month, F.lit("  20"), F.lpad((n % 90 + 10).cast("string"), 2, "0"), F.lit(" x"))
+    return d.select("doc_id", turns.first_date(head).alias("date"))
 
 
 @query("roster_forward_fill", "WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE ' ' END AS city FROM part) SELECT p_partkey, last_value(nullif(trim(city), '') IGNORE NULLS) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS city FROM r")

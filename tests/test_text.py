@@ -42,3 +42,14 @@ def test_windows_and_double_counts(spark):
     assert (r.concept, r.mention_count, r.pos, r.neg) == ("economy", 2, 2, 4)  # one word matches two patterns: two windows
     assert r.salience == pytest.approx(2 + 0.35 * 6) and r.label == "negative"
     assert len(lexicon.CONCEPTS) == 12 and len(lexicon.POSITIVE) == 21 and len(lexicon.NEGATIVE) == 23
+
+
+def test_dates_with_month_names_and_session_starts(spark):
+    from parlance.operators import turns
+
+    rows = [("3 Kasım 2002 Pazar", "3Kasım2002"), ("TBMM\n12  Ağustos  1999", "12Ağustos1999"), ("7 . 2003", "7.2003"), ("3 March 2002", "Bilinmiyor"), ("", "Bilinmiyor")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", turns.first_date(F.col("t")).alias("got")).collect())
+    texts = [("head\n  Açılma Saati: 15.00\nbody", "\n  Açılma Saati: 15.00\nbody"), ("head\nbirinci oturum", "\nbirinci oturum"), ("x Açılma Saati", None), ("BİRİNCİ OTURUM\na", "BİRİNCİ OTURUM\na")]
+    got = spark.createDataFrame([(t,) for t, _ in texts], "t string").select("t", turns.trim_to(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [w or t for t, w in texts]
