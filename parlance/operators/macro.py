@@ -105,3 +105,14 @@ def market_months(daily: DataFrame, columns: list[str], date: str = "date") -> D
         first, last = F.min_by(c, on(c)), F.max_by(c, on(c))
         aggs += [F.avg(c).alias(f"{c}_avg"), last.alias(f"{c}_last"), F.when(F.count(c) >= 2, 100 * (last / F.nullif(first, F.lit(0.0)) - 1)).alias(f"{c}_return")]
     return daily.groupBy(F.trunc(date, "MM").alias("month")).agg(*aggs)
+
+
+def indices(panel: DataFrame) -> DataFrame:
+    """``panel`` (a row per month) with volatility, stress and improvement.
+
+    Volatility is the row mean of three signed z-scores, stress that of five, improvement its negative.
+    ``panel`` holds usd_return, index_return, inflation_mom, inflation_yoy, rate and reserves_mom.
+    """
+    out = composite(panel, {"usd_return": 1, "index_return": -1, "inflation_mom": 1}, "volatility")
+    out = composite(out, {"inflation_yoy": 1, "usd_return": 1, "index_return": -1, "rate": 1, "reserves_mom": -1}, "stress")
+    return out.withColumn("improvement", -F.col("stress"))

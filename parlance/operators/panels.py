@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,3 +134,49 @@ def speech_panel(m: DataFrame, keys: list[str]) -> DataFrame:
         F.countDistinct("speech_id").alias("speeches"), F.countDistinct("speaker").alias("speakers"), F.sum("mention_count").alias("words"),
         F.avg("mention_count").alias("mean_words"), F.avg("score").alias("mean_score"), label("positive"), label("negative"), label("mixed"),
     )
+
+
+def monthly_panel(m: DataFrame, spine: DataFrame, bloc: Column, blocs: list[str], month: str = "month") -> DataFrame:
+    """A row per month of ``spine``: the speech panel of all speeches and of each bloc side by side.
+
+    With speeches per speaker and share of all speeches of each bloc. One aggregation gives both levels;
+    months without speeches and blocs without any in a month are null. A null bloc counts in the whole only.
+    """
+    rows = m.withColumn("_bloc", F.explode(F.array(F.lit("all"), bloc)))
+    long = speech_panel(rows, [month, "_bloc"])
+    at = lambda b, n: F.max(F.when(F.col("_bloc") == b, F.col(n)))
+    whole = [at("all", n).alias(n) for n in long.columns[2:]]
+    each = [at(b, n).alias(f"{b}_{n}") for b in blocs for n in ("speeches", "speakers", "words", "positive_share", "negative_share")]
+    out = spine.select(month).distinct().join(long.groupBy(month).agg(*whole, *each), month, "left")
+    per = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    ratios = {f"{b}_speeches_per_speaker": per(f"{b}_speeches", f"{b}_speakers") for b in blocs}
+    return out.withColumns(ratios | {f"{b}_speech_share": per(f"{b}_speeches", "speeches") for b in blocs})
+
+
+def layer_features(m: DataFrame, spine: DataFrame, categories: list[str], concepts: list[str], reform: str, crisis: list[str], month: str = "month") -> DataFrame:
+    """A row per month of ``spine``: weights of the layers, of categories and of concepts by layer, and their shares.
+
+    Shares are of the month's weight in the layer ``total``. ``reform_positive_share`` is the positive weight of
+    one category (0 where it has none), ``crisis_negative_share`` the negative weights of some together (null if
+    one has none), ``positive_negative_ratio`` that of the two layers. Cells without mentions are null.
+    """
+    long = layered(m).groupBy(month, "layer", "category", "concept").agg(F.sum("weight").alias("w"))
+    layers = ("total", "positive", "negative")
+    cell = lambda k, *at: F.sum(F.when((F.col("layer") == k) & reduce(lambda a, b: a & b, at, F.lit(True)), F.col("w")))
+    cells = {f"{c.lower()}_{k}": cell(k, F.col(of) == c) for of, names in (("category", categories), ("concept", concepts)) for c in names for k in layers}
+    wide = long.groupBy(month).agg(*[cell(k).alias(f"{k}_layer_weight") for k in layers], *[v.alias(f"{n}_weight") for n, v in cells.items()])
+    over = lambda v: v / F.nullif(F.col("total_layer_weight"), F.lit(0.0))
+    bad = reduce(lambda a, b: a + b, [F.col(f"{c}_negative_weight") for c in crisis])
+    more = {f"{n}_share": over(F.col(f"{n}_weight")) for n in cells} | {
+        "reform_positive_share": over(F.coalesce(f"{reform}_positive_weight", F.lit(0.0))),
+        "crisis_negative_share": over(bad),
+        "positive_negative_ratio": F.col("positive_layer_weight") / F.nullif(F.col("negative_layer_weight"), F.lit(0.0)),
+    }
+    return spine.select(month).distinct().join(wide, month, "left").withColumns(more)
+
+
+def yearly_panel(panel: DataFrame, sums: list[str], means: list[str], speeches: str = "speeches", month: str = "month") -> DataFrame:
+    """Per year of a monthly panel: sums (0 if all are null) and means of columns, and the months with speeches."""
+    return panel.groupBy(F.year(month).alias("year")).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means], F.count_if(F.col(speeches) > 0).alias("months_with_speeches")
+    )

@@ -34,6 +34,47 @@ def correlations(rows: DataFrame, date: str, columns: list[str], least: int = 8)
     return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")).where(F.col("n") >= least)
 
 
+def lead_correlations(panel: DataFrame, order: str, pairs: list[tuple[str, str]], leads: tuple[int, ...] = (1, 2, 3), least: int = 8) -> DataFrame:
+    """(predictor, outcome, lead, n, pearson, spearman) of each predictor with the outcome some rows later.
+
+    ``panel`` is a table of periods; pairs of complete rows fewer than ``least`` are left out.
+    """
+    w = Window.partitionBy(F.lit(0)).orderBy(order)  # a panel of periods
+    cells = [F.struct(F.lit(a).alias("predictor"), F.lit(b).alias("outcome"), F.lit(k).alias("lead"), F.col(a).cast("double").alias("x"), F.lead(b, k).over(w).cast("double").alias("y")) for a, b in pairs for k in leads]
+    long = panel.select(F.array(*cells).alias("_c")).select(F.inline("_c")).where("x is not null and y is not null")
+    keys = ["predictor", "outcome", "lead"]
+    ranked = average_ranks(average_ranks(long, keys, "x", "rx"), keys, "y", "ry")
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman")).where(F.col("n") >= least)
+
+
+def threshold_tests(panel: DataFrame, driver: str, outcome: str, quantiles: tuple[float, ...] = (0.70, 0.75, 0.80)) -> DataFrame:
+    """Per quantile of ``driver``: the cutoff, and size and mean of ``outcome`` in periods at or over it and in all others, with Welch's t.
+
+    Periods without a driver are among the others; the test is null where a side has fewer than two values.
+    """
+    at = panel.agg(F.percentile(driver, F.array(*map(F.lit, quantiles))).alias("_c")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("_c").alias("cutoff"))).alias("_z")).select("_z.*")
+    high = F.coalesce(F.col(driver) >= F.col("cutoff"), F.lit(False))
+    rows = panel.select(driver, outcome).join(F.broadcast(at))  # a few rows
+    part = lambda f, g: f(F.when(g, F.col(outcome)))
+    s = rows.groupBy("quantile", "cutoff").agg(
+        part(F.count, high).alias("crisis_months"), part(F.count, ~high).alias("other_months"), part(F.avg, high).alias("crisis_mean"), part(F.avg, ~high).alias("other_mean"), part(F.var_samp, high).alias("_v1"), part(F.var_samp, ~high).alias("_v2")
+    )
+    a, b = F.col("_v1") / F.col("crisis_months"), F.col("_v2") / F.col("other_months")
+    t = (F.col("crisis_mean") - F.col("other_mean")) / F.nullif(F.sqrt(a + b), F.lit(0.0))
+    df = (a + b) * (a + b) / F.nullif(a * a / (F.col("crisis_months") - 1) + b * b / (F.col("other_months") - 1), F.lit(0.0))
+    enough = (F.col("crisis_months") >= 2) & (F.col("other_months") >= 2)
+    return s.withColumns({"welch_t": F.when(enough, t), "welch_df": F.when(enough, df)}).drop("_v1", "_v2")
+
+
+def fitted_pairs(panel: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(x_name, y_name, n, slope, intercept, spearman) of each pair of columns over the rows that hold both."""
+    cells = [F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]
+    long = panel.select(F.inline(F.array(*cells))).where("x is not null and y is not null")
+    keys = ["x_name", "y_name"]
+    ranked = average_ranks(average_ranks(long, keys, "x", "rx"), keys, "y", "ry")
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.corr("rx", "ry").alias("spearman"))
+
+
 def correlation_p(rows: DataFrame) -> DataFrame:
     """``rows`` of ``correlations`` with the two-sided p of both coefficients."""
     p = lambda r: D.t_p(F.col(r) * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col(r) * F.col(r), F.lit(0.0))), (F.col("n") - 2).cast("double"))

@@ -96,11 +96,37 @@ def forward_fill(rows: DataFrame, order: str, columns: list[str], keys: list[str
     return out.select(*[F.coalesce(c, f"_v{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-def roster_index(roster: DataFrame, term: str, name: str, order: str) -> DataFrame:
-    """One row per (term, name key): the last one."""
-    rows = roster.withColumn("name_key", normalize_name_key(F.col(name)))
-    w = Window.partitionBy(term, "name_key").orderBy(F.desc(order))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def roster_party(raw: Column, changed: Column | None = None, longest: int = 80) -> Column:
+    """The party of a roster row: the one changed to, else the one that the label names, else the label itself.
+
+    Labels that can't be a party (digits, several names, over ``longest`` letters) are unknown. null: blank.
+    """
+    text = S.strip(F.coalesce(raw, F.lit("")))
+    odd = F.contains(text, F.lit(" · ")) | text.rlike(r"^\d+$") | (F.length(text) > longest)
+    own = F.coalesce(S.party_label(text), F.when(odd, "Bilinmeyen").otherwise(text))
+    return own if changed is None else F.coalesce(S.party_label(F.coalesce(changed, F.lit(""))), own)
+
+
+def roster_index(roster: DataFrame, term: str, name: str, order: str, party: str | None = None, changed: str | None = None) -> DataFrame:
+    """One row per (term, name key): the last one, with ``place``, the order of the first row of that key.
+
+    ``party`` and ``changed`` name columns that ``roster_party`` makes one party of. Rows of equal order: the
+    largest in all columns stays. Columns name_key and place are made anew. Partially aggregated, so a key
+    with very many rows is no group in one task.
+    """
+    rows = roster.drop("name_key", "place").withColumn("name_key", normalize_name_key(F.col(name)))
+    if party is not None:
+        rows = rows.withColumn(party, roster_party(F.col(party), None if changed is None else F.col(changed)))
+    others = [c for c in rows.columns if c not in (term, "name_key", order)]
+    last = F.max(F.struct(order, *others)).alias("_last")
+    out = rows.groupBy(term, "name_key").agg(last, F.min(order).alias("place"))
+    return out.select(*[F.col(c) if c in (term, "name_key") else F.col("_last")[c].alias(c) for c in rows.columns], "place")
+
+
+def name_index(index: DataFrame, order: str = "row") -> DataFrame:
+    """One row per name key of a roster index, whatever its term: the last one."""
+    last = F.max(F.struct(order, *[c for c in index.columns if c not in ("name_key", order)])).alias("_last")
+    return index.groupBy("name_key").agg(last).select(*[F.col(c) if c == "name_key" else F.col("_last")[c].alias(c) for c in index.columns])
 
 
 # Names that are settled by hand (party, name), and the role of the presiding officer.
@@ -125,8 +151,8 @@ def resolve_speakers(names: DataFrame, roster: DataFrame, name: str = "speaker",
     """(speaker, term, party, clean_name, stage) of each distinct (speaker, term).
 
     The first stage that holds: override, presiding officer, exact in the term, a roster name of the term
-    that is contained or fuzzy (the first in the roster), exact in any term, party from the prefix, unknown.
-    ``roster`` is a roster index (term, name_key, row, party, clean_name). The contained stage joins on
+    that is contained or fuzzy (the first in the roster, by the first row of its key, with the value of its
+    last), exact in any term, party from the prefix, unknown. ``roster`` is a roster index (term, name_key, row, place, party, clean_name). The contained stage joins on
     six letters, the fuzzy one on shared words, so neither is a product of names and roster; Spark
     chooses the join by the roster's size. null speaker: the empty name.
     """
@@ -136,7 +162,7 @@ def resolve_speakers(names: DataFrame, roster: DataFrame, name: str = "speaker",
     known = lambda k: F.coalesce(fixed[k][F.col("name_key")], F.when(chair, PRESIDING[k]))
     q = q.withColumns({"p0": known(0), "n0": known(1)})
     q = q.join(roster.select(term, "name_key", F.col("party").alias("p1"), F.col("clean_name").alias("n1")), [term, "name_key"], "left")
-    other = roster.select(term, F.col("name_key").alias("_k"), F.col("party").alias("_p"), F.col("clean_name").alias("_c"), F.col("row").alias("_row"))
+    other = roster.select(term, F.col("name_key").alias("_k"), F.col("party").alias("_p"), F.col("clean_name").alias("_c"), F.col("place").alias("_row"))
     open_ = q.where("p0 is null and p1 is null").select(name, term, "name_key")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name_key") - _GRAM + 1, F.lit(1))), lambda i: F.substring("name_key", i, F.lit(_GRAM))))
     held = open_.withColumn("_g", F.explode(grams)).join(other.where(F.length("_k") >= _GRAM).withColumn("_g", F.left("_k", F.lit(_GRAM))), [term, "_g"]).where(F.contains("name_key", F.col("_k")))
@@ -145,8 +171,7 @@ def resolve_speakers(names: DataFrame, roster: DataFrame, name: str = "speaker",
     pick = [name, term, "_p", "_c", "_row"]
     near = held.select(pick).unionByName(fuzzy.select(pick)).groupBy(name, term).agg(F.min_by(F.struct("_p", "_c"), "_row").alias("_n"))
     near = near.select(name, term, F.col("_n._p").alias("p2"), F.col("_n._c").alias("n2"))
-    anywhere = roster.groupBy("name_key").agg(F.max_by(F.struct("party", "clean_name"), "row").alias("_a"))
-    anywhere = anywhere.select("name_key", F.col("_a.party").alias("p3"), F.col("_a.clean_name").alias("n3"))
+    anywhere = name_index(roster).select("name_key", F.col("party").alias("p3"), F.col("clean_name").alias("n3"))
     out = q.join(near, [name, term], "left").join(anywhere, "name_key", "left")
     prefix = S.party_from_prefix(F.col(name))
     stage = F.when(F.col("p0").isNotNull(), "fixed").when(F.col("p1").isNotNull(), "exact").when(F.col("p2").isNotNull(), "near").when(F.col("p3").isNotNull(), "anywhere").when(prefix.isNotNull(), "prefix").otherwise("unknown")

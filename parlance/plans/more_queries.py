@@ -78,16 +78,16 @@ def macro_pressure(spark, sf):
     return rounded(p.select("month", macro.row_mean([macro.zscore(f"c{i}") for i in range(1, 5)]).alias("pressure")))
 
 
-@query("lead_sensitivity", f"WITH {X.MACRO_SQL}, l AS (SELECT s1, lead(s2, 1) OVER w AS l1, lead(s2, 2) OVER w AS l2, lead(s2, 3) OVER w AS l3 FROM macro WINDOW w AS (ORDER BY month)) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS lead_months, count(*) AS n, {r6(f'corr(s1, l{k})')} AS pearson FROM l WHERE s1 IS NOT NULL AND l{k} IS NOT NULL" for k in (1, 2, 3)))
-def lead_sensitivity(spark, sf):
+@query("lead_pearson", f"WITH {X.MACRO_SQL}, l AS (SELECT s1, lead(s2, 1) OVER w AS l1, lead(s2, 2) OVER w AS l2, lead(s2, 3) OVER w AS l3 FROM macro WINDOW w AS (ORDER BY month)) " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS lead_months, count(*) AS n, {r6(f'corr(s1, l{k})')} AS pearson FROM l WHERE s1 IS NOT NULL AND l{k} IS NOT NULL" for k in (1, 2, 3)))
+def lead_pearson(spark, sf):
     p = X.macro_monthly(spark, sf).select("month", "s1", "s2")
     w = series.ordered("month")
     long = p.select("s1", F.lead("s2", 1).over(w).alias("1"), F.lead("s2", 2).over(w).alias("2"), F.lead("s2", 3).over(w).alias("3")).unpivot("s1", ["1", "2", "3"], "lead_months", "v").dropna(subset=["s1", "v"])
     return rounded(long.groupBy(F.col("lead_months").cast("bigint").alias("lead_months")).agg(F.count("*").alias("n"), F.corr("s1", "v").alias("pearson")))
 
 
-@query("crisis_threshold_sensitivity", f"WITH {X.MACRO_SQL}, q AS (SELECT unnest([0.7, 0.75, 0.8])::DOUBLE AS q), c AS (SELECT q, CASE q WHEN 0.7 THEN (SELECT quantile_cont(s1, 0.7) FROM macro) WHEN 0.75 THEN (SELECT quantile_cont(s1, 0.75) FROM macro) ELSE (SELECT quantile_cont(s1, 0.8) FROM macro) END AS cut FROM q) SELECT q AS quantile, count(*) FILTER (WHERE s1 >= cut) AS crisis_months, count(*) FILTER (WHERE s1 < cut) AS other_months, {r6('avg(s2) FILTER (WHERE s1 >= cut)')} AS crisis_mean, {r6('avg(s2) FILTER (WHERE s1 < cut)')} AS other_mean FROM macro, c GROUP BY q")
-def crisis_threshold_sensitivity(spark, sf):
+@query("threshold_groups", f"WITH {X.MACRO_SQL}, q AS (SELECT unnest([0.7, 0.75, 0.8])::DOUBLE AS q), c AS (SELECT q, CASE q WHEN 0.7 THEN (SELECT quantile_cont(s1, 0.7) FROM macro) WHEN 0.75 THEN (SELECT quantile_cont(s1, 0.75) FROM macro) ELSE (SELECT quantile_cont(s1, 0.8) FROM macro) END AS cut FROM q) SELECT q AS quantile, count(*) FILTER (WHERE s1 >= cut) AS crisis_months, count(*) FILTER (WHERE s1 < cut) AS other_months, {r6('avg(s2) FILTER (WHERE s1 >= cut)')} AS crisis_mean, {r6('avg(s2) FILTER (WHERE s1 < cut)')} AS other_mean FROM macro, c GROUP BY q")
+def threshold_groups(spark, sf):
     p = X.macro_monthly(spark, sf)
     cuts = p.agg(*[F.percentile("s1", F.lit(q)).alias(f"q{round(100 * q)}") for q in (0.7, 0.75, 0.8)], F.lit(1).alias("_k")).unpivot("_k", ["q70", "q75", "q80"], "q", "cut")
     rows = p.crossJoin(F.broadcast(cuts.select((F.substring("q", 2, 2).cast("double") / 100).alias("quantile"), "cut")))  # three rows

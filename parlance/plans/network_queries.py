@@ -192,9 +192,11 @@ def hypothesis_models(spark, sf):
 
 @query("leave_one_event_out")
 def leave_one_event_out(spark, sf):
+    """The two last models, each refitted without the months around one event: the standardised coefficient of its primary predictor."""
     e = F.broadcast(_events(spark, sf).select(F.col("event").alias("left_out"), "event_month"))
-    p = _macro(spark, sf).join(e, ~F.col("month").between(F.add_months("event_month", -3), F.add_months("event_month", 3)))
-    return rounded(models.newey_west(p, ["left_out"], "month", "s1", ["s2", "s3"]).where("variable = 's2'"))
+    p = _macro(spark, sf).join(e, ~F.col("month").between(F.add_months("event_month", -1), F.add_months("event_month", 2)))
+    fits = [models.newey_west(p.withColumn("model", F.lit(n)), ["model", "left_out"], "month", y, [*xs, *more], standardize=True).where(F.col("variable") == xs[0]) for n, y, xs, more, _ in _SPECS[-2:]]
+    return rounded(fits[0].unionByName(fits[1]))
 
 
 @query("granger")

@@ -192,8 +192,8 @@ _PANEL = f"""count(DISTINCT speech_id) AS speeches, count(DISTINCT speaker) AS s
   {r6("avg(CASE WHEN label = 'positive' THEN 1.0 ELSE 0.0 END)")} AS positive_share, {r6("avg(CASE WHEN label = 'negative' THEN 1.0 ELSE 0.0 END)")} AS negative_share, {r6("avg(CASE WHEN label = 'mixed' THEN 1.0 ELSE 0.0 END)")} AS mixed_share"""
 
 
-@query("monthly_speech_panel", X.with_m(f"SELECT month, {X.BLOC_SQL} AS bloc, {_PANEL} FROM m GROUP BY ALL"), dates="month")
-def monthly_speech_panel(spark, sf):
+@query("bloc_speech_panel", X.with_m(f"SELECT month, {X.BLOC_SQL} AS bloc, {_PANEL} FROM m GROUP BY ALL"), dates="month")
+def bloc_speech_panel(spark, sf):
     m = X.mentions(spark, sf).withColumn("bloc", X.bloc(F.col("party")))
     return rounded(P.speech_panel(m, ["month", "bloc"]))
 
@@ -201,15 +201,15 @@ def monthly_speech_panel(spark, sf):
 _LAYERS = ["total", "positive", "negative"]
 
 
-@query("layer_feature_panel", X.with_m(f"{LAYERED} SELECT month, " + ", ".join(f"{r6(f'''sum(CASE WHEN concept = '{c}' AND layer = '{k}' THEN weight ELSE 0 END) / nullif(sum(CASE WHEN layer = '{k}' THEN weight ELSE 0 END), 0)''')} AS {c.lower()}_{k}" for c in X.CONCEPTS for k in _LAYERS) + " FROM l GROUP BY month"), dates="month")
-def layer_feature_panel(spark, sf):
+@query("layer_concept_shares", X.with_m(f"{LAYERED} SELECT month, " + ", ".join(f"{r6(f'''sum(CASE WHEN concept = '{c}' AND layer = '{k}' THEN weight ELSE 0 END) / nullif(sum(CASE WHEN layer = '{k}' THEN weight ELSE 0 END), 0)''')} AS {c.lower()}_{k}" for c in X.CONCEPTS for k in _LAYERS) + " FROM l GROUP BY month"), dates="month")
+def layer_concept_shares(spark, sf):
     rows = P.layered(X.mentions(spark, sf))
     cell = lambda k, c=None: F.sum(F.when((F.col("layer") == k) & (F.lit(c is None) | (F.col("concept") == c)), F.col("weight")).otherwise(0.0))
     return rounded(rows.groupBy("month").agg(*[(cell(k, c) / F.nullif(cell(k), F.lit(0.0))).alias(f"{c.lower()}_{k}") for c in X.CONCEPTS for k in _LAYERS]))
 
 
-@query("yearly_analysis_panel", X.with_m(f"s AS (SELECT month, count(DISTINCT speech_id) AS speeches, sum(mention_count)::BIGINT AS words, avg(score) AS mean_score FROM m GROUP BY 1) SELECT CAST(year(month) AS INTEGER) AS year, sum(speeches)::BIGINT AS speeches, sum(words)::BIGINT AS words, {r6('avg(mean_score)')} AS mean_score, count(*) FILTER (WHERE speeches > 0) AS months FROM s GROUP BY 1"))
-def yearly_analysis_panel(spark, sf):
+@query("yearly_speech_panel", X.with_m(f"s AS (SELECT month, count(DISTINCT speech_id) AS speeches, sum(mention_count)::BIGINT AS words, avg(score) AS mean_score FROM m GROUP BY 1) SELECT CAST(year(month) AS INTEGER) AS year, sum(speeches)::BIGINT AS speeches, sum(words)::BIGINT AS words, {r6('avg(mean_score)')} AS mean_score, count(*) FILTER (WHERE speeches > 0) AS months FROM s GROUP BY 1"))
+def yearly_speech_panel(spark, sf):
     s = P.speech_panel(X.mentions(spark, sf), ["month"])
     return rounded(s.groupBy(F.year("month").alias("year")).agg(F.sum("speeches").alias("speeches"), F.sum("words").alias("words"), F.avg("mean_score").alias("mean_score"), F.count_if(F.col("speeches") > 0).alias("months")))
 

@@ -185,10 +185,27 @@ def roster_forward_fill(spark, sf):
     return turns.forward_fill(r, "p_partkey", ["city"])
 
 
-@query("roster_index", "WITH r AS (SELECT c_nationkey AS term, lower(c_mktsegment) AS name_key, c_custkey AS row, row_number() OVER (PARTITION BY c_nationkey, lower(c_mktsegment) ORDER BY c_custkey DESC) AS k FROM customer) SELECT term, name_key, row FROM r WHERE k = 1")
+# a roster of customers: labels that name a party, that can't, and that stay as they are; changed parties
+_LABELS = "CASE c_custkey % 7 WHEN 0 THEN 'Yeni Yol' WHEN 1 THEN '12' WHEN 2 THEN c_name || ' · ' || c_mktsegment WHEN 3 THEN 'mhp ' || c_name WHEN 4 THEN ' ' WHEN 5 THEN repeat(c_name, 6) ELSE c_name END"
+_CHANGED = "CASE c_custkey % 5 WHEN 0 THEN ' Doğru Yol Partisi ' WHEN 1 THEN 'NaN' WHEN 2 THEN '7' END"
+_ROSTER = """ro AS (SELECT c_nationkey % 5 AS term, lower(c_mktsegment) || ' ' || c_custkey % 40 AS name_key, c_custkey AS row, CASE WHEN c_custkey % 5 = 0 THEN 'Doğru Yol Partisi'
+  ELSE CASE c_custkey % 7 WHEN 0 THEN 'YENİ YOL Partisi' WHEN 3 THEN 'Milliyetçi Hareket Partisi' WHEN 4 THEN '' WHEN 6 THEN c_name ELSE 'Bilinmeyen' END END AS party FROM customer)"""
+
+
+def _roster(spark, sf):
+    name = F.concat_ws(" ", "c_mktsegment", (F.col("c_custkey") % 40).cast("string"))
+    r = X.table(spark, sf, "customer").select((F.col("c_nationkey") % 5).alias("term"), name.alias("name"), F.col("c_custkey").alias("row"), F.expr(_LABELS).alias("party"), F.expr(_CHANGED).alias("changed"))
+    return turns.roster_index(r, "term", "name", "row", "party", "changed").select("term", "name_key", "row", "place", "party")
+
+
+@query("roster_index", f"WITH {_ROSTER} SELECT term, name_key, max(row) AS row, min(row) AS place, arg_max(party, row) AS party FROM ro GROUP BY ALL")
 def roster_index(spark, sf):
-    r = X.table(spark, sf, "customer").select(F.col("c_nationkey").alias("term"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("row"))
-    return turns.roster_index(r, "term", "name", "row").select("term", "name_key", "row")
+    return _roster(spark, sf)
+
+
+@query("roster_name_index", f"WITH {_ROSTER} SELECT name_key, arg_max(term, row) AS term, max(row) AS row, arg_max(party, row) AS party FROM ro GROUP BY 1")
+def roster_name_index(spark, sf):
+    return turns.name_index(_roster(spark, sf)).drop("place")
 
 
 @query("invalid_party_report", X.with_m("SELECT year, party, count(*) AS n FROM m WHERE party NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY ALL"))

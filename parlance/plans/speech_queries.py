@@ -94,9 +94,9 @@ def party_label_clean(spark, sf):
 _SPOKEN = """CASE p_partkey % 8 WHEN 0 THEN upper(p_name || ' ' || p_type) WHEN 1 THEN 'SAYIN ' || upper(p_name || ' ' || p_type) WHEN 2 THEN upper(p_type || ' ' || p_name)
   WHEN 3 THEN 'BAŞKAN ' || upper(p_name) WHEN 4 THEN 'MHP ' || p_brand WHEN 5 THEN upper(p_name) WHEN 6 THEN 'İZZET ÇELİK' ELSE p_brand || ' ' || p_type END"""
 _KEY = r"trim(regexp_replace(lower(translate(translate(upper({0}), 'ÇĞİÖŞÜÂÎÛI', 'CGIOSUAIUI'), '.,''', '   ')), '\s+', ' ', 'g'))"
-_RESOLVE = rf"""ro AS (SELECT p_size % 3 AS term, lower(p_name || ' ' || p_type) AS name_key, max(p_partkey) AS row, arg_max(p_brand, p_partkey) AS party, arg_max(p_name || ' ' || p_type, p_partkey) AS clean_name FROM part WHERE p_partkey % 5 = 0 GROUP BY ALL),
+_RESOLVE = rf"""ro AS (SELECT p_size % 3 AS term, lower(p_name || ' ' || p_type) AS name_key, max(p_partkey) AS row, min(p_partkey) AS place, arg_max(p_brand, p_partkey) AS party, arg_max(p_name || ' ' || p_type, p_partkey) AS clean_name FROM part WHERE p_partkey % 5 = 0 GROUP BY ALL),
   sp AS (SELECT DISTINCT {_SPOKEN} AS speaker, p_size % 4 AS term FROM part WHERE p_partkey % 5 <> 0), sk AS (SELECT *, {_KEY.format('speaker')} AS k, string_split({_KEY.format('speaker')}, ' ') AS ws FROM sp),
-  nr AS (SELECT s.speaker, s.term, arg_min(party, row) AS party, arg_min(clean_name, row) AS clean_name FROM sk s JOIN ro r ON s.term = r.term AND ((length(name_key) > 5 AND contains(k, name_key)) OR
+  nr AS (SELECT s.speaker, s.term, arg_min(party, place) AS party, arg_min(clean_name, place) AS clean_name FROM sk s JOIN ro r ON s.term = r.term AND ((length(name_key) > 5 AND contains(k, name_key)) OR
     (len(list_intersect(ws, string_split(name_key, ' '))) >= 2 AND (len(list_intersect(ws, string_split(name_key, ' '))) = len(list_distinct(ws)) OR len(list_intersect(ws, string_split(name_key, ' '))) = len(list_distinct(string_split(name_key, ' ')))))) GROUP BY ALL),
   an AS (SELECT name_key, arg_max(party, row) AS party, arg_max(clean_name, row) AS clean_name FROM ro GROUP BY 1),
   rs AS (SELECT s.speaker, s.term, CASE WHEN k = 'izzet celik' THEN 'Adalet ve Kalkınma Partisi' WHEN contains(k, 'baskan') THEN 'MECLİS BAŞKANLIĞI' ELSE coalesce(e.party, nr.party, an.party, CASE WHEN contains(s.speaker, 'MHP') THEN 'Milliyetçi Hareket Partisi' END, 'Bilinmeyen') END AS party,

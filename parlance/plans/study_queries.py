@@ -238,8 +238,8 @@ def _stress(spark, sf):
     return macro.composite(X.macro_monthly(spark, sf), {"s1": 1, "s2": -1, "s3": 1}, "stress").select("month", "stress")
 
 
-@query("stress_indices", f"WITH {X.MACRO_SQL}, {_STRESS} SELECT month, {r6('stress')} AS stress, {r6('-stress')} AS improvement FROM zz", dates="month")
-def stress_indices(spark, sf):
+@query("stress_of_three", f"WITH {X.MACRO_SQL}, {_STRESS} SELECT month, {r6('stress')} AS stress, {r6('-stress')} AS improvement FROM zz", dates="month")
+def stress_of_three(spark, sf):
     return rounded(_stress(spark, sf).withColumn("improvement", -F.col("stress")))
 
 
