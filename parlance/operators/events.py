@@ -96,3 +96,32 @@ def trading_days(days: DataFrame, anchors: DataFrame, close: str, span: int = 15
     at = anchors.select("event", F.col("anchor").alias("date")).join(rows, "date").select("event", F.col("_n").alias("_a"), F.col("_c").alias("_ac"))
     out = rows.join(F.broadcast(at), F.col("_n").between(F.col("_a") - span, F.col("_a") + span))
     return out.select("event", "date", (F.col("_n") - F.col("_a")).alias("relative"), ((F.col("_c") / F.nullif(F.col("_ac"), F.lit(0.0)) - 1) * 100).alias("cumulative_return"))
+
+
+def sides(windows: DataFrame) -> DataFrame:
+    """(event, side, month) of stage windows: months before an event are pre, its own and those after it post."""
+    return windows.select("event", F.when(F.col("stage") == "pre", "pre").otherwise("post").alias("side"), "month")
+
+
+def prepost(windows: DataFrame, rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Per event and keys: the means of monthly values before and from the event on, and their difference.
+
+    ``windows``: (event, side, month), a few months of a few events. A side without values is null.
+    """
+    j = rows.join(F.broadcast(windows), "month")
+    at = lambda v, s: F.avg(F.when(F.col("side") == s, F.col(v))).alias(f"{v}_{s}")
+    out = j.groupBy("event", *keys).agg(*[at(v, s) for v in values for s in ("pre", "post")])
+    return out.withColumns({f"{v}_delta": F.col(f"{v}_post") - F.col(f"{v}_pre") for v in values})
+
+
+def top_share(windows: DataFrame, rows: DataFrame, keys: list[str], entity: str, value: str) -> DataFrame:
+    """Per event and keys: the entity of the highest mean monthly value before and from the event on, ties to the last name."""
+    m = rows.join(F.broadcast(windows), "month").groupBy("event", "side", *keys, entity).agg(F.round(F.avg(value), 9).alias("_v"))
+    at = lambda s: F.max(F.when((F.col("side") == s) & F.col("_v").isNotNull(), F.struct("_v", entity)))[entity].alias(f"top_{entity}_{s}")
+    return m.groupBy("event", *keys).agg(at("pre"), at("post"))
+
+
+def monthly_spread(positions: DataFrame, one: str, other: str) -> DataFrame:
+    """Per month: the spread of positions, and the distance of two parties (null where one is missing)."""
+    of = lambda p: F.max(F.when(F.col("party") == p, F.col("position")))
+    return positions.groupBy("month").agg((F.max("position") - F.min("position")).alias("spread"), F.abs(of(one) - of(other)).alias("gap"))

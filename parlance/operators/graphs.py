@@ -308,6 +308,36 @@ def turnover(rows: DataFrame, period: str) -> DataFrame:
     return j.select(period, "broker", "broker_before", (F.col("broker") != F.col("broker_before")).alias("turnover"), (F.col("_next") == F.col("broker")).alias("persists"), (F.col("hhi") - F.col("_h")).alias("hhi_delta"))
 
 
+def main_group(m: DataFrame, entity: str, group: str) -> DataFrame:
+    """(entity as a string, group): the group in which an entity has the most rows, ties to the last name."""
+    n = m.groupBy(F.col(entity).cast("string").alias(entity), group).agg(F.count("*").alias("_n"))
+    return n.groupBy(entity).agg(F.max(F.struct("_n", group))[group].alias(group))
+
+
+def gatekeeper_shift(scores: DataFrame, group: str, pre: str = "pre", post: str = "post") -> DataFrame:
+    """(event, group, pre, post, delta): mean scores by group on both sides of an event, 0 where a group has no score there."""
+    at = lambda s: F.coalesce(F.avg(F.when(F.col("side") == s, F.col("gatekeeper_score"))), F.lit(0.0))
+    out = scores.groupBy("event", group).agg(at(pre).alias("pre"), at(post).alias("post"))
+    return out.withColumn("delta", F.col("post") - F.col("pre"))
+
+
+def stage_turnover(scores: DataFrame, group: str, first: str = "pre", then: str = "shock", last: str = "post") -> DataFrame:
+    """Per event: top speaker and top group (by mean score) of each stage, whether they change and stay, and the change of score and concentration.
+
+    ``scores``: event, stage, speaker, ``group``, gatekeeper_score. Scores are compared to nine digits, ties by name.
+    """
+    nine = lambda v: F.round(v, 9)
+    mean = scores.groupBy("event", "stage", group).agg(F.avg("gatekeeper_score").alias("_m"), F.max(F.struct(nine("gatekeeper_score").alias("s"), "speaker")).alias("_best"), F.sum(F.greatest("gatekeeper_score", F.lit(0.0))).alias("_p"), F.sum(F.pow(F.greatest("gatekeeper_score", F.lit(0.0)), F.lit(2))).alias("_q"))
+    by = mean.groupBy("event", "stage").agg(
+        F.max("_best")["speaker"].alias("speaker"), F.max(F.struct(nine("_m").alias("s"), group))[group].alias(group), F.max("_m").alias("score"), (F.sum("_q") / F.nullif(F.sum("_p") * F.sum("_p"), F.lit(0.0))).alias("hhi")
+    )
+    at = lambda v, s: F.max(F.when(F.col("stage") == s, F.col(v)))
+    wide = by.groupBy("event").agg(*[at(v, s).alias(f"{v}_{s}") for v in ("speaker", group, "score", "hhi") for s in (first, then, last)])
+    same = lambda v, a, b: F.coalesce(f"{v}_{a}", F.lit("")) == F.coalesce(f"{v}_{b}", F.lit(""))
+    flags = {"speaker_turnover": ~same("speaker", first, then), f"{group}_turnover": ~same(group, first, then), f"{group}_persists": same(group, then, last)}
+    return wide.withColumns(flags | {f"{v}_delta": F.col(f"{v}_{then}") - F.col(f"{v}_{first}") for v in ("score", "hhi")}).drop(*[f"score_{s}" for s in (first, then, last)], *[f"hhi_{s}" for s in (first, then, last)])
+
+
 def polarization_null(long: DataFrame, keys: list[str], entity: str, value: str, draws: int = 220, rounds: int = 20) -> DataFrame:
     """Per graph the best polarization score, and mean, deviation and p of the score over shuffled graphs; all draws in one plan."""
     null = shuffled(long, keys, entity, value, draws)

@@ -178,14 +178,14 @@ def distance_table(spark, sf):
     return rounded(events.stage_wide(d, ["spread", "deviation", "leftmost", "rightmost"], ["spread"]))
 
 
-@query("delta_matrices", X.with_m(f"{_AXIS}, {_RESOLVED}, {_STAGES}, {_SPOS}, dx AS (SELECT event, party, max(CASE WHEN stage = 'post' THEN position END) - max(CASE WHEN stage = 'pre' THEN position END) AS d FROM sx GROUP BY ALL) SELECT party, " + ", ".join(f"{r6(f'''max(CASE WHEN event = '{e[1]}' THEN d END)''')} AS {e[1]}" for e in X.EVENTS) + " FROM dx GROUP BY party"))
-def delta_matrices(spark, sf):
+@query("stage_position_deltas", X.with_m(f"{_AXIS}, {_RESOLVED}, {_STAGES}, {_SPOS}, dx AS (SELECT event, party, max(CASE WHEN stage = 'post' THEN position END) - max(CASE WHEN stage = 'pre' THEN position END) AS d FROM sx GROUP BY ALL) SELECT party, " + ", ".join(f"{r6(f'''max(CASE WHEN event = '{e[1]}' THEN d END)''')} AS {e[1]}" for e in X.EVENTS) + " FROM dx GROUP BY party"))
+def stage_position_deltas(spark, sf):
     w = events.stage_wide(_stage_positions(spark, sf), ["position"], ["position"], ("event", "party"))
     return rounded(w.groupBy("party").pivot("event", [e[1] for e in X.EVENTS]).agg(F.first("position_delta_post")))
 
 
-@query("event_shocks_prepost", X.with_m(f"{_RESOLVED}, wn AS (SELECT event, CAST(event_month - INTERVAL 2 MONTH AS DATE) AS a, event_month AS b, CAST(event_month + INTERVAL 2 MONTH AS DATE) + 27 AS c FROM ev), pp AS (SELECT event, category, CASE WHEN date < b THEN 'pre' ELSE 'post' END AS side, sum(mention_count) AS n, sum(neg) AS neg FROM wn JOIN m ON date >= a AND date <= c GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY event, side)::DOUBLE AS share, neg / n::DOUBLE AS rate FROM pp) SELECT event, category, {r6('''max(CASE WHEN side = 'pre' THEN share END)''')} AS share_pre, {r6('''max(CASE WHEN side = 'post' THEN share END)''')} AS share_post, {r6('''max(CASE WHEN side = 'pre' THEN rate END)''')} AS rate_pre, {r6('''max(CASE WHEN side = 'post' THEN rate END)''')} AS rate_post FROM sh GROUP BY ALL"))
-def event_shocks_prepost(spark, sf):
+@query("event_topic_prepost", X.with_m(f"{_RESOLVED}, wn AS (SELECT event, CAST(event_month - INTERVAL 2 MONTH AS DATE) AS a, event_month AS b, CAST(event_month + INTERVAL 2 MONTH AS DATE) + 27 AS c FROM ev), pp AS (SELECT event, category, CASE WHEN date < b THEN 'pre' ELSE 'post' END AS side, sum(mention_count) AS n, sum(neg) AS neg FROM wn JOIN m ON date >= a AND date <= c GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY event, side)::DOUBLE AS share, neg / n::DOUBLE AS rate FROM pp) SELECT event, category, {r6('''max(CASE WHEN side = 'pre' THEN share END)''')} AS share_pre, {r6('''max(CASE WHEN side = 'post' THEN share END)''')} AS share_post, {r6('''max(CASE WHEN side = 'pre' THEN rate END)''')} AS rate_pre, {r6('''max(CASE WHEN side = 'post' THEN rate END)''')} AS rate_post FROM sh GROUP BY ALL"))
+def event_topic_prepost(spark, sf):
     w = F.broadcast(joins.day_windows(_events(spark, sf)).select("event", "pre_start", "post_start", "post_stop"))
     m = X.mentions(spark, sf).join(w, F.col("date").between(F.col("pre_start"), F.col("post_stop")))
     side = F.when(F.col("date") < F.col("post_start"), "pre").otherwise("post")

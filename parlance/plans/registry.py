@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None, dates: str = ""):
 
 
 from . import more_queries, panel_queries, source_queries, study_queries, text_queries  # noqa: E402,F401
-from . import analysis_queries, event_queries, network_queries, path_queries, speaker_queries, speech_queries  # noqa: E402,F401
+from . import analysis_queries, event_queries, network_queries, path_queries, shock_queries, speaker_queries, speech_queries  # noqa: E402,F401
