@@ -324,12 +324,14 @@ def gatekeeper_shift(scores: DataFrame, group: str, pre: str = "pre", post: str
 def stage_turnover(scores: DataFrame, group: str, first: str = "pre", then: str = "shock", last: str = "post") -> DataFrame:
     """Per event: top speaker and top group (by mean score) of each stage, whether they change and stay, and the change of score and concentration.
 
-    ``scores``: event, stage, speaker, ``group``, gatekeeper_score. Scores are compared to nine digits, ties by name.
+    ``scores``: event, stage, speaker, ``group``, gatekeeper_score. Scores are compared to nine digits, ties by name;
+    the concentration is that of the groups' mean scores, negatives as 0.
     """
     nine = lambda v: F.round(v, 9)
-    mean = scores.groupBy("event", "stage", group).agg(F.avg("gatekeeper_score").alias("_m"), F.max(F.struct(nine("gatekeeper_score").alias("s"), "speaker")).alias("_best"), F.sum(F.greatest("gatekeeper_score", F.lit(0.0))).alias("_p"), F.sum(F.pow(F.greatest("gatekeeper_score", F.lit(0.0)), F.lit(2))).alias("_q"))
+    mean = scores.groupBy("event", "stage", group).agg(F.avg("gatekeeper_score").alias("_m"), F.max(F.struct(nine("gatekeeper_score").alias("s"), "speaker")).alias("_best"))
+    mean = mean.withColumn("_p", F.greatest("_m", F.lit(0.0)))
     by = mean.groupBy("event", "stage").agg(
-        F.max("_best")["speaker"].alias("speaker"), F.max(F.struct(nine("_m").alias("s"), group))[group].alias(group), F.max("_m").alias("score"), (F.sum("_q") / F.nullif(F.sum("_p") * F.sum("_p"), F.lit(0.0))).alias("hhi")
+        F.max("_best")["speaker"].alias("speaker"), F.max(F.struct(nine("_m").alias("s"), group))[group].alias(group), F.max("_m").alias("score"), (F.sum(F.col("_p") * F.col("_p")) / F.nullif(F.sum("_p") * F.sum("_p"), F.lit(0.0))).alias("hhi")
     )
     at = lambda v, s: F.max(F.when(F.col("stage") == s, F.col(v)))
     wide = by.groupBy("event").agg(*[at(v, s).alias(f"{v}_{s}") for v in ("speaker", group, "score", "hhi") for s in (first, then, last)])

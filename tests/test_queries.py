@@ -11,7 +11,7 @@ from parlance.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: A spread of modules; the driver compares all of them at a larger size.
-NAMES = ["layer_edges", "feature_matrix", "active_speakers", "gini_lorenz", "kwic_windows", "concept_edges", "term_doc_freq", "signed_knn_graph", "axis_loo", "placebo_null", "correlation_table", "fleiss_kappa", "segment_turns", "stage_windows", "interpolate_linear", "crisis_threshold_sensitivity", "resolve_speaker", "merge_split_lines", "directed_mentions", "stage_snapshot", "policy_rate_union", "axis_validation", "bootstrap_metric_diff"]
+NAMES = ["layer_edges", "feature_matrix", "active_speakers", "gini_lorenz", "kwic_windows", "concept_edges", "term_doc_freq", "signed_knn_graph", "axis_loo", "placebo_null", "correlation_table", "fleiss_kappa", "segment_turns", "stage_windows", "interpolate_linear", "crisis_threshold_sensitivity", "resolve_speaker", "merge_split_lines", "directed_mentions", "stage_snapshot", "policy_rate_union", "axis_validation", "bootstrap_metric_diff", "roster_index", "monthly_speech_panel", "layer_feature_panel", "lead_sensitivity", "event_topic_shocks", "delta_matrices"]
 
 
 @pytest.fixture(scope="module")
