@@ -260,6 +260,49 @@ def bloc_distance(m: DataFrame, keys: list[str], value: str) -> DataFrame:
     return j.groupBy(*keys).agg((1 - F.sum(F.col("g") * F.col("o")) / F.nullif(norm, F.lit(0.0))).alias("distance"))
 
 
+def layer_distances(edges: DataFrame, spine: DataFrame, blocs: tuple[str, str], pair: tuple[str, str], month: str = "month") -> DataFrame:
+    """A row per month of ``spine``: by layer, 1 - cosine of the concept weights of two blocs and of two parties.
+
+    ``edges``: month, layer, bloc, party, concept, weight. The mean vector of a bloc points where its sum does, so
+    sums are compared. Concepts that one side lacks count as 0; a side without any weight gives null.
+    """
+    of = lambda c, v: F.sum(F.when(F.col(c) == v, F.col("weight")).otherwise(0.0))
+    sums = edges.groupBy(month, "layer", "concept").agg(of("bloc", blocs[0]).alias("a"), of("bloc", blocs[1]).alias("b"), of("party", pair[0]).alias("p"), of("party", pair[1]).alias("q"))
+
+    def distance(x: str, y: str, layer: str) -> Column:
+        dot = lambda u, v: F.sum(F.when(F.col("layer") == layer, F.col(u) * F.col(v)))
+        return 1 - dot(x, y) / F.nullif(F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)), F.lit(0.0))
+
+    cols = [distance(*v, k).alias(f"{n}_distance_{k}") for n, v in (("bloc", ("a", "b")), ("pair", ("p", "q"))) for k in ("total", "positive", "negative")]
+    return spine.select(month).distinct().join(sums.groupBy(month).agg(*cols), month, "left")
+
+
+def directed_panel(d: DataFrame, spine: DataFrame, cross: Column, topics: list[str], pair: tuple[str, str], nodes: int, month: str = "month") -> DataFrame:
+    """A row per month of ``spine`` of directed mentions (source, target, topic, speech_id, total, positive, negative).
+
+    Weights, speeches and mentions; shares across blocs (``cross``), of negative weight on topics, between two
+    parties and into each of them; reciprocity and density (among ``nodes`` nodes, 0 in months without edges) of
+    both tones; the month before of three shares. A share of nothing is null.
+    """
+    w = {t: F.col(t) for t in ("total", "positive", "negative")}
+    add = lambda v, c: F.sum(F.when(c, v).otherwise(0.0))
+    both = ((F.col("source") == pair[0]) & (F.col("target") == pair[1])) | ((F.col("source") == pair[1]) & (F.col("target") == pair[0]))
+    parts = {f"{t}_cross": add(w[t], cross) for t in ("positive", "negative")} | {f"{t.lower()}_negative": add(w["negative"], F.col("topic") == t) for t in topics}
+    parts |= {"pair_negative": add(w["negative"], both), "first_in_negative": add(w["negative"], F.col("target") == pair[0]), "second_in_negative": add(w["negative"], F.col("target") == pair[1])}
+    sums = d.groupBy(month).agg(*[F.sum(v).alias(t) for t, v in w.items()], F.countDistinct("speech_id").alias("speeches"), F.count("*").alias("mentions"), *[v.alias(n) for n, v in parts.items()])
+    edges = d.groupBy(month, "source", "target").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    out = spine.select(month).distinct().join(sums, month, "left")
+    for t in ("positive", "negative"):
+        some = edges.where(F.col(t) > 0)
+        shape = reciprocity(some, [month], t).select(month, F.col("weighted").alias(f"{t}_reciprocity"))
+        dense = some.groupBy(month).agg((F.count("*") / (nodes * (nodes - 1))).alias(f"{t}_density"))
+        out = out.join(shape, month, "left").join(dense, month, "left").na.fill(0.0, [f"{t}_density"])
+    over = lambda v, t: F.col(v) / F.nullif(F.col(t), F.lit(0.0))
+    out = out.withColumns({"negative_share": over("negative", "total")} | {f"{n}_share": over(n, "positive" if n.startswith("positive") else "negative") for n in parts})
+    before = Window.partitionBy(F.lit(0)).orderBy(month)  # a panel of months
+    return out.withColumns({f"{n}_lag1": F.lag(n).over(before) for n in ("negative_cross_share", "positive_cross_share", "pair_negative_share")})
+
+
 def eigenvector(edges: DataFrame, keys: list[str], rounds: int = 60, every: int = 10) -> DataFrame:
     """Weighted eigenvector centrality of graphs with positive weights by power iteration of A + I, unit norm.
 

@@ -180,3 +180,25 @@ def yearly_panel(panel: DataFrame, sums: list[str], means: list[str], speeches:
     return panel.groupBy(F.year(month).alias("year")).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums], *[F.avg(c).alias(c) for c in means], F.count_if(F.col(speeches) > 0).alias("months_with_speeches")
     )
+
+
+def main_party(rows: DataFrame, keys: list[str], speaker: str = "speaker", party: str = "party") -> DataFrame:
+    """(keys, speaker, party, n): the party in which a speaker has most rows, ties to the first name."""
+    n = rows.groupBy(*keys, speaker, party).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("_m"), party))
+    return n.groupBy(*keys, speaker).agg(best.alias("_b")).select(*keys, speaker, F.col("_b")[party].alias(party), (-F.col("_b._m")).alias("n"))
+
+
+def speaker_tops(rows: DataFrame, term: str, n: int = 20, parties: int = 8, each: int = 15, least: int = 20, speaker: str = "speaker", party: str = "party") -> DataFrame:
+    """(term, list, rank, speaker, party, n): the most active speakers of each term, and of its largest parties.
+
+    The list ``all`` has the first ``n`` speakers with their main party; the list of a party has its first ``each``,
+    for the ``parties`` largest of a term with at least ``least`` rows. Ties go to the first name.
+    """
+    main = main_party(rows, [term], speaker, party).select(term, speaker, F.col(party).alias("_party"))
+    one = top_in(rows.groupBy(term, speaker).agg(F.count("*").alias("n")), [term], [F.desc("n"), F.col(speaker)], n)
+    one = one.join(main, [term, speaker]).select(term, F.lit("all").alias("list"), "rank", speaker, F.col("_party").alias(party), "n")
+    big = top_in(rows.groupBy(term, party).agg(F.count("*").alias("n")), [term], [F.desc("n"), F.col(party)], parties).where(F.col("n") >= least)
+    own = rows.join(F.broadcast(big.select(term, party)), [term, party]).groupBy(term, party, speaker).agg(F.count("*").alias("n"))  # a few parties a term
+    own = top_in(own, [term, party], [F.desc("n"), F.col(speaker)], each).select(term, F.col(party).alias("list"), "rank", speaker, party, "n")
+    return one.unionByName(own)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import distributions as D
-from parlance.operators import joins, macro, panels, series, stats
+from parlance.operators import graphs, joins, macro, panels, series, stats
 
 from . import fixtures as X
 from .panel_queries import LAYERED
@@ -203,3 +203,59 @@ def bloc_series_trends(spark, sf):
     y = m.groupBy("concept", "year").agg(at("government").alias("gov"), at("opposition").alias("opp"))
     slope = lambda v: F.regr_slope(v, F.col("year"))
     return rounded(y.groupBy("concept").agg(F.count("*").alias("years"), F.corr("gov", "opp").alias("pearson"), slope(F.col("gov")).alias("government_slope"), slope(F.col("opp")).alias("opposition_slope"), slope(F.col("gov") - F.col("opp")).alias("gap_slope")))
+
+
+# distances of blocs and of two parties by layer
+_SIDE = {"a": f"{X.BLOC_SQL} = 'government'", "b": f"{X.BLOC_SQL} = 'opposition'", "p": "party = 'BUILDING'", "q": "party = 'MACHINERY'"}
+_DOT = lambda x, y, k: f"sum(CASE WHEN layer = '{k}' THEN {x} * {y} END)"
+_DISTANCES = {f"{n}_distance_{k}": f"1 - {_DOT(x, y, k)} / nullif(sqrt({_DOT(x, x, k)}) * sqrt({_DOT(y, y, k)}), 0)" for n, (x, y) in (("bloc", "ab"), ("pair", "pq")) for k in _LAYERS}
+
+
+@query("semantic_distance", X.with_m(f"""{_SPINE}, {LAYERED}, ls AS (SELECT month, layer, concept, {", ".join(f"sum(CASE WHEN {c} THEN weight ELSE 0 END) AS {n}" for n, c in _SIDE.items())} FROM l GROUP BY ALL),
+  ld AS (SELECT month, {", ".join(f"{r6(v)} AS {n}" for n, v in _DISTANCES.items())} FROM ls GROUP BY month) SELECT sp.month, ld.* EXCLUDE (month) FROM sp LEFT JOIN ld ON ld.month = sp.month"""), dates="month")
+def semantic_distance(spark, sf):
+    rows = panels.layered(X.mentions(spark, sf)).withColumn("bloc", X.bloc(F.col("party")))
+    return rounded(graphs.layer_distances(rows, _spine(spark), ("government", "opposition"), ("BUILDING", "MACHINERY")))
+
+
+# directed mentions by month
+_NEAR = ["N1", "N2", "N3"]
+_CROSS = "(source IN ('N1', 'N2', 'N3')) <> (target IN ('N1', 'N2', 'N3'))"
+_TOPICS = ["ECONOMY", "STANDARD"]
+_DSUM = {
+    "positive_cross": f"CASE WHEN {_CROSS} THEN positive ELSE 0 END", "negative_cross": f"CASE WHEN {_CROSS} THEN negative ELSE 0 END", **{f"{t.lower()}_negative": f"CASE WHEN topic = '{t}' THEN negative ELSE 0 END" for t in _TOPICS},
+    "pair_negative": "CASE WHEN (source = 'N1' AND target = 'N2') OR (source = 'N2' AND target = 'N1') THEN negative ELSE 0 END",
+    "first_in_negative": "CASE WHEN target = 'N1' THEN negative ELSE 0 END", "second_in_negative": "CASE WHEN target = 'N2' THEN negative ELSE 0 END",
+}
+_LAGGED = ["negative_cross_share", "positive_cross_share", "pair_negative_share"]
+
+
+def _tone_sql(t: str) -> str:
+    return f"""x{t} AS (SELECT month, source, target, sum({t}) AS w FROM directed GROUP BY ALL HAVING sum({t}) > 0), y{t} AS (SELECT a.month, coalesce(sum(CASE WHEN a.source < a.target THEN least(a.w, b.w) END) FILTER (WHERE b.w IS NOT NULL), 0) / sum(a.w) AS {t}_reciprocity, count(*) / 600.0::DOUBLE AS {t}_density
+      FROM x{t} a LEFT JOIN x{t} b ON a.month = b.month AND a.source = b.target AND a.target = b.source GROUP BY a.month)"""
+
+
+_DOUBLES = ["total", "positive", "negative", *_DSUM, "positive_reciprocity", "negative_reciprocity", "positive_density", "negative_density", "negative_share", *[f"{n}_share" for n in _DSUM], *[f"{n}_lag1" for n in _LAGGED]]
+
+
+@query("directed_monthly_panel", f"""WITH {X.DIRECTED_SQL}, {_SPINE}, {_tone_sql("positive")}, {_tone_sql("negative")}, ds AS (SELECT month, sum(total) AS total, sum(positive) AS positive, sum(negative) AS negative, count(DISTINCT speech_id) AS speeches, count(*) AS mentions, {", ".join(f"sum({v}) AS {n}" for n, v in _DSUM.items())} FROM directed GROUP BY month),
+  dj AS (SELECT sp.month, ds.* EXCLUDE (month), positive_reciprocity, negative_reciprocity, coalesce(positive_density, 0) AS positive_density, coalesce(negative_density, 0) AS negative_density, negative / nullif(total, 0) AS negative_share, {", ".join(f"{n} / nullif({'positive' if n.startswith('positive') else 'negative'}, 0) AS {n}_share" for n in _DSUM)}
+    FROM sp LEFT JOIN ds ON ds.month = sp.month LEFT JOIN ypositive p ON p.month = sp.month LEFT JOIN ynegative q ON q.month = sp.month),
+  dl AS (SELECT *, {", ".join(f"lag({n}) OVER (ORDER BY month) AS {n}_lag1" for n in _LAGGED)} FROM dj) SELECT month, speeches, mentions, {_rounded_sql(_DOUBLES)} FROM dl""", dates="month")
+def directed_monthly_panel(spark, sf):
+    cross = F.col("source").isin(_NEAR) != F.col("target").isin(_NEAR)
+    return rounded(graphs.directed_panel(X.directed(spark, sf), _spine(spark), cross, _TOPICS, ("N1", "N2"), 25))
+
+
+# speakers, their main parties and the most active ones
+@query("speaker_main_party", X.with_m("s AS (SELECT year, speaker, party, count(*) AS n FROM m GROUP BY ALL) SELECT year, speaker, arg_min(party, (-n, party)) AS party, max(n) AS n FROM s GROUP BY ALL"))
+def speaker_main_party(spark, sf):
+    return panels.main_party(X.mentions(spark, sf), ["year"])
+
+
+@query("speaker_tops", X.with_m("""s AS (SELECT year, speaker, party, count(*) AS n FROM m GROUP BY ALL), mp AS (SELECT year, speaker, arg_min(party, (-n, party)) AS party, sum(n)::BIGINT AS n FROM s GROUP BY ALL),
+  ra AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, speaker) AS rank FROM mp), pn AS (SELECT year, party, sum(n) AS n FROM s GROUP BY ALL), pr AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, party) AS k FROM pn),
+  rp AS (SELECT s.*, row_number() OVER (PARTITION BY s.year, s.party ORDER BY s.n DESC, speaker) AS rank FROM s JOIN pr ON pr.year = s.year AND pr.party = s.party WHERE k <= 8 AND pr.n >= 20)
+  SELECT year, 'all' AS list, rank::INTEGER AS rank, speaker, party, n FROM ra WHERE rank <= 20 UNION ALL SELECT year, party, rank::INTEGER, speaker, party, n FROM rp WHERE rank <= 15"""))
+def speaker_tops(spark, sf):
+    return panels.speaker_tops(X.mentions(spark, sf), "year")

@@ -24,8 +24,8 @@ def party_order(spark, sf):
 _CROSS = "(source IN ('N1', 'N2', 'N3')) <> (target IN ('N1', 'N2', 'N3'))"
 
 
-@query("directed_monthly_panel", f"{_D} SELECT month, {r6('sum(total)')} AS total, {r6('sum(negative)')} AS negative, {r6(f'sum(CASE WHEN {_CROSS} THEN total ELSE 0 END) / sum(total)')} AS cross_share, " + ", ".join(f"{r6(f'''sum(CASE WHEN topic = '{c}' THEN total ELSE 0 END) / sum(total)''')} AS {c.lower()}_share" for c in X.CONCEPTS) + f", {r6('''sum(CASE WHEN source = 'N1' AND target = 'N2' THEN total ELSE 0 END) / sum(total)''')} AS dyad_share, count(DISTINCT (source, target)) AS edges FROM directed GROUP BY month", dates="month")
-def directed_monthly_panel(spark, sf):
+@query("directed_monthly_shares", f"{_D} SELECT month, {r6('sum(total)')} AS total, {r6('sum(negative)')} AS negative, {r6(f'sum(CASE WHEN {_CROSS} THEN total ELSE 0 END) / sum(total)')} AS cross_share, " + ", ".join(f"{r6(f'''sum(CASE WHEN topic = '{c}' THEN total ELSE 0 END) / sum(total)''')} AS {c.lower()}_share" for c in X.CONCEPTS) + f", {r6('''sum(CASE WHEN source = 'N1' AND target = 'N2' THEN total ELSE 0 END) / sum(total)''')} AS dyad_share, count(DISTINCT (source, target)) AS edges FROM directed GROUP BY month", dates="month")
+def directed_monthly_shares(spark, sf):
     d = X.directed(spark, sf)
     near = ["N1", "N2", "N3"]
     part = lambda cond: F.sum(F.when(cond, F.col("total")).otherwise(0.0)) / F.sum("total")
@@ -36,10 +36,10 @@ def directed_monthly_panel(spark, sf):
     ))
 
 
-@query("semantic_distance", X.with_m(f"""w AS (SELECT year, {X.BLOC_SQL} AS bloc, party, concept, sum(salience) AS v FROM m GROUP BY ALL), n AS (SELECT year, {X.BLOC_SQL} AS bloc, count(DISTINCT party) AS n FROM m GROUP BY ALL),
+@query("semantic_distance_years", X.with_m(f"""w AS (SELECT year, {X.BLOC_SQL} AS bloc, party, concept, sum(salience) AS v FROM m GROUP BY ALL), n AS (SELECT year, {X.BLOC_SQL} AS bloc, count(DISTINCT party) AS n FROM m GROUP BY ALL),
   b AS (SELECT w.year, w.bloc, concept, sum(v) / any_value(n.n) AS v FROM w JOIN n ON w.year = n.year AND w.bloc = n.bloc GROUP BY ALL), j AS (SELECT year, concept, max(CASE WHEN bloc = 'government' THEN v ELSE 0 END) AS g, max(CASE WHEN bloc = 'opposition' THEN v ELSE 0 END) AS o FROM b GROUP BY ALL)
   SELECT year, {r6('1 - sum(g * o) / nullif(sqrt(sum(g * g)) * sqrt(sum(o * o)), 0)')} AS distance FROM j GROUP BY year"""))
-def semantic_distance(spark, sf):
+def semantic_distance_years(spark, sf):
     m = X.mentions(spark, sf).withColumn("bloc", X.bloc(F.col("party")))
     return rounded(graphs.bloc_distance(m, ["year"], "salience"))
 

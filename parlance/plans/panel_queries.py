@@ -292,8 +292,8 @@ def term_party_volume(spark, sf):
     return m.groupBy("term", "party").agg(F.countDistinct("speech_id").alias("speeches"), F.countDistinct("speaker").alias("speakers"))
 
 
-@query("speaker_main_party", X.with_m("s AS (SELECT speaker, concept AS party, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY n DESC, party) AS k FROM s) SELECT speaker, party, n FROM r WHERE k = 1"))
-def speaker_main_party(spark, sf):
+@query("speaker_main_concept", X.with_m("s AS (SELECT speaker, concept AS party, count(*) AS n FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY n DESC, party) AS k FROM s) SELECT speaker, party, n FROM r WHERE k = 1"))
+def speaker_main_concept(spark, sf):
     s = X.mentions(spark, sf).groupBy("speaker", F.col("concept").alias("party")).agg(F.count("*").alias("n"))
     return P.top_in(s, ["speaker"], [F.desc("n"), F.col("party")], 1).select("speaker", "party", "n")
 

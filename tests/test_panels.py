@@ -109,3 +109,36 @@ def test_stage_turnover(spark):
     assert (e.speaker_pre, e.speaker_shock, e.party_shock, e.speaker_turnover, e.party_turnover, e.party_persists) == ("s1", "s2", "B", True, True, True)
     assert math.isclose(e.score_delta, -1.0) and math.isclose(e.hhi_delta, 1.0 - 10 / 16)
     assert f.speaker_turnover and f.party_persists and f.hhi_delta is None
+
+
+def test_layer_distances(spark, spine):
+    rows = [("2020-01-01", "total", "g", "A", "x", 1.0), ("2020-01-01", "total", "o", "B", "y", 2.0), ("2020-01-01", "total", "g", "C", "y", 1.0), ("2020-01-01", "negative", "g", "A", "x", 1.0)]
+    e = spark.createDataFrame(rows, "month string, layer string, bloc string, party string, concept string, weight double")
+    got = {r.month: r for r in graphs.layer_distances(e, spine, ("g", "o"), ("A", "B")).collect()}
+    one = got["2020-01-01"]
+    assert math.isclose(one.bloc_distance_total, 1 - 1 / math.sqrt(2)) and one.pair_distance_total == 1.0
+    assert one.bloc_distance_negative is None and one.bloc_distance_positive is None and got["2020-03-01"].pair_distance_total is None
+
+
+def test_directed_panel(spark, spine):
+    rows = [
+        ("2020-01-01", 1, "A", "B", "x", 4.0, 1.0, 3.0), ("2020-01-01", 1, "B", "A", "x", 2.0, 0.0, 2.0), ("2020-01-01", 2, "A", "C", "y", 6.0, 1.0, 5.0),
+        ("2020-02-01", 3, "A", "C", "y", 5.0, 2.0, 0.0),
+    ]
+    d = spark.createDataFrame(rows, "month string, speech_id int, source string, target string, topic string, total double, positive double, negative double")
+    cross = (F.col("source") == "A") != (F.col("target") == "A")
+    got = {r.month: r for r in graphs.directed_panel(d, spine, cross, ["x"], ("A", "B"), 3).collect()}
+    one, two, three = (got[m] for (m,) in SPINE)
+    assert (one.total, one.negative, one.speeches, one.mentions) == (12.0, 10.0, 2, 3)
+    assert (one.negative_share, one.x_negative_share, one.pair_negative_share, one.first_in_negative_share) == (10 / 12, 0.5, 0.5, 0.2)
+    assert (one.negative_reciprocity, one.negative_density, one.positive_reciprocity, one.positive_density) == (0.2, 0.5, 0.0, 2 / 6)
+    assert two.negative_density == 0.0 and two.negative_reciprocity is None and two.negative_cross_share is None and two.pair_negative_share_lag1 == 0.5
+    assert three.total is None and three.negative_density == 0.0 and three.positive_cross_share_lag1 == 1.0
+
+
+def test_speaker_tops(spark):
+    rows = [("t", "a", "P")] * 3 + [("t", "a", "Q")] * 3 + [("t", "b", "Q")] * 4 + [("t", "c", "R")]
+    m = spark.createDataFrame(rows, "term string, speaker string, party string")
+    assert {r.speaker: (r.party, r.n) for r in panels.main_party(m, ["term"]).collect()} == {"a": ("P", 3), "b": ("Q", 4), "c": ("R", 1)}
+    got = sorted((r.list, r["rank"], r.speaker, r.party, r.n) for r in panels.speaker_tops(m, "term", n=2, parties=2, each=1, least=3).collect())
+    assert got == [("P", 1, "a", "P", 3), ("Q", 1, "b", "Q", 4), ("all", 1, "a", "P", 6), ("all", 2, "b", "Q", 4)]
