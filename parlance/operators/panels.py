@@ -202,3 +202,8 @@ def speaker_tops(rows: DataFrame, term: str, n: int = 20, parties: int = 8, each
     own = rows.join(F.broadcast(big.select(term, party)), [term, party]).groupBy(term, party, speaker).agg(F.count("*").alias("n"))  # a few parties a term
     own = top_in(own, [term, party], [F.desc("n"), F.col(speaker)], each).select(term, F.col(party).alias("list"), "rank", speaker, party, "n")
     return one.unionByName(own)
+
+
+def overview(rows: DataFrame, distinct: dict[str, str]) -> DataFrame:
+    """One row: rows, columns, and the number of distinct values (nulls aside) of columns under the names given."""
+    return rows.agg(F.count("*").alias("rows"), F.lit(len(rows.columns)).cast("bigint").alias("columns"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()])

@@ -259,3 +259,8 @@ def speaker_main_party(spark, sf):
   SELECT year, 'all' AS list, rank::INTEGER AS rank, speaker, party, n FROM ra WHERE rank <= 20 UNION ALL SELECT year, party, rank::INTEGER, speaker, party, n FROM rp WHERE rank <= 15"""))
 def speaker_tops(spark, sf):
     return panels.speaker_tops(X.mentions(spark, sf), "year")
+
+
+@query("eda_overview", X.with_m("SELECT count(*) AS rows, 14::BIGINT AS columns, count(DISTINCT speech_id) AS transcripts, count(DISTINCT speaker) AS speakers, count(DISTINCT party) AS parties, count(DISTINCT date) AS dates FROM m"))
+def eda_overview(spark, sf):
+    return panels.overview(X.mentions(spark, sf), {"transcripts": "speech_id", "speakers": "speaker", "parties": "party", "dates": "date"})

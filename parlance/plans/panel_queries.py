@@ -220,8 +220,8 @@ def wide_metric_pivots(spark, sf):
     return rounded(rows.na.fill(0.0).na.fill(0))
 
 
-@query("eda_overview", "SELECT count(*) AS rows, count(DISTINCT conv_id) AS transcripts, count(DISTINCT role) AS parties, 4::BIGINT AS columns FROM conversations")
-def eda_overview(spark, sf):
+@query("eda_overview_conversations", "SELECT count(*) AS rows, count(DISTINCT conv_id) AS transcripts, count(DISTINCT role) AS parties, 4::BIGINT AS columns FROM conversations")
+def eda_overview_conversations(spark, sf):
     t = X.table(spark, sf, "conversations")
     return t.agg(F.count("*").alias("rows"), F.countDistinct("conv_id").alias("transcripts"), F.countDistinct("role").alias("parties"), F.lit(len(t.columns)).cast("bigint").alias("columns"))
 
