@@ -282,7 +282,7 @@ def directed_panel(d: DataFrame, spine: DataFrame, cross: Column, topics: list[s
 
     Weights, speeches and mentions; shares across blocs (``cross``), of negative weight on topics, between two
     parties and into each of them; reciprocity and density (among ``nodes`` nodes, 0 in months without edges) of
-    both tones; the month before of three shares. A share of nothing is null.
+    both tones, of mentions with a source and a target; the month before of three shares. A share of nothing is null.
     """
     w = {t: F.col(t) for t in ("total", "positive", "negative")}
     add = lambda v, c: F.sum(F.when(c, v).otherwise(0.0))
@@ -290,13 +290,17 @@ def directed_panel(d: DataFrame, spine: DataFrame, cross: Column, topics: list[s
     parts = {f"{t}_cross": add(w[t], cross) for t in ("positive", "negative")} | {f"{t.lower()}_negative": add(w["negative"], F.col("topic") == t) for t in topics}
     parts |= {"pair_negative": add(w["negative"], both), "first_in_negative": add(w["negative"], F.col("target") == pair[0]), "second_in_negative": add(w["negative"], F.col("target") == pair[1])}
     sums = d.groupBy(month).agg(*[F.sum(v).alias(t) for t, v in w.items()], F.countDistinct("speech_id").alias("speeches"), F.count("*").alias("mentions"), *[v.alias(n) for n, v in parts.items()])
-    edges = d.groupBy(month, "source", "target").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
     out = spine.select(month).distinct().join(sums, month, "left")
+    # one row per month and pair of parties, both directions side by side
+    there, onward = F.col("source") <= F.col("target"), F.col("source") > F.col("target")
+    ways = {f"{t}_{n}": add(w[t], c) for t in ("positive", "negative") for n, c in (("there", there), ("back", onward))}
+    pairs = d.where("source is not null and target is not null").groupBy(month, F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b")).agg(*[v.alias(n) for n, v in ways.items()])
+    shape = []
     for t in ("positive", "negative"):
-        some = edges.where(F.col(t) > 0)
-        shape = reciprocity(some, [month], t).select(month, F.col("weighted").alias(f"{t}_reciprocity"))
-        dense = some.groupBy(month).agg((F.count("*") / (nodes * (nodes - 1))).alias(f"{t}_density"))
-        out = out.join(shape, month, "left").join(dense, month, "left").na.fill(0.0, [f"{t}_density"])
+        x, y = F.col(f"{t}_there"), F.col(f"{t}_back")
+        shape.append((F.sum(F.least(x, y)) / F.nullif(F.sum(x + y), F.lit(0.0))).alias(f"{t}_reciprocity"))
+        shape.append((F.sum((x > 0).cast("int") + (y > 0).cast("int")) / (nodes * (nodes - 1))).alias(f"{t}_density"))
+    out = out.join(pairs.groupBy(month).agg(*shape), month, "left").na.fill(0.0, ["positive_density", "negative_density"])
     over = lambda v, t: F.col(v) / F.nullif(F.col(t), F.lit(0.0))
     out = out.withColumns({"negative_share": over("negative", "total")} | {f"{n}_share": over(n, "positive" if n.startswith("positive") else "negative") for n in parts})
     before = Window.partitionBy(F.lit(0)).orderBy(month)  # a panel of months
