@@ -32,6 +32,23 @@ def test_strongest_ties_equal_all_pairs(spark):
         assert got == pytest.approx(want)
 
 
+def test_copies_are_one_node_with_the_scores_of_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(15, 4)), 1)
+    rows = [(1, f"s{i:02}-{j:02}", f"c{d}", float(x[i, d])) for i in range(15) for j in range(1 if i < 5 else 30) for d in range(4)]
+    long = spark.createDataFrame(rows, "g int, speaker string, concept string, value double")
+    vectors = speaker_graph.unit_vectors(long, ["g"], "speaker", "value")
+    nodes, members, picks = speaker_graph.lumped(vectors, ["g"], "speaker", 3, 4)
+    assert nodes.agg(F.sum("times")).first()[0] == members.count() == 305 and picks.count() < 100 * 6
+    knn = speaker_graph.signed_knn(vectors, ["g"], "speaker").cache()
+    v = graphs.leading_vector(knn, ["g"], 2).withColumn("v", F.round("v", 9))
+    tau = graphs.best_poles(graphs.pole_sweep(knn, v, ["g"]), ["g"]).first().tau
+    side = F.when(F.col("v") >= tau, 1).when(F.col("v") <= -tau, -1).otherwise(0)
+    want = {r.node: (r.side, r.gatekeeper_score) for r in graphs.gatekeepers(knn, v.select("g", "node", side.alias("side")), ["g"], "node").collect()}
+    got = {r.node: (r.side, r.gatekeeper_score) for r in speaker_graph.gatekeepers(long, ["g"], "speaker", "value", 2).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(60, 4)) * [3, 2, 0.5, 0.1]
