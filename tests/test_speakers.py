@@ -23,6 +23,12 @@ def test_party_labels(spark):
     assert got == ["İYİ Parti", "YENİ YOL Partisi", None, None, "Adalet ve Kalkınma Partisi", None, None, None, None]
 
 
+def test_sanitize_takes_long_gaps_in_one_pass(spark):
+    # going back over white space would take the cube of its length
+    text = "kanun" + " \n" * 4000 + "- AN" + "\n" * 4000 + "KARA"
+    assert one(spark, S.sanitize, [text]) == ["kanun \n" + " \n" * 3999 + "- ANKARA"]
+
+
 def test_sanitize(spark):
     text = "kanun tekli\n\nfi ve AN\n\n\nKARA, Meclis\n\nBaşkanı “söz” – aldı\r\n\r\n\r\n\r\nson…  bitti"
     # a break is closed before lower case and after a short left part, whatever the sentence
