@@ -70,3 +70,24 @@ def test_signs_of_pairs(spark):
     got = {r.k: (r.s, r.n) for r in stats.mann_kendall(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], "t", "v").collect()}
     plain = {k: sum(np.sign(b[2] - a[2]) for a in rows for b in rows if a[0] == b[0] == k and a[1] < b[1] and a[2] is not None and b[2] is not None) for k in ("a", "b")}
     assert got == {"a": (plain["a"], 200), "b": (plain["b"], 5)}
+
+
+def test_arcs_are_rows_of_nodes_in_the_power_iteration(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for g, n in ((1, 30), (2, 5)):
+        a = np.triu(np.round(rng.normal(size=(n, n)), 2), 1)
+        a[0, 1:] = 1.0  # a node that all others are tied to
+        a += a.T
+        rows += [(g, 100 * g + i, 100 * g + j, float(a[i, j])) for i in range(n) for j in range(i + 1, n) if a[i, j]]
+        v = np.linalg.matrix_power(a / np.abs(a).sum(), 20) @ np.ones(n)
+        want |= {(g, 100 * g + i): x for i, x in enumerate(v / np.linalg.norm(v))}
+    pairs = spark.createDataFrame(rows, "g int, a long, b long, w double")
+    arcs = graphs._arcs(pairs, ["g"])
+    small = graphs.adjacent(arcs, ["g"], 8)
+    assert small.agg(F.max(F.size("to"))).first()[0] < 16 and small.where("b = 100").count() > 1
+    assert sorted(small.select("g", "b", F.inline("to")).select("g", "a", "b", "w").collect()) == sorted(arcs.collect())
+    assert graphs.adjacent(arcs, ["g"]).count() == 35
+    start = arcs.select("g", F.col("a").alias("node"), F.lit(1.0).alias("v")).distinct()
+    got = {(r.g, r.node): r.v for r in graphs.power_vector(pairs, start, ["g"], 10).collect()}
+    assert got == pytest.approx(want)
