@@ -127,3 +127,21 @@ def test_windows_are_linear_in_matches(spark):
     assert took[4000] <= 4.5 * max(took[1000], 0.3)
     r = spark.createDataFrame([("a house x house",)], "t string").select(T.windows(F.col("t"), "house", 3).alias("w")).first().w
     assert r == ["a house x ", " x house"]
+
+
+def test_bootstrap_weights_are_bytes_with_the_steps_of_the_fraction(spark):
+    """The old way is the yardstick, at the seeds around every step and at random; sums stay exact for huge values and null keys."""
+    at = [int(p * resample.PRIME) + d for p in resample.POISSON for d in range(-2, 3)] + [0, 1, resample.PRIME - 1]
+    one = resample.weights(np.array(at), np.array([1]), np.array([0]))
+    assert one.dtype == np.uint8 and one[:, 0].tolist() == np.searchsorted(resample.POISSON, np.array(at) / resample.PRIME, side="right").tolist()
+    seeds, (a, b) = np.random.default_rng(5).integers(0, resample.PRIME, 5000), resample.multipliers(40)
+    w = np.searchsorted(resample.POISSON, ((seeds[:, None] * a + b) % resample.PRIME) / resample.PRIME, side="right")
+    assert (resample.weights(seeds, a, b) == w).all()
+    big = (1 << 55) + 1
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "x", f"c{i % 2}", i, big if i % 50 == 7 else i) for i in range(700)], "k string, c string, id long, v long")
+    kept = rows.withColumn("_seed", resample.seed(F.col("id"))).collect()
+    got = {(r.k, r.c): r.v for r in resample.drawn_sums(rows, ["k", "c"], ["v"], [F.col("id")], 40).collect()}
+    for key in {(r.k, r.c) for r in kept}:
+        mine = [r for r in kept if (r.k, r.c) == key]
+        w = np.searchsorted(resample.POISSON, ((np.array([r._seed for r in mine])[:, None] * a + b) % resample.PRIME) / resample.PRIME, side="right")
+        assert got[key] == [sum(int(k) * r.v for k, r in zip(w[:, d], mine)) for d in range(40)]
