@@ -91,3 +91,12 @@ def test_arcs_are_rows_of_nodes_in_the_power_iteration(spark):
     start = arcs.select("g", F.col("a").alias("node"), F.lit(1.0).alias("v")).distinct()
     got = {(r.g, r.node): r.v for r in graphs.power_vector(pairs, start, ["g"], 10).collect()}
     assert got == pytest.approx(want)
+
+
+def test_turnover_and_overlap_work_out_the_scores_once(spark):
+    s = spark.range(40).selectExpr("CAST(id % 4 AS INT) AS year", "CAST(id AS STRING) AS speaker", "id / 7 AS gatekeeper_score").repartition(3)
+    rows = s.groupBy("year").agg(F.max_by("speaker", "gatekeeper_score").alias("broker"), F.sum("gatekeeper_score").alias("hhi"))
+    for got in (graphs.turnover(rows, "year"), graphs.overlap(s, "year", "speaker", "gatekeeper_score", 3)):
+        assert got.count() == 3
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range" not in plan and "Aggregate" not in plan
