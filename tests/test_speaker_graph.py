@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import graphs, speaker_graph, stats
+from parlance.operators import graphs, panels, speaker_graph, stats
+from parlance.plans import registry, study_queries  # noqa: F401 (the registry loads the queries in order)
 
 
 def test_strongest_ties_equal_all_pairs(spark):
@@ -100,3 +101,22 @@ def test_turnover_and_overlap_work_out_the_scores_once(spark):
         assert got.count() == 3
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "Range" not in plan and "Aggregate" not in plan
+
+
+def test_values_of_the_active_speakers_come_from_one_pass(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(3)) or None, f"s{int(rng.integers(30))}" if rng.random() < 0.9 else None, f"c{int(rng.integers(4))}" if rng.random() < 0.8 else None, *map(int, rng.integers(0, 6, 3))) for _ in range(900)]
+    m = spark.createDataFrame(rows, "g int, speaker string, concept string, mention_count long, pos long, neg long")
+    f = panels.signed_agenda_feature(m, ["g", "speaker", "concept"]).join(speaker_graph.active(m, ["g"], "speaker"), ["g", "speaker"], "left_semi")
+    want = {(r.g, r.speaker, r.concept): r.feature for r in f.collect()}
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    got = study_queries._speaker_values(m.mapInPandas(passed, m.schema), ["g"])
+    got = {(r.g, r.speaker, r.concept): r.value for r in got.collect()}
+    assert got == pytest.approx(want) and 0 < len(want) < len({r[:3] for r in rows if None not in r[:3]})
+    assert read.value == len(rows)
