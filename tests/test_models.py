@@ -145,3 +145,52 @@ def test_bootstrap_weights_are_bytes_with_the_steps_of_the_fraction(spark):
         mine = [r for r in kept if (r.k, r.c) == key]
         w = np.searchsorted(resample.POISSON, ((np.array([r._seed for r in mine])[:, None] * a + b) % resample.PRIME) / resample.PRIME, side="right")
         assert got[key] == [sum(int(k) * r.v for k, r in zip(w[:, d], mine)) for d in range(40)]
+
+
+def test_axis_is_fitted_anew_to_resamples_and_without_each_anchor(spark):
+    """Against plain loops; party e is no anchor, in the second table no concept correlates, so the axis is a singular vector."""
+    import hashlib
+
+    scores = {"a": -1.0, "b": 0.5, "c": 0.2, "d": 1.1}
+    anchors = spark.createDataFrame(list(scores.items()), "party string, anchor double")
+    rng, parties, concepts, years = np.random.default_rng(3), list("abcde"), ["x", "y", "q"], range(4)
+    cells = {(y, p, c): float(rng.normal()) for y in years for p in parties for c in concepts}
+
+    def fit(mean, who):
+        w = {}
+        for c in concepts:
+            x, y = [mean[p][c] for p in who], [scores[p] for p in who]
+            w[c] = 0.0 if len(who) < 2 or np.std(x) == 0 or np.std(y) == 0 else float(np.corrcoef(x, y)[0, 1])
+        v = np.array([w[c] for c in concepts])
+        v /= np.linalg.norm(v)
+        r = np.corrcoef([sum(mean[p][c] * v[i] for i, c in enumerate(concepts)) for p in who], [scores[p] for p in who])[0, 1]
+        return v * (-1 if r < 0 else 1), abs(r)
+
+    def means(rows):
+        return {p: {c: np.mean([cells[y, q, c] for y, q in rows if q == p]) for c in concepts} for p in {q for _, q in rows}}
+
+    panel = [(y, p) for y in years for p in parties]
+    mean = means(panel)
+    full, seen = fit(mean, list(scores))
+    place = lambda m, v: np.array([sum(m[p][c] * v[i] for i, c in enumerate(concepts)) for p in parties])
+    loo = {p: abs(np.corrcoef(place(mean, full), place(mean, fit(mean, [q for q in scores if q != p])[0]))[0, 1]) for p in scores}
+    boot = {}
+    for d in range(1, 21):
+        taken = [panel[int(hashlib.md5(f"{d}|{i}".encode()).hexdigest()[:8], 16) % len(panel)] for i in range(len(panel))]
+        m = means(taken)
+        boot[d] = fit(m, [p for p in scores if p in m])
+    z = spark.createDataFrame([(*k, v) for k, v in cells.items()], "year int, party string, concept string, z double")
+    centers = spark.createDataFrame([(p, float(i * i)) for i, p in enumerate(parties)], "party string, center double")
+    got = {(r.metric, r.name): r.value for r in axis.validation(z, anchors, centers, ["year"], 20, 50).collect()}
+    assert got["observed_anchor_correlation", None] == pytest.approx(seen) and got["anchors", None] == 4
+    assert {p: got["leave_one_anchor_out", p] for p in scores} == pytest.approx(loo)
+    assert {d: got["anchor_corr_bootstrap", str(d)] for d in boot} == pytest.approx({d: r for d, (_, r) in boot.items()})
+    assert got["bootstrap_anchor_corr_mean", None] == pytest.approx(np.mean([r for _, r in boot.values()])) and got["bootstrap_anchor_corr_std", None] == pytest.approx(np.std([r for _, r in boot.values()]))
+    for i, c in enumerate(concepts):
+        w = np.array([v[i] for v, _ in boot.values()])
+        assert [got[f"weight_bootstrap_{m}", c] for m in ("mean", "std", "q10", "q90")] == pytest.approx([w.mean(), w.std(ddof=1), np.quantile(w, 0.1), np.quantile(w, 0.9)])
+        assert got["weight", c] == pytest.approx(full[i])
+    # constant rows: the first singular vector of (1, 2) is along it; without anchors the weights are equal
+    same = spark.createDataFrame([("s", p, c, v, 1.0 * i if p != "n" else None) for i, p in enumerate(["a", "b", "n"]) for c, v in (("x", 3.0), ("y", 4.0))] + [("t", "n", "x", 1.0, None), ("t", "n", "y", 2.0, None)], "g string, party string, concept string, z double, anchor double")
+    w, _ = axis.fitted(same, ["g"])
+    assert {(r.g, r.concept): r.w for r in w.collect()} == pytest.approx({("s", "x"): 0.6, ("s", "y"): 0.8, ("t", "x"): 0.5**0.5, ("t", "y"): 0.5**0.5})
