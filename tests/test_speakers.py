@@ -35,6 +35,37 @@ def test_sanitize(spark):
     assert one(spark, S.sanitize, [text, None, ""]) == ['kanun teklifi ve ANKARA, MeclisBaşkanı "söz" - aldıson... bitti', "", ""]
 
 
+def test_sanitize_joins_parts_as_the_plain_loop(spark):
+    """Compatibility form first; a right part is no left part in the same round; parts of 12 and 13 letters."""
+    import random
+    import re
+    import unicodedata
+
+    letters = "A-Za-zÇĞİÖŞÜÂÎÛçğıöşüâîû"
+    parts = re.compile(rf"([{letters}]{{1,12}})\s*\n\s*\n\s*([{letters}'][{letters}']{{0,12}})")
+    signs = {"\u2013": "-", "\u2014": "-", "\u2212": "-", "\x96": "-", "\xad": "", "\u200b": "", "\u2019": "'", "\x85": "...", "\u201c": '"'}
+
+    def join(m):
+        a, b = m.groups()
+        return a + b if b[0].islower() or (a.isupper() and b.isupper() and len(a) + len(b) <= 24) or (a[-1].islower() and len(a) <= 6) else m.group(0)
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", t).replace("\r\n", "\n").replace("\r", "\n")
+        for old, new in signs.items():
+            t = t.replace(old, new)
+        for _ in range(8):
+            t = parts.sub(join, t)
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t))
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice(rng.choice(["AİŞ", "aışç", "AB", "aB'"])) for _ in range(rng.choice([1, 2, 5, 6, 7, 11, 12, 13, 14, 20])))
+    same = lambda: rng.choice([str.upper, str.lower, str])(word().replace("i", "ı"))
+    gaps = ["\n\n", " \n\n\n", "\r\n \r\n", "\n", " ", "\n\u3000\n", "\u2028\n\n", "\x1c\n\n", "\n\n- ", "\x85\n\n", "\xad"]
+    texts = ["ﬁrma ㎏ Ａ\n\nＢ x²", "a\n\nB\n\nC", "Meclislerin\n\nBaşkan\n\nlar", "\n\n".join("A" * 1 for _ in range(9)), "x\n\n" * 400 + "x", "A" * 12 + "\n\n" + "B" * 13, "A" * 11 + "\n\n" + "B" * 13, "C" * 14 + "\n\n" + "B" * 12]
+    texts += ["".join(same() + rng.choice(gaps[:3] if rng.random() < 0.7 else gaps) for _ in range(rng.randint(2, 12))) for _ in range(600)]
+    assert one(spark, S.sanitize, texts) == [plain(t) for t in texts]
+
+
 def test_merge_split_lines(spark):
     rows = ["ALİ ÇELİK", " - Teşekkür ederim", "", "AYŞE ŞAHİN", "MEHMET ÖZ", ": evet", "- yok"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)], "doc int, pos int, line string")
