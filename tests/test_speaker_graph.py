@@ -120,3 +120,17 @@ def test_values_of_the_active_speakers_come_from_one_pass(spark):
     got = {(r.g, r.speaker, r.concept): r.value for r in got.collect()}
     assert got == pytest.approx(want) and 0 < len(want) < len({r[:3] for r in rows if None not in r[:3]})
     assert read.value == len(rows)
+
+
+def test_power_iteration_of_small_graphs_is_one_task_with_the_same_vector(spark):
+    """Both ways, each graph by its own way, and shuffles that don't grow with the steps."""
+    rng = np.random.default_rng(9)
+    rows = [(g, 1000 * g + int(i), 1000 * g + int(j), float(w)) for g, n in ((1, 60), (2, 12)) for i, j, w in zip(rng.integers(0, n, 6 * n), rng.integers(0, n, 6 * n), rng.normal(size=6 * n).round(2)) if i != j]
+    rows += [(3, 3001, 3002, 0.0), (1, 1001, 1900, 0.0)]  # no ties
+    pairs = spark.createDataFrame(rows, "g int, a long, b long, w double")
+    start = pairs.select("g", F.explode(F.array("a", "b")).alias("node")).distinct().select("g", "node", graphs.start_value(F.col("node")).alias("v"))
+    got = [{(r.g, r.node): r.v for r in graphs.power_vector(pairs, start, ["g"], 8, in_task=n).collect()} for n in (0, 100, 10_000)]
+    assert got[0].keys() == got[1].keys() == got[2].keys() and not any(g == 3 or n == 1900 for g, n in got[0])
+    assert got[1] == pytest.approx(got[0]) and got[2] == pytest.approx(got[0])
+    plan = graphs._in_task(pairs, start, ["g"], 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
